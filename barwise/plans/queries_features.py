@@ -82,8 +82,7 @@ SELECT {K},
   {S.pct('Close', 1)} AS Return, {S.pct('Open', 1)} AS Overnight_Gap,
   (Open / nullif(lag(Close, 1) OVER ({W}), 0) - 1) AS Gap_Close_Open,
   Close - lag(Close, 1) OVER ({W}) AS Close_diff,
-  CASE WHEN adj_close / nullif(lag(adj_close, 1) OVER ({W}), 0) > 0
-       THEN ln(adj_close / nullif(lag(adj_close, 1) OVER ({W}), 0)) END AS log_return
+  {q_sql(f"CASE WHEN adj_close / nullif(lag(adj_close, 1) OVER ({W}), 0) > 0 THEN ln(adj_close / nullif(lag(adj_close, 1) OVER ({W}), 0)) END")} AS log_return
 FROM bars"""))
 def q_lags_momentum(spark, sf):
     b = X.region_bars(spark, sf)
@@ -97,7 +96,7 @@ def q_lags_momentum(spark, sf):
     b = Wn.log_return(b)
     return b.select("Ticker", "Date", "Lag_Close_1", "Lag_Close_2", "Lag_Close_3", "Lag_Close_5",
                     "Momentum_5d", "Momentum_10d", "Return", "Overnight_Gap", "Gap_Close_Open",
-                    "Close_diff", "log_return")
+                    "Close_diff", quantize("log_return").alias("log_return"))
 
 
 @register("price_position", with_ctes(X.REGION_BARS_SQL, f"""
