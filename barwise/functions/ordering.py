@@ -24,11 +24,12 @@ def _order_names(order):
 
 
 def global_index(df: DataFrame, order: list, name: str = "row_idx",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Append ``name``: the 0-based position of each row in ``order``.
 
     ``order`` must be a total order (add tie-break columns), otherwise equal
-    rows are numbered in an arbitrary order, as in any SQL engine.
+    rows are numbered in an arbitrary order, as in any SQL engine. ``total``
+    names an optional column holding the row count of the whole frame.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -43,10 +44,13 @@ def global_index(df: DataFrame, order: list, name: str = "row_idx",
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_local"))
-            .drop("_mid", "_pid", "_local", "_off"))
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    out = (ranged.join(F.broadcast(offsets), "_pid")
+           .withColumn(name, F.col("_off") + F.col("_local")))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_mid", "_pid", "_local", "_off", "_total")
 
 
 def rank_by(df: DataFrame, metric: str, desc: bool = True, tie: list | None = None,

@@ -2,7 +2,8 @@
 
 from barwise.plans.registry import REGISTRY  # noqa: F401
 
-_MODULES = ["queries_bars", "queries_features", "queries_stats", "queries_models",
+_MODULES = ["queries_bars", "queries_features", "queries_stats", "queries_eval",
+            "queries_timeseries", "queries_models", "queries_unsupervised",
             "queries_stream"]
 
 
