@@ -22,6 +22,12 @@ GRAM_SCHEMA = "key string, n long, xtx array<double>, xty array<double>, yty dou
 def _partial(xcols, ycol):
     def fn(batches):
         for pdf in batches:
+            if not len(pdf):
+                continue
+            # rows with a missing value are skipped here, not by na.drop(): a
+            # not-null filter over dozens of derived columns makes Catalyst's
+            # constraint propagation blow up
+            pdf = pdf.dropna()
             if not len(pdf):
                 continue
             rows = []
@@ -44,7 +50,7 @@ def grouped_gram(df: DataFrame, key: str, xcols: list[str], ycol: str) -> DataFr
     """One row per key: n, X^T X (row-major), X^T y, y^T y over rows with no NULL."""
     x = df.select(F.col(key).cast("string").alias("key"),
                   *[F.col(c).cast("double").alias(c) for c in xcols],
-                  F.col(ycol).cast("double").alias("_y")).na.drop()
+                  F.col(ycol).cast("double").alias("_y"))
     partial = x.mapInPandas(_partial(xcols, "_y"), GRAM_SCHEMA)
     return partial.groupBy("key").applyInPandas(_sum_partials, GRAM_SCHEMA)
 
@@ -69,3 +75,19 @@ def solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: int, ridge: float = 0
         except np.linalg.LinAlgError:
             pass
     return beta, ssr, se
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a narrow model input or a fitted table.
+
+    Model inputs are bar tables narrowed to (key, date, price) - far smaller
+    than the facts they come from - and coefficient tables hold one row per
+    key. The wide design plans built on top of them (dozens of derived
+    columns) make Catalyst's constraint propagation explode when the join
+    lineage of the bars is still below them. A reliable checkpoint (written to
+    the cluster's ``spark.checkpoint.dir``) ends the plan there and also spares
+    a recompute when an executor is lost.
+    """
+    from barwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

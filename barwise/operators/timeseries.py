@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.windows import by_key
-from barwise.operators.lsq import grouped_gram, solve
+from barwise.operators.lsq import grouped_gram, materialize_small, solve
 from barwise.operators.splits import split_per_key
 
 # ---------------------------------------------------------------- fixed values
@@ -117,6 +117,7 @@ def adf_test(df: DataFrame, price="adj_close", key="Ticker", date="Date",
     chosen one refitted on its full sample). Returns statistic, p-value
     (MacKinnon 1994), critical values (MacKinnon 2010) and the 5 % decision."""
     spark = df.sparkSession
+    df = materialize_small(df.select(key, date, price))
     n_key = F.count(F.col(price)).over(Window.partitionBy(key)) - 1
     base = df.withColumn("_nobs", n_key)
     ml = F.ceil(F.lit(12.0) * F.pow(F.col("_nobs") / F.lit(100.0), F.lit(0.25)))
@@ -132,8 +133,8 @@ def adf_test(df: DataFrame, price="adj_close", key="Ticker", date="Date",
     common = x.filter(F.col("_rn") > F.col("_maxlag") + 1)
     g1 = grouped_gram(common, key, cols, "_dy")
     mlk = base.groupBy(F.col(key).cast("string").alias("key")).agg(F.max("_maxlag").alias("maxlag"))
-    sel = g1.join(mlk, "key").groupBy("key").applyInPandas(
-        lambda p: _adf_select(p, L), "key string, used_lag int")
+    sel = materialize_small(g1.join(mlk, "key").groupBy("key").applyInPandas(
+        lambda p: _adf_select(p, L), "key string, used_lag int"))
     # refit with the chosen lag on its own sample
     y = x.join(sel.withColumnRenamed("key", key), key)
     y = y.withColumns({f"_d{j}": F.when(F.lit(j) <= F.col("used_lag"), F.col(f"_d{j}"))
@@ -181,11 +182,12 @@ def fit_ar(df: DataFrame, p: int = 5, price="Close", key="Ticker", date="Date")
         return pd.DataFrame(rows, columns=["key", "n", "const", "phi", "aic"])
     res = g.groupBy("key").applyInPandas(
         fn, "key string, n long, const double, phi array<double>, aic double")
-    return res.withColumnRenamed("key", key)
+    return materialize_small(res.withColumnRenamed("key", key))
 
 
 def ar_order_by_aic(df: DataFrame, max_p: int = 5, price="Close", key="Ticker", date="Date"):
     """Order search: AIC of AR(1..max_p) per key; best order flagged."""
+    df = materialize_small(df.select(key, date, price))
     fits = None
     for p in range(1, max_p + 1):
         f = fit_ar(df, p, price, key, date).select(key, F.lit(p).alias("p"), "aic")
@@ -212,6 +214,7 @@ def ar_backtest(df: DataFrame, p: int = 5, price="Close", frac: float = 0.8, key
                 date="Date", model="ar5_d1") -> DataFrame:
     """Honest ARIMA(p,1,0) backtest (quirk Q11): fit on the first 80 % of each
     key, forecast the rest from the end of the train part, undo differencing."""
+    df = materialize_small(df.select(key, date, price))
     s = split_per_key(df, frac, key, date)
     train = s.filter(F.col("split") == "train")
     test = s.filter(F.col("split") == "test")
@@ -262,6 +265,7 @@ def seasonal_backtest(df: DataFrame, price="Close", key="Ticker", date="Date", f
     piecewise-linear trend with hinges in the first 80 % of the train span,
     sin/cos terms per season; ridge on everything but level and slope; fit on
     the train part, predict the test part. ``multiplicative`` fits ln(price)."""
+    df = materialize_small(df.select(key, date, price))
     s = split_per_key(df, frac, key, date)
     x, cols = _seasonal_design(s, key, date, n_changepoints, seasons)
     y = F.ln(F.col(price)) if multiplicative else F.col(price)
@@ -276,8 +280,8 @@ def seasonal_backtest(df: DataFrame, price="Close", key="Ticker", date="Date", f
                                ridge=ridge, penalize=pen)
             rows.append((r["key"], [float(b) for b in beta]))
         return pd.DataFrame(rows, columns=["key", "beta"])
-    coef = g.groupBy("key").applyInPandas(fn, "key string, beta array<double>") \
-            .withColumnRenamed("key", key)
+    coef = materialize_small(g.groupBy("key").applyInPandas(fn, "key string, beta array<double>")
+                             .withColumnRenamed("key", key))
     t = x.filter(F.col("split") == "test").join(coef, key)
     yhat = F.aggregate(F.zip_with(F.array(*cols), F.col("beta"), lambda a, b: a * b),
                        F.lit(0.0), lambda a, v: a + v)
@@ -294,6 +298,7 @@ def window_regressor_backtest(df: DataFrame, lookback: int = 60, price="Close",
     min-max scaling fitted on train, ridge on the previous ``lookback`` scaled
     values, recursive multi-step forecast over the test part, inverse scaling."""
     from barwise.operators.splits import minmax
+    df = materialize_small(df.select(key, date, price))
     s = split_per_key(df, frac, key, date)
     s = minmax(s, price, "train", key=key, name="_xs")
     w = by_key(key, date)
@@ -310,8 +315,8 @@ def window_regressor_backtest(df: DataFrame, lookback: int = 60, price="Close",
                                ridge=ridge, penalize=pen)
             rows.append((r["key"], float(beta[0]), [float(b) for b in beta[1:]]))
         return pd.DataFrame(rows, columns=["key", "const", "coef"])
-    coef = g.groupBy("key").applyInPandas(fn, "key string, const double, coef array<double>") \
-            .withColumnRenamed("key", key)
+    coef = materialize_small(g.groupBy("key").applyInPandas(
+        fn, "key string, const double, coef array<double>").withColumnRenamed("key", key))
     test = x.filter(F.col("split") == "test").withColumn(
         "step", F.row_number().over(Window.partitionBy(key).orderBy(date)))
     # the first test row's lags are the last `lookback` scaled train values
