@@ -29,19 +29,25 @@ def ohlcv_bars(df: DataFrame, key, ts, price, volume=None, order=None, adj=None,
     All aggregates (min_by/max_by over a struct key, min, max, sum) are
     partial-aggregatable, so a hot key is combined map-side before the shuffle:
     the shuffle carries at most one row per (key, day) per input partition.
+    The struct ordering key makes Spark pick a sort-based aggregate (a struct
+    cannot live in a hash-aggregate buffer); it is kept because it gives an
+    exact, total first/last order.
     """
     order = order or [ts]
     ordk = F.struct(*[col(c) for c in order])
     px = col(price)
     adj_c = col(adj) if adj is not None else px
     vol = F.sum(col(volume)).cast("double") if volume is not None else F.count(F.lit(1)).cast("double")
-    return (df.groupBy(col(key).cast("string").alias(key_name), F.to_date(col(ts)).alias(date_name))
-            .agg(F.min_by(px, ordk).alias("Open"),
-                 F.max(px).alias("High"),
-                 F.min(px).alias("Low"),
-                 F.max_by(px, ordk).alias("Close"),
-                 F.max_by(adj_c, ordk).alias("adj_close"),
-                 vol.alias("Volume")))
+    # group on the raw key (a bigint sorts faster than its text) and cast after
+    agg = (df.groupBy(col(key).alias("_k"), F.to_date(col(ts)).alias(date_name))
+           .agg(F.min_by(px, ordk).alias("Open"),
+                F.max(px).alias("High"),
+                F.min(px).alias("Low"),
+                F.max_by(px, ordk).alias("Close"),
+                F.max_by(adj_c, ordk).alias("adj_close"),
+                vol.alias("Volume")))
+    return agg.select(F.col("_k").cast("string").alias(key_name), date_name, "Open", "High", "Low",
+                      "Close", "adj_close", "Volume")
 
 
 # ---------------------------------------------------------------- S3, S4

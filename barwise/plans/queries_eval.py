@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barwise.functions import windows as Wn
 from barwise.functions.exprs import quantize
 from barwise.operators import metrics as Me
+from barwise.operators.lsq import materialize_small
 from barwise.operators import splits as Sp
 from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
@@ -40,7 +41,8 @@ CUT_CTES = ["""ml AS (SELECT *, lead(adj_close, 1) OVER (PARTITION BY Ticker ORD
 
 def ml_frame(spark, sf):
     """df_clean + next adj close target (last bar per key dropped) + P3 split."""
-    ml = Wn.targets(panel(spark, sf), "adj_close")
+    # read by the cutoff action and every model branch: checkpoint it once
+    ml = materialize_small(Wn.targets(panel(spark, sf), "adj_close"))
     return Sp.split_time(ml, FRAC)
 
 
