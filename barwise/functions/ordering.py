@@ -39,6 +39,11 @@ def global_index(df: DataFrame, order: list, name: str = "row_idx",
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS)) \
                    .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+    # the range bounds come from a sample; if the exchange ran once for the
+    # counts and once for the rows, the two could disagree. Writing the
+    # numbered rows once (reliable checkpoint) makes both read the same rows.
+    from barwise.operators.lsq import materialize_small
+    ranged = materialize_small(ranged)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the single-partition window here is over <= n rows
     offsets = counts.select(

@@ -146,8 +146,10 @@ def targets(df, price="adj_close", key="Ticker", date="Date", drop_last=True):
 
 # ---------------------------------------------------------------- F22-F25, F27
 def cumulative_return(df, r="Return", name="Cumulative_Return", key="Ticker", date="Date"):
-    """running product of (1 + r) - 1 (NULL while no return is known)."""
-    return df.withColumn(name, F.product(F.lit(1.0) + col(r)).over(running(key, date)) - F.lit(1.0))
+    """running product of (1 + r) - 1; NULL where r is missing (the product
+    carries on past it, like pandas' cumprod)."""
+    prod = F.product(F.lit(1.0) + col(r)).over(running(key, date)) - F.lit(1.0)
+    return df.withColumn(name, F.when(col(r).isNotNull(), prod))
 
 
 def drawdown(df, x="adj_close", name="drawdown", key="Ticker", date="Date"):

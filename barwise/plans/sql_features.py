@@ -70,6 +70,7 @@ def indicators_ctes(src: str, out: str = "ind") -> list[str]:
   {full('avg', 'Close', 200)} AS SMA_200,
   Return,
   ({full('stddev_samp', 'Return', 30)}) * sqrt(252) AS Volatility_30d,
-  product(1 + Return) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS Cumulative_Return
+  CASE WHEN Return IS NOT NULL THEN
+    product(1 + Return) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS Cumulative_Return
 FROM {out}_0)"""
     return [f0, f1]

@@ -96,6 +96,8 @@ def refresh_panel(panel_path: str, tail: int = 200):
                 (F.lit(1.0) + F.col("_c_last")) * F.coalesce(F.col("_p"), F.lit(1.0)) - 1.0))
         else:
             ind = ind.withColumn("Cumulative_Return", F.col("_p") - 1.0)
+        ind = ind.withColumn("Cumulative_Return",
+                             F.when(F.col("Return").isNotNull(), F.col("Cumulative_Return")))
         out = ind.select(*BAR_COLS, *IND_COLS)
         out.write.mode("overwrite").parquet(f"{panel_path}/batch={batch_id}")
     return fn
