@@ -356,3 +356,19 @@ def forecast_table(forecasts: DataFrame, models: list[str], key="Ticker", date="
                    value="yhat") -> DataFrame:
     """K3: wide table (key, Date, one column per model)."""
     return forecasts.groupBy(key, date).pivot("model", models).agg(F.first(value))
+
+
+# ---------------------------------------------------------------- E7
+def series_summary(df: DataFrame, price="adj_close", key="Ticker", date="Date", p: int = 5):
+    """Per key - is the price stationary (ADF p < 5 %), which series is
+    modelled, the ADF p-value, the AR(p, 1) AIC and the seasonal model's
+    test MAPE %."""
+    from barwise.operators.metrics import regression_metrics
+    adf = adf_test(df, price, key, date).select(
+        key, F.when(F.col("p_value") < 0.05, "Yes").otherwise("No").alias("Price_Stationary"),
+        F.when(F.col("p_value") < 0.05, "price").otherwise("log_return").alias("Series_Used"),
+        F.col("p_value").alias("Price_p_value"))
+    ar = fit_ar(df, p, price, key, date).select(key, F.col("aic").alias("AR_AIC"))
+    mape = regression_metrics(seasonal_backtest(df, price, key, date), by=(key,)).select(
+        key, F.col("mape_pct").alias("Seasonal_MAPE_pct"))
+    return adf.join(ar, key).join(mape, key)

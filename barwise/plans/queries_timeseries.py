@@ -160,3 +160,8 @@ def q_seasonal(spark, sf):
 @register("window_regressor")
 def q_window_regressor(spark, sf):
     return Ts.window_regressor_backtest(X.region_bars(spark, sf), lookback=60, price="Close")
+
+
+@register("series_summary")
+def q_series_summary(spark, sf):
+    return Ts.series_summary(X.region_bars(spark, sf))

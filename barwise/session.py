@@ -53,3 +53,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="barwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame's optimized plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df, probe=None, limit: int | None = None):
+    """Broadcast ``df`` only when the estimated size of ``probe`` (default
+    ``df``) is within ``limit`` (default: the session's broadcast threshold);
+    otherwise leave the join strategy to Catalyst / AQE (shuffle join)."""
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    if limit is None:
+        raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        limit = int(str(raw).lower().rstrip("b") or 0) if str(raw).lower().rstrip("b").lstrip("-").isdigit() \
+            else 10 * 1024 * 1024
+    if limit <= 0:
+        return df
+    size = estimated_bytes(probe if probe is not None else df)
+    return F.broadcast(df) if size <= limit else df

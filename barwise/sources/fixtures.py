@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwise.operators.bars import ohlcv_bars
+from barwise.session import broadcast_if_small
 from barwise.sources.tables import table
 
 # Total order of lineitem rows inside a day (the first four are not unique).
@@ -32,13 +33,18 @@ def _damped_price() -> F.Column:
 
 
 def _supplier_region(spark, sf_dir) -> DataFrame:
-    # nation (25 rows) and region (5 rows) have a fixed size in TPC-H: broadcast is safe
+    """supplier -> region name. nation (25 rows) and region (5 rows) have a fixed
+    size in TPC-H, so broadcasting them is safe. The result is broadcast into
+    the fact join only when the supplier scan is under the broadcast threshold
+    (it grows with the scale factor); otherwise the join is a shuffle join with
+    AQE skew handling."""
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     region = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    return (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    dims = (supp.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey", "r_name"))
+    return broadcast_if_small(dims, probe=supp)
 
 
 def region_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
