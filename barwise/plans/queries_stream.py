@@ -48,7 +48,7 @@ def q_incremental_refresh(spark, sf):
     St.run_refresh(spark, src, bars.schema, panel, ckpt)
     bars.filter(F.col("Date") >= F.lit(cut)).write.mode("append").parquet(src)
     St.run_refresh(spark, src, bars.schema, panel, ckpt)
-    out = spark.read.parquet(panel).drop("batch")
+    out = spark.read.parquet(panel).drop("batch").select(*S.BASE, "Return", *_IND_Q)
     return out.withColumns({c: quantize(c) for c in _IND_Q})
 
 

@@ -7,8 +7,9 @@ L2 ``refresh_panel``: a ``foreachBatch`` sink that turns newly arrived bars into
 dashboard indicators. It reads only the last ``tail`` stored bars of the keys in
 the batch (enough for the longest frame, 200 rows), recomputes the window
 columns over tail + new rows, carries the running product of the cumulative
-return from the last stored row, and writes the new rows into a folder named
-after the batch id (overwrite), so a replayed batch is idempotent.
+return from the last stored row, and writes the new rows partitioned by
+(Ticker, batch) with dynamic overwrite, so a replayed batch is idempotent and a
+batch reads only the folders of its own keys.
 """
 
 from __future__ import annotations
@@ -25,17 +26,28 @@ IND_COLS = ["SMA_50", "SMA_200", "Return", "Volatility_30d", "Cumulative_Return"
 
 def stream_bars(stream: DataFrame, key: str, ts: str, price: str, id_col: str,
                 delay: str = "1 day", volume: str | None = None) -> DataFrame:
-    """L1: streaming daily bars. ``timestamp_ntz`` columns are cast to
-    ``timestamp`` (the watermark needs it); with the session time zone at UTC
-    the window start is the wall-clock date."""
-    s = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
+    """L1: streaming daily bars.
+
+    The watermark needs a ``timestamp``; a ``timestamp_ntz`` (wall clock) is
+    cast and shifted so that its epoch value reads the wall clock in UTC. The
+    one-day windows (aligned on UTC midnight) then coincide with wall-clock
+    days in any session time zone, and the bar date is the wall-clock date of
+    the ticks, not the window start rendered in the session zone."""
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    is_ntz = dict(stream.dtypes).get(ts, "").startswith("timestamp_ntz")
+    t = F.col(ts).cast("timestamp")
+    # cast reads the wall clock in the session zone; from_utc_timestamp undoes
+    # that, giving the epoch whose UTC reading is the wall clock
+    s = stream.withColumn("_ts", F.from_utc_timestamp(t, tz) if is_ntz else t)
+    s = s.withColumn("_day", F.to_date(F.col(ts)))
     s = s.withWatermark("_ts", delay).dropDuplicatesWithinWatermark([id_col])
     ordk = F.struct("_ts", id_col)
     vol = F.sum(volume).cast("double") if volume else F.count(F.lit(1)).cast("double")
     agg = s.groupBy(F.col(key).cast("string").alias("Ticker"), F.window("_ts", "1 day").alias("w")).agg(
+        F.min("_day").alias("Date"),
         F.min_by(price, ordk).alias("Open"), F.max(price).alias("High"), F.min(price).alias("Low"),
         F.max_by(price, ordk).alias("Close"), vol.alias("Volume"))
-    return agg.select("Ticker", F.to_date(F.col("w.start")).alias("Date"), "Open", "High", "Low",
+    return agg.select("Ticker", "Date", "Open", "High", "Low",
                       "Close", F.col("Close").alias("adj_close"), "Volume")
 
 
@@ -74,6 +86,7 @@ def refresh_panel(panel_path: str, tail: int = 200):
         keys = new.select("Ticker").distinct()
         try:
             stored = spark.read.parquet(panel_path).join(keys, "Ticker", "left_semi")
+            stored = stored.filter(F.col("batch") < F.lit(batch_id))
         except AnalysisException:
             stored = None
         if stored is not None:
@@ -98,8 +111,11 @@ def refresh_panel(panel_path: str, tail: int = 200):
             ind = ind.withColumn("Cumulative_Return", F.col("_p") - 1.0)
         ind = ind.withColumn("Cumulative_Return",
                              F.when(F.col("Return").isNotNull(), F.col("Cumulative_Return")))
-        out = ind.select(*BAR_COLS, *IND_COLS)
-        out.write.mode("overwrite").parquet(f"{panel_path}/batch={batch_id}")
+        out = ind.select(*BAR_COLS, *IND_COLS).withColumn("batch", F.lit(batch_id))
+        # partitioned by key so that the next batch reads only its keys' folders;
+        # dynamic overwrite replaces just (key, batch) folders: replays are idempotent
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("Ticker", "batch").parquet(panel_path))
     return fn
 
 
