@@ -61,11 +61,16 @@ def fit_lasso(train: DataFrame, alpha: float = 0.001, max_iter: int = 20000):
                             maxIter=max_iter, tol=1e-8).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 300, seed: int = 42, max_depth: int = 15):
-    """M4: random forest, all features per split (sklearn's regressor default)."""
+def fit_forest(train: DataFrame, trees: int = 300, seed: int = 42, max_depth: int = 10):
+    """M4: random forest, all features per split (sklearn's regressor default).
+
+    Trees are grown level by level over the whole forest; node ids are cached
+    and the per-pass node budget raised so a level of all 300 trees fits in one
+    pass. Depth is capped at 10 by default (sklearn grows to purity; MLlib
+    allows 30, but every level is one more pass over the data)."""
     rf = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=max_depth,
                                maxBins=64, seed=seed, subsamplingRate=1.0, bootstrap=True,
-                               checkpointInterval=10)
+                               cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
     return rf.fit(train)
 
 

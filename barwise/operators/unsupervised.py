@@ -33,11 +33,14 @@ from barwise.operators.splits import zscore
 from barwise.schema import UNSUPERVISED_FEATURES
 
 
-def unsup_design(df: DataFrame, features=tuple(UNSUPERVISED_FEATURES), fill_null: bool = False):
-    """z-scored features (fitted on all rows, as the reference does) + vector."""
+def unsup_design(df: DataFrame, features=tuple(UNSUPERVISED_FEATURES), fill_null: bool = False,
+                 scale: bool = True):
+    """z-scored features (fitted on all rows, as the reference does) + vector.
+    The dashboard variant uses raw features with NULL -> 0 (``scale=False``,
+    ``fill_null=True``)."""
     cols = list(features)
     d = df.na.fill(0.0, cols) if fill_null else df
-    z = zscore(d, cols, fit_on=None)
+    z = zscore(d, cols, fit_on=None) if scale else d
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     return materialize_small(va.transform(z).select("Ticker", "Date", *cols, "features"))
 

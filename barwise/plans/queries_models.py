@@ -28,3 +28,53 @@ def q_direction(spark, sf):
 
 
 REGISTRY["direction"] = (q_direction, None)
+
+
+# ------------------------------------------------ dashboard: models on 20 lags
+def lag_design(spark, sf, n_lags: int = 20):
+    """F14 lag matrix on Close, per-key 80/20 split by position."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from barwise.functions.windows import lag_matrix
+    from barwise.operators.lsq import materialize_small
+    from barwise.operators.splits import split_per_key
+    from barwise.sources import fixtures as X
+    lm = split_per_key(lag_matrix(X.region_bars(spark, sf), "Close", n_lags), 0.8)
+    cols = [f"lag_{k}" for k in range(1, n_lags + 1)]
+    out = VectorAssembler(inputCols=cols, outputCol="features").transform(lm)
+    return materialize_small(out.select("Ticker", "Date", "split", F.col("target").alias("label"),
+                                        "features"))
+
+
+def q_forest_lags(spark, sf):
+    return Mo.backtest(lag_design(spark, sf), "forest")
+
+
+def q_gbt_lags(spark, sf):
+    return Mo.backtest(lag_design(spark, sf), "gbt_depthwise")
+
+
+REGISTRY["forest_lags"] = (q_forest_lags, None)
+REGISTRY["gbt_lags"] = (q_gbt_lags, None)
+
+
+def q_model_leaderboard(spark, sf):
+    """E2-E4 over the dashboard's model set: AR(5,1,0), seasonal, window
+    regressor, forest and boosted trees on lags; metrics per model and key."""
+    from barwise.operators import metrics as Me
+    from barwise.operators import timeseries as Ts
+    from barwise.sources import fixtures as X
+    bars = X.region_bars(spark, sf)
+    preds = Me.collect_backtests(
+        Ts.ar_backtest(bars, 5, "Close", model="arima"),
+        Ts.seasonal_backtest(bars, "Close", model="seasonal"),
+        Ts.window_regressor_backtest(bars, 60, "Close", model="window_regressor"),
+        q_forest_lags(spark, sf), q_gbt_lags(spark, sf))
+    m = Me.regression_metrics(preds, ("model", "Ticker")).join(
+        Me.direction_accuracy(preds, ("model", "Ticker")), ["model", "Ticker"])
+    return Me.leaderboard(m.select("Ticker", "model", "mae", "rmse", "mape_eps_pct", "r2",
+                                   "direction_pct"))
+
+
+REGISTRY["model_leaderboard"] = (q_model_leaderboard, None)

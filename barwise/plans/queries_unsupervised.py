@@ -66,3 +66,25 @@ def q_gmm_daily_means(spark, sf):
 def q_gmm_state_shares(spark, sf):
     out, _ = U.fit_states(_design(spark, sf))
     return St.label_shares(out, "state")
+
+
+# dashboard variant: Close, Volume, Return, Volatility_30d, unscaled, NULL -> 0
+APP_FEATURES = ["Close", "Volume", "Return", "Volatility_30d"]
+
+
+def _app_design(spark, sf):
+    from barwise.functions.windows import indicators
+    from barwise.sources import fixtures as X
+    ind = indicators(X.region_bars(spark, sf))
+    return U.unsup_design(ind, APP_FEATURES, fill_null=True, scale=False)
+
+
+@register("kmeans_app")
+def q_kmeans_app(spark, sf):
+    _, out = U.fit_regimes(_app_design(spark, sf))
+    return out.select("Ticker", "Date", "regime")
+
+
+@register("isolation_app")
+def q_isolation_app(spark, sf):
+    return U.isolation_scores(_app_design(spark, sf), APP_FEATURES)
