@@ -63,6 +63,16 @@ def q_zscore(spark, sf):
     return z.select("Ticker", "Date", "split", *[quantize(f"{c}_z").alias(f"z_{c}") for c in Z_COLS])
 
 
+@register("zscore_all", with_ctes(PANEL_CTES + CUT_CTES + ["za AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in Z_COLS) + " FROM sp)"],
+    "SELECT Ticker, Date, split, " + ", ".join(
+        f"{q_sql(f'({c} - m_{c}) / s_{c}')} AS z_{c}" for c in Z_COLS) + " FROM sp, za"))
+def q_zscore_all(spark, sf):
+    """Q8: scaler fitted on train + test (the reference's leakage)."""
+    z = Sp.zscore(ml_frame(spark, sf), Z_COLS, None, suffix="_z")
+    return z.select("Ticker", "Date", "split", *[quantize(f"{c}_z").alias(f"z_{c}") for c in Z_COLS])
+
+
 @register("minmax", with_ctes(PANEL_CTES + [f"""
 pk AS (SELECT Ticker, Date, adj_close, CASE WHEN row_number() OVER ({W})
   <= floor(count(*) OVER (PARTITION BY Ticker) * {FRAC}) THEN 'train' ELSE 'test' END AS split FROM df_clean)""",

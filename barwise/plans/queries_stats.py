@@ -250,3 +250,24 @@ def q_last_rows(spark, sf):
 SELECT Ticker, min(Date) AS first_date, max(Date) AS last_date FROM df_clean GROUP BY Ticker"""))
 def q_date_range(spark, sf):
     return St.date_range(panel(spark, sf), key="Ticker")
+
+
+# ------------------------------------------------ quirk-reproducing variants
+@register("risk_stats_pct", with_ctes(PANEL_CTES + RISK_CTES, f"""
+SELECT Ticker, {q_sql('ann_return * 100')} AS ann_return, {q_sql('ann_volatility * 100')} AS ann_volatility,
+  {q_sql('sharpe * 100')} AS sharpe, {q_sql('max_drawdown * 100')} AS max_drawdown FROM risk"""))
+def q_risk_stats_pct(spark, sf):
+    """Q4: the reference scales every risk column by 100."""
+    r = St.risk_stats(panel(spark, sf), percent=True)
+    return _q(r, RISK_Q + ["max_drawdown"])
+
+
+@register("extreme_pairs_incl_self", with_ctes(PANEL_CTES + CORR_CTE, """
+(SELECT 'strongest' AS kind, ticker_a, ticker_b, corr FROM cp
+ WHERE ticker_a <= ticker_b AND corr IS NOT NULL ORDER BY corr DESC, ticker_a, ticker_b LIMIT 1)
+UNION ALL
+(SELECT 'weakest' AS kind, ticker_a, ticker_b, corr FROM cp
+ WHERE ticker_a <= ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""))
+def q_extreme_pairs_incl_self(spark, sf):
+    """Q5: with the diagonal, the strongest pair is a key with itself."""
+    return St.extreme_pairs(_corr(spark, sf), exclude_self=False)
