@@ -68,3 +68,15 @@ def write_vendor_csv(df: DataFrame, path: str) -> None:
                     F.col("Low").alias("<LOW>"), F.col("Close").alias("<CLOSE>"),
                     F.col("Volume").alias("<VOL>"))
     out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Engineered panel as parquet partitioned by calendar year, so readers of
+    a date range prune whole folders (partition pruning / DPP)."""
+    out = df if "Year" in df.columns else df.withColumn("Year", F.year("Date"))
+    out.write.mode(mode).partitionBy("Year").parquet(path)
+
+
+def read_panel(spark: SparkSession, path: str, from_year: int | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.filter(F.col("Year") >= from_year) if from_year is not None else df
