@@ -1,14 +1,15 @@
 """Cross-key statistics and reports.
 
-All aggregates are hash aggregates with a partial (map-side) stage, so a key
-holding a third of the rows is combined before the shuffle. Statistics that need
+All aggregates have a partial (map-side) stage, so a key holding a third of
+the rows is combined before the shuffle; scalar ``max_by``/``min_by`` keep them
+hash-based (a struct value or ordering key would force a sort aggregate). Statistics that need
 a per-key window (drawdown, previous close) are computed in the same key
 partitioning as the following aggregate: one Exchange serves both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.exprs import SQRT_252, col, ratio_minus_one
@@ -133,15 +134,17 @@ def kpis(df: DataFrame, window_days: int | None = None, key="Ticker", date="Date
         x = x.withColumn("_hi", F.when(inwin, F.col("High"))).withColumn("_lo", F.when(inwin, F.col("Low")))
     else:
         x = x.withColumn("_hi", F.col("High")).withColumn("_lo", F.col("Low"))
-    last_row = F.max_by(F.struct("Close", "Volume", "_prev"), col(date))
-    out = x.groupBy(key).agg(last_row.alias("_l"), F.max("_hi").alias("high_max"),
-                             F.min("_lo").alias("low_min"), F.count(F.lit(1)).alias("n_bars"),
-                             F.max(col(date)).alias("last_date"))
+    # one scalar max_by per column (dates are unique per key): hash aggregate
+    out = x.groupBy(key).agg(F.max_by("Close", col(date)).alias("last_close"),
+                             F.max_by("Volume", col(date)).alias("last_volume"),
+                             F.max_by("_prev", col(date)).alias("_lp"),
+                             F.max("_hi").alias("high_max"), F.min("_lo").alias("low_min"),
+                             F.count(F.lit(1)).alias("n_bars"), F.max(col(date)).alias("last_date"))
     return out.select(
-        key, "last_date", F.col("_l.Close").alias("last_close"),
-        F.coalesce(ratio_minus_one(F.col("_l.Close"), F.col("_l._prev")) * F.lit(100.0),
+        key, "last_date", "last_close",
+        F.coalesce(ratio_minus_one(F.col("last_close"), F.col("_lp")) * F.lit(100.0),
                    F.lit(0.0)).alias("change_pct"),
-        F.col("_l.Volume").alias("last_volume"), "high_max", "low_min", "n_bars")
+        "last_volume", "high_max", "low_min", "n_bars")
 
 
 # ---------------------------------------------------------------- A10

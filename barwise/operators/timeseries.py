@@ -81,7 +81,7 @@ def choose_series(test: DataFrame, key="Ticker") -> DataFrame:
 
 
 # ---------------------------------------------------------------- M10 with lags
-def _lagged_diffs(df, price, key, date, max_lags: int, keep: Column | None = None):
+def _lagged_diffs(df, price, key, date, max_lags: int):
     w = by_key(key, date)
     x = df.withColumn("_yl", F.lag(F.col(price), 1).over(w)) \
           .withColumn("_dy", F.col(price) - F.col("_yl"))
@@ -116,7 +116,6 @@ def adf_test(df: DataFrame, price="adj_close", key="Ticker", date="Date",
     maxlag = ceil(12 (n/100)^(1/4)); all lags fitted on one common sample, the
     chosen one refitted on its full sample). Returns statistic, p-value
     (MacKinnon 1994), critical values (MacKinnon 2010) and the 5 % decision."""
-    spark = df.sparkSession
     df = materialize_small(df.select(key, date, price))
     n_key = F.count(F.col(price)).over(Window.partitionBy(key)) - 1
     base = df.withColumn("_nobs", n_key)
@@ -160,7 +159,6 @@ def adf_test(df: DataFrame, price="adj_close", key="Ticker", date="Date",
     schema = ("key string, used_lag int, n_obs long, adf_stat double, p_value double, "
               "crit_1 double, crit_5 double, crit_10 double, stationary boolean")
     res = g2.groupBy("key").applyInPandas(fin, schema)
-    del spark
     return res.withColumnRenamed("key", key)
 
 

@@ -15,7 +15,6 @@ from barwise.plans.registry import q_sql, register, with_ctes
 from barwise.sources import fixtures as X
 
 W = S.W
-D = "CAST({} AS DOUBLE)"
 
 
 def _q(df, cols):

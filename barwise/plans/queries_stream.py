@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.exprs import quantize
 from barwise.plans import sql_features as S
+from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
 from barwise.schema import BAR_SCHEMA
 from barwise.sources import files as Fi
@@ -67,14 +68,12 @@ def q_vendor_csv(spark, sf):
     return Fi.read_vendor_csv(spark, path)
 
 
-@register("panel_by_year", with_ctes(
-    __import__("barwise.plans.queries_features", fromlist=["PANEL_CTES"]).PANEL_CTES,
+@register("panel_by_year", with_ctes(PANEL_CTES,
     "SELECT Ticker, Date, Year, Close, MA7 FROM (SELECT Ticker, Date, Year, Close, "
     + q_sql("MA7") + " AS MA7 FROM df_clean) t WHERE Year >= 1999"))
 def q_panel_by_year(spark, sf):
     """Write the panel partitioned by year and read back 1999 on: the scan
     lists only the matching folders (PartitionFilters on Year)."""
-    from barwise.plans.queries_features import panel
     path = Fi.scratch_path(spark, "panel")
     Fi.write_panel(panel(spark, sf), path)
     out = Fi.read_panel(spark, path, 1999).select("Ticker", "Date", "Year", "Close", "MA7")
