@@ -91,3 +91,14 @@ def materialize_small(df: DataFrame) -> DataFrame:
     from barwise.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores before an MLlib fit.
+
+    Design tables come out of per-key windows; with few keys AQE coalesces them
+    into a handful of partitions, and every MLlib pass would then run on a few
+    cores. The round-robin shuffle is deterministic (Spark sorts before it), so
+    a lost partition is recomputed with the same rows.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.operators.lsq import materialize_small
+from barwise.operators.lsq import materialize_small, spread
 from barwise.operators.splits import time_cutoff, zscore
 from barwise.schema import SUPERVISED_FEATURES
 
@@ -28,7 +28,7 @@ def design(ml: DataFrame, features=tuple(SUPERVISED_FEATURES), label="Target_Nex
     z = zscore(ml, cols, fit_on, split)
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     out = va.transform(z).select("Ticker", "Date", split, F.col(label).alias("label"), "features")
-    return materialize_small(out)
+    return materialize_small(spread(out))
 
 
 def _backtest(model, test: DataFrame, name: str) -> DataFrame:

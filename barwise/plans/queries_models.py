@@ -37,14 +37,14 @@ def lag_design(spark, sf, n_lags: int = 20):
     from pyspark.sql import functions as F
 
     from barwise.functions.windows import lag_matrix
-    from barwise.operators.lsq import materialize_small
+    from barwise.operators.lsq import materialize_small, spread
     from barwise.operators.splits import split_per_key
     from barwise.sources import fixtures as X
     lm = split_per_key(lag_matrix(X.region_bars(spark, sf), "Close", n_lags), 0.8)
     cols = [f"lag_{k}" for k in range(1, n_lags + 1)]
     out = VectorAssembler(inputCols=cols, outputCol="features").transform(lm)
-    return materialize_small(out.select("Ticker", "Date", "split", F.col("target").alias("label"),
-                                        "features"))
+    return materialize_small(spread(out.select("Ticker", "Date", "split",
+                                               F.col("target").alias("label"), "features")))
 
 
 def q_forest_lags(spark, sf):
