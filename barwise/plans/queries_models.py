@@ -66,11 +66,12 @@ def q_model_leaderboard(spark, sf):
     from barwise.operators import timeseries as Ts
     from barwise.sources import fixtures as X
     bars = X.region_bars(spark, sf)
+    lags = lag_design(spark, sf)  # one checkpointed design for both tree models
     preds = Me.collect_backtests(
         Ts.ar_backtest(bars, 5, "Close", model="arima"),
         Ts.seasonal_backtest(bars, "Close", model="seasonal"),
         Ts.window_regressor_backtest(bars, 60, "Close", model="window_regressor"),
-        q_forest_lags(spark, sf), q_gbt_lags(spark, sf))
+        Mo.backtest(lags, "forest"), Mo.backtest(lags, "gbt_depthwise"))
     m = Me.regression_metrics(preds, ("model", "Ticker")).join(
         Me.direction_accuracy(preds, ("model", "Ticker")), ["model", "Ticker"])
     return Me.leaderboard(m.select("Ticker", "model", "mae", "rmse", "mape_eps_pct", "r2",
