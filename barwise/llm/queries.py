@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from barwise.llm.bpe import op8_bpe
+from barwise.llm.decontaminate import op9_decontaminate
 from barwise.llm.lines import OP4_SQL, op4_line_dedup
+from barwise.llm.quality import op6_quality
+from barwise.llm.secrets import op7_secrets
+from barwise.llm.simhash import op3_simhash_dedup
+from barwise.llm.vptree import OP10_SQL, op10_vptree
 
 QUERIES = {
+    "op3_simhash_dedup": (op3_simhash_dedup, None),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
+    "op6_quality": (op6_quality, None),
+    "op7_secrets": (op7_secrets, None),
+    "op8_bpe": (op8_bpe, None),
+    "op9_decontaminate": (op9_decontaminate, None),
+    "op10_vptree": (op10_vptree, OP10_SQL),
 }
