@@ -169,9 +169,9 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_
     return docs.withColumn(text_col, text(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
 
-def with_digests(encoded: DataFrame) -> DataFrame:
+def with_digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -44,6 +44,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of many ``rows`` a key with one of ``facts``, an aggregate on
+    the same keys. The hash as one more key makes Spark exchange both sides for
+    the join itself, instead of joining in the aggregate's partitioning; adaptive
+    execution can then split partitions that a hot key fills."""
+    def tagged(df: DataFrame) -> DataFrame:
+        return df.withColumn("__k", F.xxhash64(*keys))
+
+    return tagged(rows).join(tagged(facts), [*keys, "__k"], how).drop("__k")
+
+
 def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
     """Inner equi-join of many ``rows`` a key with one of ``facts``: rows are
     spread by the hash of ``by``, facts are repeated once a salt. A hot key meets
