@@ -35,21 +35,32 @@ def q_stream_bars(spark, sf):
 _IND_Q = ["SMA_50", "SMA_200", "Volatility_30d", "Cumulative_Return"]
 
 
-@register("incremental_refresh", with_ctes(X.REGION_BARS_SQL + S.indicators_ctes("bars"), "SELECT "
+@register("incremental_refresh", with_ctes(X.REGION_BARS_SQL + ["""rb AS (
+  SELECT Ticker, Date, Open, High, Low, CASE WHEN day(Date) % 11 <> 0 THEN Close END AS Close, adj_close, Volume
+  FROM bars)"""] + S.indicators_ctes("rb"), "SELECT "
           + ", ".join(S.BASE + ["Return"] + [q_sql(c) + f" AS {c}" for c in _IND_Q]) + " FROM ind"))
 def q_incremental_refresh(spark, sf):
-    """Bars arrive in two drops (before / after the 80 % date); each drop is one
-    availableNow run of the refresh stream; the stored panel must equal the
-    batch indicators."""
+    """Bars arrive in three drops, each one availableNow run of the refresh
+    stream: (1) dates before the 60 % date without every ninth day of a month
+    and with wrong closes on the fifteenth; (2) the rest up to the 80 % date and
+    the corrections; (3) the late days and everything after. Closes are missing
+    on every eleventh day. The stored panel must equal the batch indicators."""
+    day = F.dayofmonth("Date")
     bars = X.region_bars(spark, sf).select(*[f.name for f in BAR_SCHEMA.fields])
+    bars = bars.withColumn("Close", F.when(day % 11 != 0, F.col("Close")))
     root = Fi.scratch_path(spark, "refresh")
-    cut = bars.selectExpr("percentile_approx(Date, 0.8, 10000) AS c").first()["c"]
-    src, panel, ckpt = f"{root}/landing", f"{root}/panel", f"{root}/ckpt"
-    bars.filter(F.col("Date") < F.lit(cut)).write.mode("append").parquet(src)
-    St.run_refresh(spark, src, bars.schema, panel, ckpt)
-    bars.filter(F.col("Date") >= F.lit(cut)).write.mode("append").parquet(src)
-    St.run_refresh(spark, src, bars.schema, panel, ckpt)
-    out = spark.read.parquet(panel).drop("batch").select(*S.BASE, "Return", *_IND_Q)
+    a, b = bars.selectExpr("percentile_approx(Date, array(0.6, 0.8), 10000) AS c").first()["c"]
+    late = (day % 9 == 0) & (F.col("Date") < F.lit(a))
+    wrong = (day == 15) & (F.col("Date") < F.lit(a))
+    drops = [bars.filter((F.col("Date") < F.lit(a)) & ~late).withColumn(
+                 "Close", F.when(wrong, F.col("Close") * 2).otherwise(F.col("Close"))),
+             bars.filter(((F.col("Date") >= F.lit(a)) & (F.col("Date") < F.lit(b))) | wrong),
+             bars.filter((F.col("Date") >= F.lit(b)) | late)]
+    src, panel_path, ckpt = f"{root}/landing", f"{root}/panel", f"{root}/ckpt"
+    for drop in drops:
+        drop.write.mode("append").parquet(src)
+        St.run_refresh(spark, src, bars.schema, panel_path, ckpt)
+    out = St.read_refreshed(spark, panel_path).select(*S.BASE, "Return", *_IND_Q)
     return out.withColumns({c: quantize(c) for c in _IND_Q})
 
 
@@ -60,6 +71,28 @@ def q_csv_roundtrip(spark, sf):
     return Fi.read_bars_csv(spark, path).select(*BAR_COLS.split(", "))
 
 
+@register("panel_csv", with_ctes(PANEL_CTES, "SELECT Ticker, Date, Close, Volume, "
+          "Is_Month_End, Target_Direction FROM df_clean"))
+def q_panel_csv(spark, sf):
+    """The engineered panel as one sorted CSV table, read back."""
+    path = Fi.scratch_path(spark, "panel_csv")
+    Fi.write_csv(panel(spark, sf), path)
+    back = Fi.read_bars_csv(spark, path)
+    return back.select("Ticker", "Date", "Close", "Volume", F.col("Is_Month_End").cast("int").alias("Is_Month_End"),
+                       F.col("Target_Direction").cast("int").alias("Target_Direction"))
+
+
+@register("dirty_csv", with_ctes(X.DIRTY_BARS_SQL, "SELECT Ticker, Date, Close, Volume, CAST(0 AS INTEGER) AS bad_cells "
+          "FROM dirty WHERE src = 0"))
+def q_dirty_csv(spark, sf):
+    """Bars with missing cells written as ``null`` text, read back as NULL."""
+    path = Fi.scratch_path(spark, "dirty_csv")
+    bars = X.dirty_bars(spark, sf).filter("src = 0").select("Ticker", "Date", "Close", "Volume")
+    bars.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("Close", "Volume")}) \
+        .write.option("header", True).csv(path)
+    return Fi.read_bars_csv(spark, path, flag_bad=True).select("Ticker", "Date", "Close", "Volume", F.col("_bad_cells").alias("bad_cells"))
+
+
 @register("vendor_csv", with_ctes(X.REGION_BARS_SQL, """
 SELECT Ticker, Date, Open, High, Low, Close, Volume FROM bars"""))
 def q_vendor_csv(spark, sf):

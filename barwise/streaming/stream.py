@@ -3,24 +3,26 @@
 L1 ``stream_bars``: ticks -> daily OHLCV bars with a watermark, deduplicated by
 event id within the watermark, tumbling one-day windows.
 
-L2 ``refresh_panel``: a ``foreachBatch`` sink that turns newly arrived bars into
-dashboard indicators. It reads only the last ``tail`` stored bars of the keys in
-the batch (enough for the longest frame, 200 rows), recomputes the window
-columns over tail + new rows, carries the running product of the cumulative
-return from the last stored row, and writes the new rows partitioned by
-(Ticker, batch) with dynamic overwrite, so a replayed batch is idempotent and a
-batch reads only the folders of its own keys.
+L2 ``refresh_panel``: a ``foreachBatch`` sink that turns arriving bars - new,
+late or corrected - into dashboard indicators. Per key of the batch it rewrites
+every row from the first changed date on: the window columns are computed over
+those rows and the ``LONGEST_FRAME`` bars before them, and the running product of
+the cumulative return goes on from the last non-NULL stored value. The panel is
+a log of versions, one folder a batch, sorted by key and date; the last version
+of a bar wins (``read_refreshed``). A replayed batch overwrites its own folder
+and doesn't read it, so replays change nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from barwise.functions.windows import indicators
 
 BAR_COLS = ["Ticker", "Date", "Open", "High", "Low", "Close", "adj_close", "Volume"]
+#: rows before a bar that its widest window column reads, itself included
+LONGEST_FRAME = 200
 IND_COLS = ["SMA_50", "SMA_200", "Return", "Volatility_30d", "Cumulative_Return"]
 
 
@@ -78,44 +80,58 @@ def run_stream_bars(spark: SparkSession, source_path: str, schema, out_path: str
     return latest_versions(spark, out_path)
 
 
-def refresh_panel(panel_path: str, tail: int = 200):
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_refreshed(spark: SparkSession, panel_path: str) -> DataFrame:
+    """The panel of ``refresh_panel``: the last written version of every bar."""
+    return latest_versions(spark, panel_path).select(*BAR_COLS, *IND_COLS)
+
+
+def _stored(spark: SparkSession, panel_path: str, batch_id: int) -> DataFrame | None:
+    """Latest versions from before ``batch_id`` (a replayed batch doesn't see
+    itself); None while no batch is stored."""
+    if not _path_exists(spark, panel_path):
+        return None
+    rows = spark.read.option("basePath", panel_path).parquet(f"{panel_path}/batch=*")
+    w = Window.partitionBy("Ticker", "Date").orderBy(F.col("batch_id").desc())
+    return (rows.filter(F.col("batch_id") < batch_id).withColumn("_rn", F.row_number().over(w))
+            .filter("_rn = 1").select(*BAR_COLS, *IND_COLS))
+
+
+def refresh_panel(panel_path: str, tail: int = LONGEST_FRAME):
     """L2: the ``foreachBatch`` function (see module doc)."""
     def fn(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        new = batch.select(*BAR_COLS).withColumn("_new", F.lit(True))
-        keys = new.select("Ticker").distinct()
-        try:
-            stored = spark.read.parquet(panel_path).join(keys, "Ticker", "left_semi")
-            stored = stored.filter(F.col("batch") < F.lit(batch_id))
-        except AnalysisException:
-            stored = None
-        if stored is not None:
-            w = Window.partitionBy("Ticker").orderBy(F.col("Date").desc())
-            hist = stored.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= tail)
-            carry = hist.filter(F.col("_rk") == 1).select(
-                "Ticker", F.col("Cumulative_Return").alias("_c_last"))
-            both = hist.select(*BAR_COLS).withColumn("_new", F.lit(False)).unionByName(new)
-        else:
-            carry = None
-            both = new
-        ind = indicators(both)
-        # running product over the new rows only, scaled by the stored factor
-        wn = Window.partitionBy("Ticker").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
-        ind = ind.filter("_new").withColumn("_p", F.product(F.lit(1.0) + F.col("Return")).over(wn))
-        if carry is not None:
-            ind = ind.join(carry, "Ticker", "left")
-            ind = ind.withColumn("Cumulative_Return", F.when(
-                F.col("_c_last").isNull(), F.col("_p") - 1.0).otherwise(
-                (F.lit(1.0) + F.col("_c_last")) * F.coalesce(F.col("_p"), F.lit(1.0)) - 1.0))
+        # one version a bar; of several in one batch the greatest row counts
+        whole = F.struct(*BAR_COLS)
+        new = (batch.filter("Ticker is not null and Date is not null").groupBy("Ticker", "Date")
+               .agg(F.max(whole).alias("b")).select("b.*"))
+        since = new.groupBy("Ticker").agg(F.min("Date").alias("_since"))
+        stored = _stored(spark, panel_path, batch_id)
+        if stored is None:
+            ind = indicators(new)
         else:
-            ind = ind.withColumn("Cumulative_Return", F.col("_p") - 1.0)
-        ind = ind.withColumn("Cumulative_Return",
-                             F.when(F.col("Return").isNotNull(), F.col("Cumulative_Return")))
-        out = ind.select(*BAR_COLS, *IND_COLS).withColumn("batch", F.lit(batch_id))
-        # partitioned by key so that the next batch reads only its keys' folders;
-        # dynamic overwrite replaces just (key, batch) folders: replays are idempotent
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("Ticker", "batch").parquet(panel_path))
+            known = stored.join(since, "Ticker")
+            past = known.filter(F.col("Date") < F.col("_since"))
+            # running products at the last bar before the first change
+            carry = past.groupBy("Ticker").agg(F.max_by(
+                "Cumulative_Return", F.when(F.col("Cumulative_Return").isNotNull(), F.col("Date"))).alias("_carry"))
+            back = Window.partitionBy("Ticker").orderBy(F.col("Date").desc())
+            lead_in = past.withColumn("_rk", F.row_number().over(back)).filter(F.col("_rk") <= tail)
+            later = known.filter(F.col("Date") >= F.col("_since")).join(new.select("Ticker", "Date"), ["Ticker", "Date"], "left_anti")
+            bars = lead_in.select(*BAR_COLS).unionByName(later.select(*BAR_COLS)).unionByName(new)
+            ind = indicators(bars).join(since, "Ticker").filter(F.col("Date") >= F.col("_since"))
+            run = Window.partitionBy("Ticker").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
+            grown = F.product(F.lit(1.0) + F.col("Return")).over(run)
+            ind = (ind.withColumn("_p", grown).join(carry, "Ticker", "left")
+                   .withColumn("Cumulative_Return", F.when(F.col("Return").isNotNull(), F.coalesce(
+                       F.lit(1.0) + F.col("_carry"), F.lit(1.0)) * F.col("_p") - 1.0)))
+        (ind.select(*BAR_COLS, *IND_COLS).withColumn("batch_id", F.lit(batch_id))
+            .repartitionByRange("Ticker", "Date").sortWithinPartitions("Ticker", "Date")
+            .write.mode("overwrite").parquet(f"{panel_path}/batch={batch_id}"))
     return fn
 
 
