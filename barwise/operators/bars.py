@@ -75,7 +75,7 @@ def prefer_source(primary: DataFrame, secondary: DataFrame, keys=("Ticker",),
     return primary.unionByName(fallback)
 
 
-# ---------------------------------------------------------------- C1, C2
+# ---------------------------------------------------------------- C1
 def normalize_name(name: str) -> str:
     """Strip, spaces to underscores, 'Adj Close' to snake case."""
     n = re.sub(r"\s+", "_", name.strip())
@@ -86,13 +86,6 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalize_name(c) for c in df.columns])
 
 
-def to_bar_date(df: DataFrame, c="Date", fmt: str | None = None) -> DataFrame:
-    """Parse to a date, dropping any time-of-day / zone (wall clock kept)."""
-    if fmt:
-        return df.withColumn(c, F.to_date(F.col(c).cast("string"), fmt))
-    return df.withColumn(c, F.col(c).cast("date"))
-
-
 # ---------------------------------------------------------------- C3-C8
 def dedup_bars(df: DataFrame, order_col, key="Ticker", date="Date") -> DataFrame:
     """One row per (key, date), the first in ``order_col`` order.
@@ -116,9 +109,12 @@ def ffill(df: DataFrame, cols=tuple(OHLCV), key="Ticker", date="Date") -> DataFr
 
 
 def bfill(df: DataFrame, cols=tuple(OHLCV), key="Ticker", date="Date") -> DataFrame:
-    """Fill what is still missing from the next non-NULL value in the key."""
-    w = Window.partitionBy(key).orderBy(date).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(F.col(c), ignorenulls=True).over(w) for c in cols})
+    """Fill what is still missing from the next non-NULL value in the key.
+
+    A running frame over descending dates: one pass per key (a frame that ends
+    at the partition's end is evaluated anew for every row)."""
+    w = Window.partitionBy(key).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
 
 
 def fill_const(df: DataFrame, values: dict) -> DataFrame:
@@ -133,8 +129,15 @@ def drop_incomplete(df: DataFrame, subset=None) -> DataFrame:
 
 def fill_gaps(df: DataFrame, cols=tuple(OHLCV), key="Ticker", date="Date",
               volume="Volume") -> DataFrame:
-    """C5 -> C6 -> C7 (volume still missing becomes 0)."""
-    out = bfill(ffill(df, cols, key, date), cols, key, date)
+    """C5 -> C6 -> C7 (volume still missing becomes 0).
+
+    After the forward fill only a key's leading gap is left, which takes the
+    key's first non-NULL value: both frames share one sort and one pass."""
+    w = Window.partitionBy(key).orderBy(date)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = df.withColumns({c: F.coalesce(F.last(F.col(c), ignorenulls=True).over(past),
+                                        F.first(F.col(c), ignorenulls=True).over(whole)) for c in cols})
     return fill_const(out, {volume: 0.0}) if volume in cols else out
 
 
