@@ -65,10 +65,13 @@ def quantize(c, bits: int = 20) -> Column:
     Used only at the output edge of registered queries, on values computed by
     aggregates, so that two engines whose sums differ in the last ulp agree.
     Scaling by a power of two is exact, so equal inputs give equal outputs and
-    there are no decimal half-way ties.
+    there are no decimal half-way ties. NaN and values too large for the grid
+    (2**62 / 2**bits and above) pass unchanged.
     """
     scale = float(2 ** bits)
-    return (F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    x = col(c).cast("double")
+    grid = (F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(2.0 ** (62 - bits))), x).otherwise(grid)
 
 
 def round_cols(df, digits: dict):
@@ -76,11 +79,6 @@ def round_cols(df, digits: dict):
     return df.withColumns({c: F.round(F.col(c), d) for c, d in digits.items()})
 
 
-def bround_cols(df, digits: dict):
-    """round half-to-even like numpy."""
-    return df.withColumns({c: F.bround(F.col(c), d) for c, d in digits.items()})
-
-
 def yes_no(cond: Column) -> Column:
     """conditional text label."""
     return F.when(cond, F.lit("Yes")).otherwise(F.lit("No"))

@@ -168,13 +168,6 @@ def sliding_windows(df, x="Close", steps=60, key="Ticker", date="Date", name="x"
     return out.filter(F.size(F.col(name)) == steps)
 
 
-def latest_change(df, close="Close", key="Ticker", date="Date", name="change_pct"):
-    """% change of the last bar vs the previous one, 0 with a single bar."""
-    w = by_key(key, date)
-    return df.withColumn(name, F.coalesce(ratio_minus_one(col(close), F.lag(col(close), 1).over(w))
-                                          * F.lit(100.0), F.lit(0.0)))
-
-
 def with_row_index(df, key="Ticker", date="Date", name="row_in_key"):
     """1-based row number per key in date order."""
     return df.withColumn(name, F.row_number().over(by_key(key, date)))

@@ -28,12 +28,16 @@ def backtest_table(preds: DataFrame, error_sign: str = "pred_minus_actual") -> D
 
 def regression_metrics(preds: DataFrame, by=("model",)) -> DataFrame:
     """E1 + E2: MAE, RMSE, MAPE % (sklearn and the +1e-8 variant), R^2,
-    explained variance and max error per group."""
-    y, p = F.col("actual"), F.col("predicted")
+    explained variance and max error per group.
+
+    Every term is over the rows that hold both values (``n``); the others are
+    counted in ``n_skipped``."""
+    both = F.col("actual").isNotNull() & F.col("predicted").isNotNull()
+    y, p = F.when(both, F.col("actual")), F.when(both, F.col("predicted"))
     e = p - y
-    n = F.count(F.lit(1))
+    n = F.count(e)
     return preds.groupBy(*by).agg(
-        n.alias("n"),
+        n.alias("n"), (F.count(F.lit(1)) - n).alias("n_skipped"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPS64))) * F.lit(100.0)).alias("mape_pct"),

@@ -7,8 +7,6 @@ per-key statistics are joined back on the key.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +89,3 @@ def rolling_folds(df: DataFrame, k: int = 4, key="Ticker", date="Date"):
     fold = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold")
     x = t.select("*", fold).filter(F.col("tile") <= F.col("fold") + 1)
     return x.withColumn("role", F.when(F.col("tile") <= F.col("fold"), "train").otherwise("test"))
-
-
-def floor_frac(n: int, frac: float) -> int:
-    return int(math.floor(n * frac))

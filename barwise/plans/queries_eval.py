@@ -128,7 +128,7 @@ def baseline_predictions(spark, sf):
 METRIC_COLS = ["mae", "rmse", "mape_pct", "mape_eps_pct", "r2", "explained_variance", "max_error",
                "direction_pct"]
 METRIC_CTES = PRED_CTES + [
-    """reg AS (SELECT model, Ticker, count(*) AS n,
+    """reg AS (SELECT model, Ticker, count(*) AS n, count(*) - count(predicted - actual) AS n_skipped,
   avg(abs(predicted - actual)) AS mae,
   sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse,
   avg(abs(predicted - actual) / greatest(abs(actual), 2.220446049250313e-16)) * 100 AS mape_pct,
@@ -154,7 +154,7 @@ def baseline_metrics(spark, sf):
     return m.withColumns({c: quantize(c) for c in METRIC_COLS})
 
 
-@register("baseline_metrics", with_ctes(METRIC_CTES, "SELECT model, Ticker, n, " + ", ".join(
+@register("baseline_metrics", with_ctes(METRIC_CTES, "SELECT model, Ticker, n, n_skipped, " + ", ".join(
     f"{q_sql(c)} AS {c}" for c in METRIC_COLS) + " FROM met"))
 def q_baseline_metrics(spark, sf):
     return baseline_metrics(spark, sf)

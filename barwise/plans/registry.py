@@ -26,8 +26,9 @@ def register(name: str, sql: str | None = None):
 
 def q_sql(expr: str, bits: int = 20) -> str:
     """SQL twin of ``barwise.functions.exprs.quantize``."""
-    scale = float(2 ** bits)
-    return f"CAST(floor(({expr}) * {scale!r} + 0.5) / {scale!r} AS DOUBLE)"
+    scale, x = float(2 ** bits), f"CAST(({expr}) AS DOUBLE)"
+    return (f"CASE WHEN isnan({x}) OR abs({x}) >= {2.0 ** (62 - bits)!r} THEN {x} "
+            f"ELSE CAST(floor({x} * {scale!r} + 0.5) / {scale!r} AS DOUBLE) END")
 
 
 def with_ctes(ctes: list[str], body: str) -> str:

@@ -11,6 +11,9 @@ from barwise.operators.bars import normalize_columns
 from barwise.schema import VENDOR_COLUMNS
 from barwise.session import ensure_checkpoint_dir
 
+#: texts (lower case) that stand for a missing value
+MISSING = ["", "null", "na", "n/a", "nan", "none"]
+
 _DOUBLE_COLS = ["Open", "High", "Low", "Close", "adj_close", "Volume"]
 
 
@@ -21,19 +24,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def read_bars_csv(spark: SparkSession, path: str, date_fmt: str | None = None) -> DataFrame:
+def _number(c):
+    return F.col(c).try_cast("double")
+
+
+def _date(c, fmt: str | None):
+    return F.try_to_timestamp(F.col(c).cast("string"), F.lit(fmt)).cast("date") if fmt else F.col(c).try_cast("date")
+
+
+def _with_bad_cells(df: DataFrame, casts: dict) -> DataFrame:
+    bad = [(new.isNull() & F.col(c).isNotNull() & ~F.lower(F.trim(c)).isin(MISSING)).cast("int") for c, new in casts.items()]
+    return df.withColumns({**casts, "_bad_cells": sum(bad, F.lit(0))})
+
+
+def read_bars_csv(spark: SparkSession, path: str, date_fmt: str | None = None, flag_bad: bool = False) -> DataFrame:
     """Bar CSV with a header. Names are normalised (C1: 'Adj Close' ->
     adj_close), the date parsed (C2) and prices cast to double. Partition
-    folders (``Ticker=...``) are read back as a string column."""
+    folders (``Ticker=...``) are read back as a string column. Cells that hold no
+    number or date (``null``, ``NA``, ...) read as NULL; ``flag_bad`` adds
+    ``_bad_cells``, the row's cells that hold neither a value nor one of
+    ``MISSING``."""
     raw = spark.read.option("header", True).option("inferSchema", False) \
         .option("recursiveFileLookup", False).csv(path)
     df = normalize_columns(raw)
-    casts = {c: F.col(c).cast("double") for c in _DOUBLE_COLS if c in df.columns}
+    casts = {c: _number(c) for c in _DOUBLE_COLS if c in df.columns}
     if "Date" in df.columns:
-        casts["Date"] = F.to_date("Date", date_fmt) if date_fmt else F.col("Date").cast("date")
+        casts["Date"] = _date("Date", date_fmt)
     if "Ticker" in df.columns:
-        casts["Ticker"] = F.col("Ticker").cast("string")
-    return df.withColumns(casts)
+        df = df.withColumn("Ticker", F.col("Ticker").cast("string"))
+    return _with_bad_cells(df, casts) if flag_bad else df.withColumns(casts)
 
 
 def read_vendor_csv(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
@@ -44,19 +63,27 @@ def read_vendor_csv(spark: SparkSession, path: str, ticker: str | None = None) -
     key = F.col("`<TICKER>`") if "<TICKER>" in raw.columns else F.lit(ticker)
     df = raw.select(key.cast("string").alias("Ticker"), *cols)
     return df.withColumns({
-        "Date": F.to_date(F.col("Date").cast("string"), "yyyyMMdd"),
-        **{c: F.col(c).cast("double") for c in ["Open", "High", "Low", "Close", "Volume"]}})
+        "Date": _date("Date", "yyyyMMdd"),
+        **{c: _number(c) for c in ["Open", "High", "Low", "Close", "Volume"]}})
+
+
+def sorted_by(df: DataFrame, keys=("Ticker", "Date")) -> DataFrame:
+    """Rows in order of ``keys`` over the whole output (range partitions,
+    sorted within, so part files follow each other)."""
+    keys = [k for k in keys if k in df.columns]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, no index."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header, no index, sorted by key and date."""
+    sorted_by(df).write.mode(mode).option("header", True).csv(path)
 
 
 def export_csv(df: DataFrame, path: str, partition_by: str | None = "Ticker",
                mode: str = "overwrite") -> None:
-    """One folder per key (the key is the file name part), written in parallel."""
-    w = df.write.mode(mode).option("header", True)
+    """One folder per key (the key is the file name part), written in
+    parallel, each file sorted by date."""
+    w = sorted_by(df).write.mode(mode).option("header", True)
     (w.partitionBy(partition_by) if partition_by else w).csv(path)
 
 
