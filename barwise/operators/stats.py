@@ -22,7 +22,7 @@ def profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row per column: n, nulls, n_distinct, min, max, mean (numeric columns).
 
     The wide table is unpivoted to (column, value) so that a single distinct
-    aggregate serves every column.
+    aggregate serves every column. Text, date and other columns: ``profile_text``.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column", "value")
@@ -34,6 +34,16 @@ def profile(df: DataFrame, cols: list[str]) -> DataFrame:
         F.avg("value").alias("mean"))
 
 
+def profile_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """S7 for key, date and text columns (any type, as text): n, nulls,
+    n_distinct, first and last value in text order, longest value."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    return long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("value")).alias("nulls"),
+        F.count_distinct("value").alias("n_distinct"), F.min("value").alias("first_value"),
+        F.max("value").alias("last_value"), F.max(F.length("value")).alias("max_length"))
+
+
 def date_range(df: DataFrame, date="Date", key=None) -> DataFrame:
     """First and last date (per key when given)."""
     g = df.groupBy(key) if key else df.groupBy()
@@ -205,6 +215,19 @@ def anomaly_rate(df: DataFrame, flag="is_anomaly", key="Ticker") -> DataFrame:
                                F.count_if(F.col(flag)).alias("n_anomalies"))
 
 
+def overall_anomaly_rate(df: DataFrame, flag="is_anomaly") -> DataFrame:
+    """A14 over all keys: one row."""
+    return df.agg((F.avg(F.col(flag).cast("double")) * F.lit(100.0)).alias("anomaly_rate_pct"),
+                  F.count_if(F.col(flag)).alias("n_anomalies"), F.count(F.lit(1)).alias("n"))
+
+
+def anomaly_calendar(df: DataFrame, keys: list[str], flag="is_anomaly", key="Ticker", date="Date") -> DataFrame:
+    """A11 for anomalies: year-month x key counts of flagged rows, zero filled
+    (explicit pivot keys; months without an anomaly have no row)."""
+    return (df.filter(F.col(flag)).groupBy(F.date_format(date, "yyyy-MM").alias("YearMonth"))
+            .pivot(key, keys).agg(F.count(F.lit(1))).na.fill(0, keys))
+
+
 # ---------------------------------------------------------------- T3, T5
 def top_abs(df: DataFrame, x: str, k: int = 10, tie=("Date", "Ticker")) -> DataFrame:
     """The k rows with the largest |x| (TakeOrderedAndProject: each task
@@ -218,6 +241,11 @@ def last_rows(df: DataFrame, n: int = 10, key="Ticker", date="Date") -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def tail_rows(df: DataFrame, n: int = 10, order=("Date", "Ticker")) -> DataFrame:
+    """T5 over the whole table: the last n rows (top n per task, then merged)."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
 # ---------------------------------------------------------------- J1
 def with_fundamentals(df: DataFrame, dim: DataFrame, key="Ticker") -> DataFrame:
     """Left join of the fundamentals dimension with the reference's defaults:

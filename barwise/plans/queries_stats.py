@@ -218,6 +218,48 @@ def q_anomaly_rate(spark, sf):
     return _q(St.anomaly_rate(St.zscore_flags(panel(spark, sf), "Daily_Return")), ["anomaly_rate_pct"])
 
 
+@register("anomaly_rate_overall", with_ctes(PANEL_CTES + Z_CTE, f"""
+SELECT {q_sql('avg(CAST(is_anomaly AS DOUBLE)) * 100')} AS anomaly_rate_pct,
+  count(*) FILTER (WHERE is_anomaly) AS n_anomalies, count(*) AS n FROM z"""))
+def q_anomaly_rate_overall(spark, sf):
+    return _q(St.overall_anomaly_rate(St.zscore_flags(panel(spark, sf), "Daily_Return")), ["anomaly_rate_pct"])
+
+
+@register("anomaly_top_moves", with_ctes(PANEL_CTES + Z_CTE, f"""
+SELECT Date, Ticker, Daily_Return, {q_sql('Volume_Ratio')} AS Volume_Ratio FROM z WHERE is_anomaly
+ORDER BY abs(Daily_Return) DESC, Date, Ticker LIMIT 10"""))
+def q_anomaly_top_moves(spark, sf):
+    """T3 on the flagged rows only."""
+    flagged = St.zscore_flags(panel(spark, sf), "Daily_Return").filter("is_anomaly")
+    return St.top_abs(flagged, "Daily_Return", 10).select(
+        "Date", "Ticker", "Daily_Return", quantize("Volume_Ratio").alias("Volume_Ratio"))
+
+
+REGIONS = [k for _, k in X.UNIVERSE]
+
+
+@register("anomaly_calendar", with_ctes(PANEL_CTES + Z_CTE, """
+SELECT strftime(Date, '%Y-%m') AS YearMonth, """ + ", ".join(
+    f"""count(*) FILTER (WHERE Ticker = '{k}') AS "{k}\"""" for k in REGIONS) + """
+FROM z WHERE is_anomaly GROUP BY 1"""))
+def q_anomaly_calendar(spark, sf):
+    return St.anomaly_calendar(St.zscore_flags(panel(spark, sf), "Daily_Return"), REGIONS)
+
+
+@register("profile_text", with_ctes(X.DIRTY_BARS_SQL, " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct,
+  min(CAST({c} AS VARCHAR)) AS first_value, max(CAST({c} AS VARCHAR)) AS last_value,
+  max(length(CAST({c} AS VARCHAR))) AS max_length FROM dirty""" for c in ["Ticker", "Date"])))
+def q_profile_text(spark, sf):
+    return St.profile_text(X.dirty_bars(spark, sf), ["Ticker", "Date"])
+
+
+@register("tail_rows", with_ctes(X.REGION_BARS_SQL, """
+SELECT Ticker, Date, Open, High, Low, Close, adj_close, Volume FROM bars ORDER BY Date DESC, Ticker DESC LIMIT 10"""))
+def q_tail_rows(spark, sf):
+    return St.tail_rows(X.region_bars(spark, sf), 10)
+
+
 @register("top_moves", with_ctes(PANEL_CTES, f"""
 SELECT Date, Ticker, Daily_Return, {q_sql('Volume_Ratio')} AS Volume_Ratio FROM df_clean
 ORDER BY abs(Daily_Return) DESC, Date, Ticker LIMIT 10"""))
