@@ -94,11 +94,15 @@ def materialize_small(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores before an MLlib fit.
+    """Deal the rows out before an MLlib fit.
 
     Design tables come out of per-key windows; with few keys AQE coalesces them
     into a handful of partitions, and every MLlib pass would then run on a few
-    cores. The round-robin shuffle is deterministic (Spark sorts before it), so
-    a lost partition is recomputed with the same rows.
+    cores. The number of partitions follows the larger of cores and shuffle
+    partitions, which the submitter sizes with the data. The round-robin shuffle
+    is deterministic (Spark sorts before it), so a lost partition is recomputed
+    with the same rows.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism,
+                              int(spark.conf.get("spark.sql.shuffle.partitions"))))

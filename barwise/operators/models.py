@@ -26,7 +26,7 @@ def design(ml: DataFrame, features=tuple(SUPERVISED_FEATURES), label="Target_Nex
     checkpoint (several models read the same design)."""
     cols = list(features)
     z = zscore(ml, cols, fit_on, split)
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     out = va.transform(z).select("Ticker", "Date", split, F.col(label).alias("label"), "features")
     return materialize_small(spread(out))
 
@@ -61,13 +61,12 @@ def fit_lasso(train: DataFrame, alpha: float = 0.001, max_iter: int = 20000):
                             maxIter=max_iter, tol=1e-8).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 300, seed: int = 42, max_depth: int = 10):
+def fit_forest(train: DataFrame, trees: int = 300, seed: int = 42, max_depth: int = 30):
     """M4: random forest, all features per split (sklearn's regressor default).
 
     Trees are grown level by level over the whole forest; node ids are cached
     and the per-pass node budget raised so a level of all 300 trees fits in one
-    pass. Depth is capped at 10 by default (sklearn grows to purity; MLlib
-    allows 30, but every level is one more pass over the data)."""
+    pass. Trees grow until their leaves are pure or MLlib's limit of 30 levels."""
     rf = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=max_depth,
                                maxBins=64, seed=seed, subsamplingRate=1.0, bootstrap=True,
                                cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
@@ -79,23 +78,48 @@ PRESETS = {
     "leafwise": dict(stepSize=0.05, maxDepth=5, featureSubsetStrategy="0.9", subsamplingRate=0.8),
     # depth-wise booster preset: eta .05, depth 6, 80 % rows, 80 % columns
     "depthwise": dict(stepSize=0.05, maxDepth=6, featureSubsetStrategy="0.8", subsamplingRate=0.8),
+    # dashboard booster: all rows and columns, a fixed number of rounds
+    "app": dict(stepSize=0.05, maxDepth=6, featureSubsetStrategy="all", subsamplingRate=1.0),
 }
 
 
-def fit_gbt(train: DataFrame, preset: str = "leafwise", max_rounds: int = 100, seed: int = 42,
-            valid_frac: float = 0.1):
+def fit_rounds(train: DataFrame, preset: str, rounds: int, seed: int = 42):
+    """Boosted trees with a fixed number of rounds."""
+    return GBTRegressor(maxIter=rounds, seed=seed, maxBins=64, checkpointInterval=10, **PRESETS[preset]).fit(train)
+
+
+def stopping_round(errors: list[float], patience: int) -> int | None:
+    """Best round (from 1) once ``patience`` rounds in a row brought no better
+    error; None while the run should go on."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1
+    return None
+
+
+def fit_gbt(train: DataFrame, preset: str = "leafwise", max_rounds: int = 2000, patience: int = 100,
+            seed: int = 42, valid_frac: float = 0.1):
     """M5/M6: boosted trees with early stopping on an own validation slice
-    (the last 10 % of train dates, quirk Q10). The best round is the argmin of
-    the validation MAE per iteration; the model is refitted with that many
-    rounds (the same seed gives the same first trees)."""
+    (the last 10 % of train dates, quirk Q10): training ends when the validation
+    MAE has not improved for ``patience`` rounds, or after ``max_rounds``. The
+    final model has the best number of rounds and is fitted on all train rows.
+
+    MLlib can't resume a fit, so the search doubles the number of rounds until
+    patience ends it (the same seed gives the same first trees)."""
     cut = time_cutoff(train, 1.0 - valid_frac)
     fit_part = train.filter(F.col("Date") < F.lit(cut)) if cut else train
     valid = train.filter(F.col("Date") >= F.lit(cut)) if cut else train
-    params = dict(PRESETS[preset], seed=seed, maxBins=64, checkpointInterval=10)
-    m = GBTRegressor(maxIter=max_rounds, **params).fit(fit_part)
-    errs = m.evaluateEachIteration(valid, "absolute")
-    best = int(min(range(len(errs)), key=lambda i: errs[i])) + 1
-    return GBTRegressor(maxIter=best, **params).fit(fit_part), best
+    rounds, best = min(2 * patience, max_rounds), None
+    while best is None:
+        errors = fit_rounds(fit_part, preset, rounds, seed).evaluateEachIteration(valid, "absolute")
+        best = stopping_round(errors, patience)
+        if best is None and rounds >= max_rounds:
+            best = min(range(len(errors)), key=lambda i: errors[i]) + 1
+        rounds = min(2 * rounds, max_rounds)
+    return fit_rounds(train, preset, best, seed), best
 
 
 def fit_direction(train: DataFrame, n_features: int, seed: int = 42, max_iter: int = 100):
@@ -116,6 +140,8 @@ def backtest(d: DataFrame, model_name: str, **kw) -> DataFrame:
         m = fit_lasso(train, **kw)
     elif model_name == "forest":
         m = fit_forest(train, **kw)
+    elif model_name == "gbt_app":
+        m = fit_rounds(train, "app", kw.get("rounds", 500))
     elif model_name.startswith("gbt_"):
         m, _ = fit_gbt(train, preset=model_name[4:], **kw)
     else:

@@ -3,8 +3,9 @@
 K-Means, PCA and the Gaussian mixture are MLlib estimators. The isolation
 forest (M8), which MLlib lacks, is a Spark job:
 
-1. sample: one Bernoulli sample of about trees * psi rows, each sampled row
-   assigned to a random tree and capped at psi rows per tree (row_number);
+1. sample: every row draws for every tree on its own (a hash of row, tree and
+   seed below a probability that leaves more than psi rows a tree), and each tree
+   keeps the psi rows of least hash: min(psi, n) rows a tree at every size;
 2. grow: ``groupBy("tree").applyInPandas`` grows every tree from its <= psi
    rows (random feature, random split between the node's min and max, depth
    limit ceil(log2 psi)), emitting nodes as rows;
@@ -41,7 +42,7 @@ def unsup_design(df: DataFrame, features=tuple(UNSUPERVISED_FEATURES), fill_null
     cols = list(features)
     d = df.na.fill(0.0, cols) if fill_null else df
     z = zscore(d, cols, fit_on=None) if scale else d
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     return materialize_small(va.transform(z).select("Ticker", "Date", *cols, "features"))
 
 
@@ -84,11 +85,11 @@ def _grow(cols, psi, seed):
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed * 100003 + tree)
         X = pdf[cols].to_numpy(dtype="float64")
-        nodes = []  # node, feature, threshold, left, right, size, depth
+        nodes = []  # node, feature, threshold, left, right, path length of a row that ends here
 
         def build(idx, depth):
             nid = len(nodes)
-            nodes.append([nid, -1, 0.0, -1, -1, len(idx), depth])
+            nodes.append([nid, -1, 0.0, -1, -1, depth + _c(len(idx))])
             if depth >= limit or len(idx) <= 1:
                 return nid
             sub = X[idx]
@@ -106,22 +107,20 @@ def _grow(cols, psi, seed):
             return nid
         build(np.arange(len(X)), 0)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right",
-                                           "size", "depth"])
+                                           "path"])
         out.insert(0, "tree", tree)
         return out
     return fn
 
 
 def _score(cols, forest_bc, psi: int):
-    cn = _c(psi)
-    leaf_adj = np.vectorize(_c)
+    cn = _c(psi) or 1.0  # every tree has psi rows at its root
 
     def fn(batches):
         forest = forest_bc.value
         trees = []
         for _, t in forest.sort_values(["tree", "node"]).groupby("tree"):
-            trees.append({k: t[k].to_numpy() for k in ["feature", "threshold", "left", "right",
-                                                        "size", "depth"]})
+            trees.append({k: t[k].to_numpy() for k in ["feature", "threshold", "left", "right", "path"]})
         for pdf in batches:
             X = pdf[cols].to_numpy(dtype="float64")
             total = np.zeros(len(X))
@@ -133,7 +132,7 @@ def _score(cols, forest_bc, psi: int):
                     go_left = X[active, f] < t["threshold"][node[active]]
                     node[active] = np.where(go_left, t["left"][node[active]], t["right"][node[active]])
                     active = t["feature"][node] >= 0
-                total += t["depth"][node] + leaf_adj(t["size"][node].astype(float))
+                total += t["path"][node]
             eh = total / len(trees)
             out = pdf[["Ticker", "Date"]].copy()
             out["anomaly_score"] = np.power(2.0, -eh / cn)
@@ -141,23 +140,35 @@ def _score(cols, forest_bc, psi: int):
     return fn
 
 
+def tree_samples(d: DataFrame, cols: list[str], trees: int, psi: int, n: int, seed: int) -> DataFrame:
+    """(tree, cols): ``psi`` of the ``n`` rows for every tree, drawn without
+    replacement and independently of the other trees."""
+    grid = 1 << 30
+    share = min(1.0, (psi + 6.0 * math.sqrt(psi)) / max(n, 1))  # six deviations above psi
+    draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64("Ticker", "Date", t, F.lit(seed)), F.lit(grid)).alias("u")))
+    hits = d.select(*cols, F.explode(F.filter(draw, lambda x: x["u"] < int(share * grid))).alias("x"),
+                    F.xxhash64("Ticker", "Date").alias("_k"))
+    w = Window.partitionBy("x.tree").orderBy("x.u", "_k")
+    return (hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
+            .select(F.col("x.tree").alias("tree"), *cols))
+
+
 def isolation_scores(d: DataFrame, features=tuple(UNSUPERVISED_FEATURES), trees: int = 100,
                      psi: int = 256, contamination: float = 0.02, seed: int = 42) -> DataFrame:
+    """Anomaly score per (Ticker, Date) and the flag of the ``contamination``
+    highest (the row key must be unique)."""
     cols = list(features)
     n = d.count()
     psi = int(min(psi, n))
-    frac = min(1.0, 1.5 * trees * psi / max(n, 1))
-    samp = d.select(*cols).sample(fraction=frac, seed=seed)
-    samp = samp.withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-    samp = samp.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy(F.rand(seed + 2))))
-    samp = samp.filter(F.col("_r") <= psi).drop("_r")
-    schema = ("tree int, node long, feature long, threshold double, left long, right long, "
-              "size long, depth long")
+    samp = tree_samples(d, cols, trees, psi, n, seed)
+    schema = "tree int, node long, feature long, threshold double, left long, right long, path double"
     forest = samp.groupBy("tree").applyInPandas(_grow(cols, psi, seed), schema).toPandas()
     # the forest is bounded by trees * (2 psi - 1) nodes whatever the data size
     bc = d.sparkSession.sparkContext.broadcast(forest)
-    scored = d.select("Ticker", "Date", *cols).mapInPandas(
-        _score(cols, bc, psi), "Ticker string, Date date, anomaly_score double")
+    # read by the quantile and by the result: score once
+    scored = materialize_small(d.select("Ticker", "Date", *cols).mapInPandas(
+        _score(cols, bc, psi), "Ticker string, Date date, anomaly_score double"))
     thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 100000)).first()[0]
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(thr))
 

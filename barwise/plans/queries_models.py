@@ -52,7 +52,7 @@ def q_forest_lags(spark, sf):
 
 
 def q_gbt_lags(spark, sf):
-    return Mo.backtest(lag_design(spark, sf), "gbt_depthwise")
+    return Mo.backtest(lag_design(spark, sf), "gbt_app")
 
 
 REGISTRY["forest_lags"] = (q_forest_lags, None)
@@ -70,8 +70,8 @@ def q_model_leaderboard(spark, sf):
     preds = Me.collect_backtests(
         Ts.ar_backtest(bars, 5, "Close", model="arima"),
         Ts.seasonal_backtest(bars, "Close", model="seasonal"),
-        Ts.window_regressor_backtest(bars, 60, "Close", model="window_regressor"),
-        Mo.backtest(lags, "forest"), Mo.backtest(lags, "gbt_depthwise"))
+        Ts.window_regressor_backtest(bars, price="Close", model="window_regressor"),
+        Mo.backtest(lags, "forest"), Mo.backtest(lags, "gbt_app"))
     m = Me.regression_metrics(preds, ("model", "Ticker")).join(
         Me.direction_accuracy(preds, ("model", "Ticker")), ["model", "Ticker"])
     return Me.leaderboard(m.select("Ticker", "model", "mae", "rmse", "mape_eps_pct", "r2",
