@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwise.functions.exprs import round_cols, yes_no
 from barwise.functions.windows import by_key
 from barwise.operators.lsq import grouped_gram, materialize_small, solve
 from barwise.operators.splits import split_per_key
@@ -76,7 +77,7 @@ def df_test(df: DataFrame, price="adj_close", key="Ticker", date="Date") -> Data
 def choose_series(test: DataFrame, key="Ticker") -> DataFrame:
     """Model the price when it is stationary at 5 %, else the log returns."""
     st = F.coalesce(F.col("stationary"), F.lit(False))
-    return test.select(key, F.when(st, "Yes").otherwise("No").alias("Price_Stationary"),
+    return test.select(key, yes_no(st).alias("Price_Stationary"),
                        F.when(st, "price").otherwise("log_return").alias("Series_Used"))
 
 
@@ -184,12 +185,35 @@ def fit_ar(df: DataFrame, p: int = 5, price="Close", key="Ticker", date="Date")
 
 
 def ar_order_by_aic(df: DataFrame, max_p: int = 5, price="Close", key="Ticker", date="Date"):
-    """Order search: AIC of AR(1..max_p) per key; best order flagged."""
-    df = materialize_small(df.select(key, date, price))
-    fits = None
-    for p in range(1, max_p + 1):
-        f = fit_ar(df, p, price, key, date).select(key, F.lit(p).alias("p"), "aic")
-        fits = f if fits is None else fits.unionByName(f)
+    """Order search: AIC of AR(1..max_p) on first differences per key; the best
+    order is flagged. All orders share the rows that have ``max_p`` lags, and one
+    Gram job: order p is the leading sub-block."""
+    x = _lagged_diffs(materialize_small(df.select(key, date, price)), price, key, date, max_p)
+    return _orders(x, "_dy", [f"_d{j}" for j in range(1, max_p + 1)], key)
+
+
+def ar_orders_on_levels(df: DataFrame, max_p: int = 5, value="value", key="Ticker", date="Date"):
+    """``ar_order_by_aic`` without differencing: AR(1..max_p) of a series that is
+    modelled as it is."""
+    lags = {f"_l{j}": F.lag(F.col(value), j).over(by_key(key, date)) for j in range(1, max_p + 1)}
+    x = materialize_small(df.select(key, date, value)).withColumns(lags).withColumn("_one", F.lit(1.0))
+    return _orders(x, value, list(lags), key)
+
+
+def _orders(x: DataFrame, y: str, lags: list[str], key: str) -> DataFrame:
+    k = len(lags) + 1
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, r in pdf.iterrows():
+            xtx, xty, n = np.asarray(r["xtx"]).reshape(k, k), np.asarray(r["xty"]), int(r["n"])
+            for p in range(1, k):
+                _, ssr, _ = solve(xtx[:p + 1, :p + 1].ravel(), xty[:p + 1], r["yty"], n)
+                aic = n * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1) + 2 * (p + 1)
+                rows.append((r["key"], p, aic))
+        return pd.DataFrame(rows, columns=["key", "p", "aic"])
+    fits = grouped_gram(x, key, ["_one", *lags], y).groupBy("key").applyInPandas(fn, "key string, p int, aic double")
+    fits = materialize_small(fits.withColumnRenamed("key", key))
     best = F.row_number().over(Window.partitionBy(key).orderBy("aic", "p")) == 1
     return fits.withColumn("is_best", best)
 
@@ -233,7 +257,25 @@ def ar_backtest(df: DataFrame, p: int = 5, price="Close", frac: float = 0.8, key
         F.lit(model).alias("model"), key, date, F.col(price).alias("actual"), "predicted")
 
 
+def ar_future(df: DataFrame, n: int = 30, p: int = 5, price="Close", key="Ticker", date="Date",
+              model="arima") -> DataFrame:
+    """ARIMA(p,1,0) fitted on all bars, over the next ``n`` business days:
+    (model, key, Date, yhat)."""
+    df = materialize_small(df.select(key, date, price))
+    coef = fit_ar(df, p, price, key, date)
+    x = _lagged_diffs(df, price, key, date, p)
+    last = x.groupBy(key).agg(F.max_by(F.struct(F.col(price).alias("lvl"), F.array(
+        "_dy", *[f"_d{j}" for j in range(1, p)]).alias("w")), date).alias("s"))
+    fc = last.join(coef, key).select(key, F.col("s.lvl").alias("lvl"), F.posexplode(recursive_forecast(
+        F.col("s.w"), F.col("phi"), F.col("const"), F.lit(n))).alias("pos", "dyhat"))
+    cum = F.sum("dyhat").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    fc = fc.select(key, (F.col("pos") + 1).alias("step"), (F.col("lvl") + cum).alias("yhat"))
+    return business_days(df, n, key, date).join(fc, [key, "step"]).select(F.lit(model).alias("model"), key, date, "yhat")
+
+
 # ---------------------------------------------------------------- M13
+#: research preset: yearly and weekly terms only
+RESEARCH_SEASONS = [("yearly", 365.25, 10), ("weekly", 7.0, 3)]
 SEASONS = [("yearly", 365.25, 10), ("weekly", 7.0, 3), ("monthly", 30.5, 5)]
 
 
@@ -258,14 +300,40 @@ def _seasonal_design(df, key, date, n_changepoints, seasons):
 
 def seasonal_backtest(df: DataFrame, price="Close", key="Ticker", date="Date", frac=0.8,
                       n_changepoints: int = 25, seasons=SEASONS, multiplicative=False,
-                      ridge: float = 1.0, model="seasonal") -> DataFrame:
+                      ridge: float = 1.0, model="seasonal", holidays: DataFrame | None = None) -> DataFrame:
     """Trend + Fourier seasonality regression per key (M13, point forecasts):
     piecewise-linear trend with hinges in the first 80 % of the train span,
     sin/cos terms per season; ridge on everything but level and slope; fit on
-    the train part, predict the test part. ``multiplicative`` fits ln(price)."""
+    the train part, predict the test part. ``multiplicative`` fits ln(price).
+    ``holidays`` (holiday, Date): one 0/1 term per holiday name (a dimension of a
+    few names; its dates are joined, its names read)."""
     df = materialize_small(df.select(key, date, price))
     s = split_per_key(df, frac, key, date)
+    t = _seasonal_predict(s, "test", price, key, date, n_changepoints, seasons, multiplicative, ridge, holidays)
+    return t.select(F.lit(model).alias("model"), key, date, F.col(price).alias("actual"), "predicted")
+
+
+def seasonal_forecast(df: DataFrame, n: int = 30, price="Close", key="Ticker", date="Date",
+                      n_changepoints: int = 25, seasons=SEASONS, multiplicative=False, ridge: float = 1.0,
+                      model="seasonal", holidays: DataFrame | None = None) -> DataFrame:
+    """The seasonal model fitted on all bars, on the next ``n`` business days:
+    (model, key, Date, yhat)."""
+    df = materialize_small(df.select(key, date, price))
+    days = business_days(df, n, key, date).select(key, date, F.lit(None).cast("double").alias(price))
+    both = df.withColumn("split", F.lit("train")).unionByName(days.withColumn("split", F.lit("future")))
+    t = _seasonal_predict(both, "future", price, key, date, n_changepoints, seasons, multiplicative, ridge, holidays)
+    return t.select(F.lit(model).alias("model"), key, date, F.col("predicted").alias("yhat"))
+
+
+def _seasonal_predict(s, part, price, key, date, n_changepoints, seasons, multiplicative, ridge, holidays):
+    """Rows of ``part`` with ``predicted``, fitted on the train rows."""
     x, cols = _seasonal_design(s, key, date, n_changepoints, seasons)
+    if holidays is not None:
+        names = sorted(r[0] for r in holidays.select("holiday").distinct().collect())
+        flags = holidays.groupBy(F.col("Date").alias(date)).pivot("holiday", names).agg(F.lit(1.0))
+        flags = flags.select(date, *[F.col(f"`{h}`").alias(f"_h{i}") for i, h in enumerate(names)])
+        x = x.join(flags, date, "left").na.fill(0.0, [f"_h{i}" for i in range(len(names))])
+        cols += [f"_h{i}" for i in range(len(names))]
     y = F.ln(F.col(price)) if multiplicative else F.col(price)
     x = x.withColumn("_y", y)
     g = grouped_gram(x.filter(F.col("split") == "train"), key, cols, "_y")
@@ -280,24 +348,16 @@ def seasonal_backtest(df: DataFrame, price="Close", key="Ticker", date="Date", f
         return pd.DataFrame(rows, columns=["key", "beta"])
     coef = materialize_small(g.groupBy("key").applyInPandas(fn, "key string, beta array<double>")
                              .withColumnRenamed("key", key))
-    t = x.filter(F.col("split") == "test").join(coef, key)
-    yhat = F.aggregate(F.zip_with(F.array(*cols), F.col("beta"), lambda a, b: a * b),
-                       F.lit(0.0), lambda a, v: a + v)
-    yhat = F.exp(yhat) if multiplicative else yhat
-    return t.select(F.lit(model).alias("model"), key, date, F.col(price).alias("actual"),
-                    yhat.alias("predicted"))
+    yhat = _dot(cols, F.col("beta"), F.lit(0.0))
+    return x.filter(F.col("split") == part).join(coef, key).withColumn(
+        "predicted", F.exp(yhat) if multiplicative else yhat)
 
 
 # ---------------------------------------------------------------- M15
-def window_regressor_backtest(df: DataFrame, lookback: int = 60, price="Close", key="Ticker",
-                              date="Date", frac=0.8, ridge: float = 1e-3,
-                              model="window_regressor") -> DataFrame:
-    """Lookback-window regressor (re-aim of the recurrent nets): per-key
-    min-max scaling fitted on train, ridge on the previous ``lookback`` scaled
-    values, recursive multi-step forecast over the test part, inverse scaling."""
+def _fit_window_regressor(s: DataFrame, lookback: int, price: str, key: str, date: str, ridge: float):
+    """Scaled lags per row, their names (latest first) and the coefficients per
+    key, fitted on the train rows of ``s``."""
     from barwise.operators.splits import minmax
-    df = materialize_small(df.select(key, date, price))
-    s = split_per_key(df, frac, key, date)
     s = minmax(s, price, "train", key=key, name="_xs")
     w = by_key(key, date)
     lagc = {f"_l{j}": F.lag("_xs", j).over(w) for j in range(1, lookback + 1)}
@@ -315,20 +375,41 @@ def window_regressor_backtest(df: DataFrame, lookback: int = 60, price="Close",
         return pd.DataFrame(rows, columns=["key", "const", "coef"])
     coef = materialize_small(g.groupBy("key").applyInPandas(
         fn, "key string, const double, coef array<double>").withColumnRenamed("key", key))
-    test = x.filter(F.col("split") == "test").withColumn(
-        "step", F.row_number().over(Window.partitionBy(key).orderBy(date)))
-    # the first test row's lags are the last `lookback` scaled train values
-    first = test.filter(F.col("step") == 1).select(
-        key, F.array(*lagc).alias("state"), f"{price}_min", f"{price}_max")
-    h = test.groupBy(key).agg(F.max("step").alias("h"))
-    plan = first.join(coef, key).join(h, key)
-    fc = plan.select(key, f"{price}_min", f"{price}_max", F.posexplode(recursive_forecast(
-        F.col("state"), F.col("coef"), F.col("const"), F.col("h"))).alias("pos", "ys"))
-    fc = fc.select(key, (F.col("pos") + 1).alias("step"),
-                   (F.col("ys") * (F.col(f"{price}_max") - F.col(f"{price}_min"))
-                    + F.col(f"{price}_min")).alias("predicted"))
-    return test.join(fc, [key, "step"]).select(
-        F.lit(model).alias("model"), key, date, F.col(price).alias("actual"), "predicted")
+    return x, list(lagc), coef
+
+
+def _dot(cols, coef, const):
+    return const + F.aggregate(F.zip_with(F.array(*cols), coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def window_regressor_backtest(df: DataFrame, lookback: int = 90, price="Close", key="Ticker",
+                              date="Date", frac=0.8, ridge: float = 1e-3,
+                              model="window_regressor") -> DataFrame:
+    """Lookback-window regressor (re-aim of the recurrent nets): per-key
+    min-max scaling fitted on train, ridge on the previous ``lookback`` scaled
+    values. Each test bar is predicted one step ahead from the true window
+    before it."""
+    s = split_per_key(materialize_small(df.select(key, date, price)), frac, key, date)
+    x, lags, coef = _fit_window_regressor(s, lookback, price, key, date, ridge)
+    ys = _dot(lags, F.col("coef"), F.col("const"))
+    back = ys * (F.col(f"{price}_max") - F.col(f"{price}_min")) + F.col(f"{price}_min")
+    return x.filter(F.col("split") == "test").join(coef, key).select(
+        F.lit(model).alias("model"), key, date, F.col(price).alias("actual"), back.alias("predicted"))
+
+
+def window_regressor_forecast(df: DataFrame, n: int = 30, lookback: int = 90, price="Close", key="Ticker",
+                              date="Date", ridge: float = 1e-3, model="window_regressor") -> DataFrame:
+    """The lookback model fitted on all bars and fed its own predictions over the
+    next ``n`` business days: (model, key, Date, yhat)."""
+    df = materialize_small(df.select(key, date, price))
+    x, lags, coef = _fit_window_regressor(df.withColumn("split", F.lit("train")), lookback, price, key, date, ridge)
+    state = F.array("_xs", *lags[:-1])
+    last = x.groupBy(key).agg(F.max_by(F.struct(state.alias("w"), F.col(f"{price}_min").alias("lo"),
+                                                F.col(f"{price}_max").alias("hi")), date).alias("s"))
+    fc = last.join(coef, key).select(key, "s.lo", "s.hi", F.posexplode(recursive_forecast(
+        F.col("s.w"), F.col("coef"), F.col("const"), F.lit(n))).alias("pos", "ys"))
+    fc = fc.select(key, (F.col("pos") + 1).alias("step"), (F.col("ys") * (F.col("hi") - F.col("lo")) + F.col("lo")).alias("yhat"))
+    return business_days(df, n, key, date).join(fc, [key, "step"]).select(F.lit(model).alias("model"), key, date, "yhat")
 
 
 # ---------------------------------------------------------------- K1-K3
@@ -356,17 +437,46 @@ def forecast_table(forecasts: DataFrame, models: list[str], key="Ticker", date="
     return forecasts.groupBy(key, date).pivot("model", models).agg(F.first(value))
 
 
+def forecast_models(df: DataFrame, n: int = 30, price="Close", key="Ticker", date="Date", decimals: int = 2,
+                    lookback: int = 90) -> DataFrame:
+    """Wide table of the next ``n`` business days of every key: arima, seasonal,
+    window_regressor (fed its own predictions) and last_value, rounded."""
+    bars = materialize_small(df.select(key, date, price))
+    last = bars.groupBy(key).agg(F.max_by(price, date).alias("yhat"))
+    flat = business_days(bars, n, key, date).join(last, key).select(F.lit("last_value").alias("model"), key, date, "yhat")
+    models = ["arima", "seasonal", "window_regressor", "last_value"]
+    long = (ar_future(bars, n, 5, price, key, date).unionByName(seasonal_forecast(bars, n, price, key, date))
+            .unionByName(window_regressor_forecast(bars, n, lookback, price, key, date)).unionByName(flat))
+    return round_cols(forecast_table(long, models, key, date), {m: decimals for m in models})
+
+
 # ---------------------------------------------------------------- E7
+def chosen_series(df: DataFrame, test: DataFrame, price="adj_close", key="Ticker", date="Date") -> DataFrame:
+    """(key, date, value): the price of keys whose price is stationary by
+    ``test``, the log returns of the others."""
+    log_return = F.ln(F.try_divide(F.col(price), F.lag(price, 1).over(by_key(key, date))))
+    x = df.select(key, date, F.col(price).alias("_price"), log_return.alias("_lr"))
+    used = choose_series(test, key).select(key, "Series_Used")
+    value = F.when(F.col("Series_Used") == "price", F.col("_price")).otherwise(F.col("_lr"))
+    return x.join(used, key).select(key, date, value.alias("value")).filter(F.col("value").isNotNull())
+
+
 def series_summary(df: DataFrame, price="adj_close", key="Ticker", date="Date", p: int = 5):
     """Per key - is the price stationary (ADF p < 5 %), which series is
-    modelled, the ADF p-value, the AR(p, 1) AIC and the seasonal model's
-    test MAPE %."""
+    modelled, the ADF p-values of price and log returns, the best AIC of an AR
+    order search on the series modelled, and the research trend model's test
+    MAPE %."""
     from barwise.operators.metrics import regression_metrics
-    adf = adf_test(df, price, key, date).select(
-        key, F.when(F.col("p_value") < 0.05, "Yes").otherwise("No").alias("Price_Stationary"),
-        F.when(F.col("p_value") < 0.05, "price").otherwise("log_return").alias("Series_Used"),
-        F.col("p_value").alias("Price_p_value"))
-    ar = fit_ar(df, p, price, key, date).select(key, F.col("aic").alias("AR_AIC"))
-    mape = regression_metrics(seasonal_backtest(df, price, key, date), by=(key,)).select(
+    df = materialize_small(df.select(key, date, price))
+    test = materialize_small(adf_test(df, price, key, date).withColumn("stationary", F.col("p_value") < 0.05))
+    adf = choose_series(test, key).join(test.select(key, F.col("p_value").alias("Price_p_value")), key)
+    returns = df.withColumn("_lr", F.ln(F.try_divide(F.col(price), F.lag(price, 1).over(by_key(key, date)))))
+    adf_lr = adf_test(returns.filter(F.col("_lr").isNotNull()), "_lr", key, date).select(
+        key, F.col("p_value").alias("LogReturn_p_value"))
+    ar = ar_orders_on_levels(chosen_series(df, test, price, key, date), p, "value", key, date).filter("is_best").select(
+        key, F.col("p").alias("AR_Order"), F.col("aic").alias("AR_AIC"))
+    adf = adf.join(adf_lr, key)
+    mape = regression_metrics(seasonal_backtest(df, price, key, date, seasons=RESEARCH_SEASONS,
+                                                multiplicative=True), by=(key,)).select(
         key, F.col("mape_pct").alias("Seasonal_MAPE_pct"))
     return adf.join(ar, key).join(mape, key)

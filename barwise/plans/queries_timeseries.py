@@ -142,6 +142,74 @@ def q_adf(spark, sf):
     return a.unionByName(b)
 
 
+def _adf0_sql(src, name):
+    return with_ctes(X.WALK_BARS_SQL + ["""lrw AS (SELECT Ticker, Date, lr AS adj_close FROM (
+  SELECT Ticker, Date, ln(adj_close / lag(adj_close, 1) OVER (PARTITION BY Ticker ORDER BY Date)) AS lr FROM walk) x
+  WHERE lr IS NOT NULL)"""] + _df_sql(src), f"""
+SELECT Ticker, '{name}' AS series, n_obs, {q_sql("t_stat", 12)} AS adf_stat, t_stat < crit_5 AS stationary FROM dft""")
+
+
+@register("adf_lag0", "SELECT * FROM (" + _adf0_sql("walk", "price") + ") a UNION ALL SELECT * FROM ("
+          + _adf0_sql("lrw", "log_return") + ") b")
+def q_adf_lag0(spark, sf):
+    """The ADF machinery without lags, on prices and on log returns."""
+    walk = X.walk_bars(spark, sf).select("Ticker", "Date", "adj_close")
+    lr = F.ln(F.col("adj_close") / F.lag("adj_close", 1).over(by_key()))
+    returns = walk.withColumn("adj_close", lr).filter(F.col("adj_close").isNotNull())
+    parts = [Ts.adf_test(df, max_lag=0).select("Ticker", F.lit(name).alias("series"), "n_obs",
+                                               quantize("adf_stat", 12).alias("adf_stat"), "stationary")
+             for name, df in (("price", walk), ("log_return", returns))]
+    return parts[0].unionByName(parts[1])
+
+
+FORECASTS = ["arima", "seasonal", "window_regressor", "last_value"]
+
+
+@register("forecast_models")
+def q_forecast_models(spark, sf):
+    return Ts.forecast_models(X.region_bars(spark, sf), H)
+
+
+@register("forecast_csv")
+def q_forecast_csv(spark, sf):
+    """The forecasts written as sorted CSV, one folder a key, and read back."""
+    from barwise.sources import files as Fi
+    path = Fi.scratch_path(spark, f"forecast_{H}d")
+    Fi.export_csv(Ts.forecast_models(X.region_bars(spark, sf), H), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("Ticker").cast("string").alias("Ticker"), F.col("Date").cast("date").alias("Date"),
+                       *[F.col(m).cast("double").alias(m) for m in FORECASTS])
+
+
+_AR1_PATH = ("y0 + c * step / (1 - f) - c / (1 - f) * f * (1 - pow(f, step)) / (1 - f)"
+             " + d0 * f * (1 - pow(f, step)) / (1 - f)")
+
+
+@register("forecast_ar1_diff", with_ctes(X.WALK_BARS_SQL + [f"""
+w0 AS (SELECT Ticker, Date, Close AS y, Close - lag(Close, 1) OVER ({W}) AS dy FROM walk)""", f"""
+w1 AS (SELECT *, lag(dy, 1) OVER ({W}) AS dl FROM w0)""", """
+wc AS (SELECT Ticker, regr_slope(dy, dl) AS f, regr_intercept(dy, dl) AS c, arg_max(y, Date) AS y0, arg_max(dy, Date) AS d0,
+  max(Date) AS last FROM w1 GROUP BY Ticker)""", f"""
+wd AS (SELECT * FROM (SELECT Ticker, CAST(d AS DATE) AS Date, CAST(row_number() OVER (PARTITION BY Ticker ORDER BY d) AS INTEGER) AS step
+  FROM (SELECT Ticker, unnest(generate_series(CAST(last + 1 AS TIMESTAMP), CAST(last + {2 * H + 7} AS TIMESTAMP), INTERVAL 1 DAY)) AS d
+        FROM wc) x WHERE isodow(d) <= 5) t WHERE step <= {H})"""], f"""
+SELECT Ticker, Date, {q_sql(_AR1_PATH, 12)} AS yhat FROM wd JOIN wc USING (Ticker)"""))
+def q_forecast_ar1_diff(spark, sf):
+    """AR(1) on differences: the recursion against its closed form."""
+    return Ts.ar_future(X.walk_bars(spark, sf), H, p=1).select("Ticker", "Date", quantize("yhat", 12).alias("yhat"))
+
+
+@register("seasonal_holidays")
+def q_seasonal_holidays(spark, sf):
+    """Research preset with a holiday dimension (the first and last trading day
+    of every year in the bars)."""
+    bars = X.region_bars(spark, sf)
+    days = bars.groupBy(F.year("Date").alias("y")).agg(F.min("Date").alias("a"), F.max("Date").alias("b"))
+    holidays = days.select(F.explode(F.array(F.struct(F.lit("first").alias("holiday"), F.col("a").alias("Date")),
+                                             F.struct(F.lit("last").alias("holiday"), F.col("b").alias("Date")))).alias("h")).select("h.*")
+    return Ts.seasonal_backtest(bars, price="Close", multiplicative=True, seasons=Ts.RESEARCH_SEASONS, holidays=holidays)
+
+
 @register("ar_forecast")
 def q_ar_forecast(spark, sf):
     return Ts.ar_backtest(X.walk_bars(spark, sf), p=5, price="Close")
@@ -159,7 +227,7 @@ def q_seasonal(spark, sf):
 
 @register("window_regressor")
 def q_window_regressor(spark, sf):
-    return Ts.window_regressor_backtest(X.region_bars(spark, sf), lookback=60, price="Close")
+    return Ts.window_regressor_backtest(X.region_bars(spark, sf), price="Close")
 
 
 @register("series_summary")
