@@ -39,16 +39,18 @@ CUT_CTES = ["""ml AS (SELECT *, lead(adj_close, 1) OVER (PARTITION BY Ticker ORD
   FROM ml1)"""]
 
 
-def ml_frame(spark, sf):
-    """df_clean + next adj close target (last bar per key dropped) + P3 split."""
+def ml_frame(spark, sf, cols: list[str] | None = None):
+    """df_clean + next adj close target (last bar per key dropped) + P3 split;
+    ``cols``: the columns a query needs (all by default)."""
     # read by the cutoff action and every model branch: checkpoint it once
-    ml = materialize_small(Wn.targets(panel(spark, sf), "adj_close"))
+    ml = Wn.targets(panel(spark, sf), "adj_close")
+    ml = materialize_small(ml.select(*cols) if cols else ml)
     return Sp.split_time(ml, FRAC)
 
 
 @register("split_time", with_ctes(PANEL_CTES + CUT_CTES, "SELECT Ticker, Date, split FROM sp"))
 def q_split_time(spark, sf):
-    return ml_frame(spark, sf).select("Ticker", "Date", "split")
+    return ml_frame(spark, sf, ["Ticker", "Date"]).select("Ticker", "Date", "split")
 
 
 Z_COLS = ["Close", "Volume", "Daily_Return"]
@@ -59,7 +61,7 @@ Z_COLS = ["Close", "Volume", "Daily_Return"]
     "SELECT Ticker, Date, split, " + ", ".join(
         f"{q_sql(f'({c} - m_{c}) / s_{c}')} AS z_{c}" for c in Z_COLS) + " FROM sp, zs"))
 def q_zscore(spark, sf):
-    z = Sp.zscore(ml_frame(spark, sf), Z_COLS, "train", suffix="_z")
+    z = Sp.zscore(ml_frame(spark, sf, ["Ticker", "Date", *Z_COLS]), Z_COLS, "train", suffix="_z")
     return z.select("Ticker", "Date", "split", *[quantize(f"{c}_z").alias(f"z_{c}") for c in Z_COLS])
 
 
@@ -69,7 +71,7 @@ def q_zscore(spark, sf):
         f"{q_sql(f'({c} - m_{c}) / s_{c}')} AS z_{c}" for c in Z_COLS) + " FROM sp, za"))
 def q_zscore_all(spark, sf):
     """Q8: scaler fitted on train + test (the reference's leakage)."""
-    z = Sp.zscore(ml_frame(spark, sf), Z_COLS, None, suffix="_z")
+    z = Sp.zscore(ml_frame(spark, sf, ["Ticker", "Date", *Z_COLS]), Z_COLS, None, suffix="_z")
     return z.select("Ticker", "Date", "split", *[quantize(f"{c}_z").alias(f"z_{c}") for c in Z_COLS])
 
 
@@ -112,7 +114,7 @@ PRED_CTES = PANEL_CTES + CUT_CTES + [
 
 def baseline_predictions(spark, sf):
     """U1 over three SQL-computable forecasters of the next adj close."""
-    ml = ml_frame(spark, sf)
+    ml = ml_frame(spark, sf, ["Ticker", "Date", "adj_close", "MA7", "Target_Next_Price"])
     test = ml.filter(F.col("split") == "test")
     base = ["Ticker", "Date", F.col("Target_Next_Price").alias("actual")]
     lv = test.select(F.lit("last_value").alias("model"), *base, F.col("adj_close").alias("predicted"))

@@ -95,8 +95,8 @@ CORR_CTE = [f"""cp AS (SELECT a.Ticker AS ticker_a, b.Ticker AS ticker_b, count(
   GROUP BY a.Ticker, b.Ticker)"""]
 
 
-def _corr(spark, sf):
-    return correlation_pairs(panel(spark, sf), "Daily_Return").withColumn("corr", quantize("corr"))
+def _corr(spark, sf, mirror=True):
+    return correlation_pairs(panel(spark, sf), "Daily_Return", mirror=mirror).withColumn("corr", quantize("corr"))
 
 
 @register("correlation", with_ctes(PANEL_CTES + CORR_CTE, "SELECT * FROM cp"))
@@ -123,7 +123,7 @@ UNION ALL
 (SELECT 'weakest' AS kind, ticker_a, ticker_b, corr FROM cp
  WHERE ticker_a < ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""))
 def q_extreme_pairs(spark, sf):
-    return St.extreme_pairs(_corr(spark, sf))
+    return St.extreme_pairs(_corr(spark, sf, mirror=False))
 
 
 @register("yearly_stats", with_ctes(PANEL_CTES, f"""
@@ -311,4 +311,4 @@ UNION ALL
  WHERE ticker_a <= ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""))
 def q_extreme_pairs_incl_self(spark, sf):
     """Q5: with the diagonal, the strongest pair is a key with itself."""
-    return St.extreme_pairs(_corr(spark, sf), exclude_self=False)
+    return St.extreme_pairs(_corr(spark, sf, mirror=False), exclude_self=False)
