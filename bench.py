@@ -17,12 +17,15 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from barwise.functions import windows as Wn  # noqa: E402
 from barwise.operators import metrics as Me  # noqa: E402
 from barwise.operators import stats as St  # noqa: E402
-from barwise.operators.bars import drop_incomplete  # noqa: E402
+from barwise.operators.bars import drop_incomplete, fill_gaps  # noqa: E402
 from barwise.operators.correlation import correlation_pairs  # noqa: E402
 from barwise.plans import load_all  # noqa: E402
+from barwise.schema import OHLCV  # noqa: E402
 from barwise.session import build_session  # noqa: E402
 from barwise.sources import fixtures as X  # noqa: E402
 
@@ -34,13 +37,18 @@ def supplier_panel(spark, sf):
 def supplier_leaderboard(spark, sf):
     from barwise.operators import splits as Sp
     from barwise.operators.lsq import materialize_small
-    ml = Sp.split_time(materialize_small(Wn.targets(supplier_panel(spark, sf), "adj_close")), 0.8)
+    panel = Wn.targets(supplier_panel(spark, sf), "adj_close").select("Ticker", "Date", "adj_close", "MA7", "Target_Next_Price")
+    ml = Sp.split_time(materialize_small(panel), 0.8)
     test = ml.filter("split = 'test'")
-    import pyspark.sql.functions as F
     base = ["Ticker", "Date", F.col("Target_Next_Price").alias("actual")]
+    coef = ml.filter("split = 'train'").groupBy("Ticker").agg(
+        F.regr_slope("Target_Next_Price", "adj_close").alias("b"),
+        F.regr_intercept("Target_Next_Price", "adj_close").alias("a"))
     p = Me.collect_backtests(
         test.select(F.lit("last_value").alias("model"), *base, F.col("adj_close").alias("predicted")),
-        test.select(F.lit("ma7").alias("model"), *base, F.col("MA7").alias("predicted")))
+        test.select(F.lit("ma7").alias("model"), *base, F.col("MA7").alias("predicted")),
+        test.join(coef, "Ticker").select(F.lit("ar1").alias("model"), *base,
+                                         (F.col("a") + F.col("b") * F.col("adj_close")).alias("predicted")))
     m = Me.regression_metrics(p, ("model", "Ticker")).join(
         Me.direction_accuracy(p, ("model", "Ticker")), ["model", "Ticker"])
     return Me.leaderboard(m)
@@ -65,6 +73,10 @@ def main():
         "supplier_kpis": lambda: St.kpis(X.supplier_bars(spark, sf)),
         "supplier_correlation": lambda: correlation_pairs(supplier_panel(spark, sf), "Daily_Return"),
         "supplier_leaderboard": lambda: supplier_leaderboard(spark, sf),
+        "supplier_fill_gaps": lambda: fill_gaps(X.supplier_bars(spark, sf).withColumns(
+            {c: F.when(F.dayofmonth("Date") % 7 != 0, F.col(c)) for c in OHLCV})),
+        "isolation": lambda: reg["isolation"][0](spark, sf),
+        "incremental_refresh": lambda: reg["incremental_refresh"][0](spark, sf),
     }
     only = [a for a in sys.argv[1:]]
     times = {}
