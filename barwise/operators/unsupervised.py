@@ -147,11 +147,11 @@ def tree_samples(d: DataFrame, cols: list[str], trees: int, psi: int, n: int, se
     share = min(1.0, (psi + 6.0 * math.sqrt(psi)) / max(n, 1))  # six deviations above psi
     draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64("Ticker", "Date", t, F.lit(seed)), F.lit(grid)).alias("u")))
-    hits = d.select(*cols, F.explode(F.filter(draw, lambda x: x["u"] < int(share * grid))).alias("x"),
+    hits = d.select(*cols, F.explode(F.filter(draw, lambda x: x["u"] < int(share * grid))).alias("_x"),
                     F.xxhash64("Ticker", "Date").alias("_k"))
-    w = Window.partitionBy("x.tree").orderBy("x.u", "_k")
+    w = Window.partitionBy("_x.tree").orderBy("_x.u", "_k")
     return (hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
-            .select(F.col("x.tree").alias("tree"), *cols))
+            .select(F.col("_x.tree").alias("tree"), *cols))
 
 
 def isolation_scores(d: DataFrame, features=tuple(UNSUPERVISED_FEATURES), trees: int = 100,
