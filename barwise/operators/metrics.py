@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwise.functions.exprs import round_cols
+
 EPS64 = 2.220446049250313e-16  # float64 machine epsilon (fixed value)
 
 
@@ -59,6 +61,21 @@ def direction_accuracy(preds: DataFrame, by=("model", "Ticker"), date="Date") ->
     return x.groupBy(*by).agg(F.coalesce(F.avg(hit) * F.lit(100.0), F.lit(0.0)).alias("direction_pct"))
 
 
+#: digits shown on the leaderboard
+SHOWN_DIGITS = {"mae": 2, "rmse": 2, "mape_eps_pct": 2, "r2": 3, "direction_pct": 1}
+
+
+def rounded(board: DataFrame) -> DataFrame:
+    """E4 at the presentation edge: metrics rounded after ranking."""
+    return round_cols(board, {c: d for c, d in SHOWN_DIGITS.items() if c in board.columns})
+
+
+def accuracy(preds: DataFrame, by=("model",)) -> DataFrame:
+    """Share of labels predicted right, over rows that hold both."""
+    hit = (F.col("actual") == F.col("predicted")).cast("double")
+    return preds.groupBy(*by).agg(F.count(hit).alias("n"), (F.avg(hit) * F.lit(100.0)).alias("accuracy_pct"))
+
+
 def leaderboard(metrics: DataFrame, group=("Ticker",), model="model") -> DataFrame:
     """Rank by MAE (1 = winner) within each group and flag the best value of
     every metric (min for errors, max for R^2 and direction accuracy)."""

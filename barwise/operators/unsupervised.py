@@ -63,8 +63,10 @@ def fit_regimes(d: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42):
     return model, out.drop("prediction")
 
 
-def silhouette(pred: DataFrame, label: str) -> float:
-    """MLlib silhouette (squared Euclidean distance)."""
+def silhouette(pred: DataFrame, label: str) -> float | None:
+    """MLlib silhouette (squared Euclidean distance); None with one cluster."""
+    if pred.select(label).distinct().limit(2).count() < 2:
+        return None
     return ClusteringEvaluator(predictionCol=label, featuresCol="features").evaluate(pred)
 
 
@@ -194,12 +196,14 @@ def pca_summary(d: DataFrame, features=tuple(UNSUPERVISED_FEATURES), target: flo
 
 # ---------------------------------------------------------------- M14
 def fit_states(d: DataFrame, k: int = 4, seed: int = 42):
-    """Gaussian mixture: state label, per-state probabilities and the mean
-    log-likelihood (MLlib reports the total)."""
+    """Gaussian mixture: state label, per-state probabilities, the mean
+    log-likelihood (MLlib reports the total) and the silhouette of the states."""
     gm = GaussianMixture(k=k, seed=seed, maxIter=100, tol=0.001).fit(d)
     n = gm.summary.cluster.count()
     mean_ll = gm.summary.logLikelihood / max(n, 1)
-    out = gm.transform(d).withColumn("_p", vector_to_array("probability"))
+    states = gm.transform(d)
+    sil = silhouette(states, "prediction")
+    out = states.withColumn("_p", vector_to_array("probability"))
     out = out.select("Ticker", "Date", F.col("prediction").cast("int").alias("state"),
                      *[F.col("_p")[i].alias(f"State_{i}") for i in range(k)])
-    return out, mean_ll
+    return out, mean_ll, sil

@@ -179,6 +179,45 @@ def q_leaderboard(spark, sf):
     return Me.leaderboard(m)
 
 
+@register("leaderboard_rounded", with_ctes(METRIC_CTES + ["qm AS (SELECT model, Ticker, " + ", ".join(
+    f"{q_sql(c)} AS {c}" for c in Me.SHOWN_DIGITS) + " FROM met)"], "SELECT Ticker, model, " + ", ".join(
+    f"round({c}, {d}) AS {c}" for c, d in Me.SHOWN_DIGITS.items()) + """,
+  CAST(row_number() OVER (PARTITION BY Ticker ORDER BY mae, model) AS INTEGER) AS rank FROM qm"""))
+def q_leaderboard_rounded(spark, sf):
+    m = baseline_metrics(spark, sf).select("Ticker", "model", *Me.SHOWN_DIGITS)
+    return Me.rounded(Me.leaderboard(m)).select("Ticker", "model", *Me.SHOWN_DIGITS, "rank")
+
+
+FOLD_METRICS = ["mae", "rmse", "mape_eps_pct", "r2"]
+
+
+@register("rolling_scores", with_ctes(PANEL_CTES + CUT_CTES[:2] + [f"""
+ft AS (SELECT Ticker, Date, adj_close, Target_Next_Price, ntile(5) OVER ({W}) AS tile FROM ml1)""", """
+ff AS (SELECT ft.*, CAST(fold AS INTEGER) AS fold, tile <= fold AS train
+  FROM ft, (SELECT unnest(range(1, 5)) AS fold) f WHERE tile <= fold + 1)""", """
+fc AS (SELECT Ticker, fold, regr_slope(Target_Next_Price, adj_close) AS b, regr_intercept(Target_Next_Price, adj_close) AS a
+  FROM ff WHERE train GROUP BY Ticker, fold)""", """
+fp AS (SELECT ff.Ticker, ff.fold, Target_Next_Price AS actual, a + b * adj_close AS predicted
+  FROM ff JOIN fc ON ff.Ticker = fc.Ticker AND ff.fold = fc.fold WHERE NOT train)""", """
+fm AS (SELECT Ticker, fold, count(*) AS n, avg(abs(predicted - actual)) AS mae,
+  sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse,
+  avg(abs((actual - predicted) / nullif(actual + 1e-8, 0))) * 100 AS mape_eps_pct,
+  1 - sum((predicted - actual) * (predicted - actual)) / nullif(count(*) * var_pop(actual), 0) AS r2
+  FROM fp GROUP BY Ticker, fold)"""], "SELECT Ticker, fold, n, " + ", ".join(
+    f"{q_sql(c, 16)} AS {c}" for c in FOLD_METRICS) + " FROM fm"))
+def q_rolling_scores(spark, sf):
+    """AR(1) fitted anew on every expanding fold and scored on the tile after it."""
+    ml = Wn.targets(panel(spark, sf), "adj_close").select("Ticker", "Date", "adj_close", "Target_Next_Price")
+    folds = Sp.rolling_folds(materialize_small(ml), 4)
+    coef = folds.filter("role = 'train'").groupBy("Ticker", "fold").agg(
+        F.regr_slope("Target_Next_Price", "adj_close").alias("b"),
+        F.regr_intercept("Target_Next_Price", "adj_close").alias("a"))
+    preds = folds.filter("role = 'test'").join(coef, ["Ticker", "fold"]).select(
+        "Ticker", "fold", F.col("Target_Next_Price").alias("actual"), (F.col("a") + F.col("b") * F.col("adj_close")).alias("predicted"))
+    m = Me.regression_metrics(preds, ("Ticker", "fold"))
+    return m.select("Ticker", F.col("fold").cast("int").alias("fold"), "n", *[quantize(c, 16).alias(c) for c in FOLD_METRICS])
+
+
 @register("backtest_table", with_ctes(PRED_CTES, f"""
 SELECT model, Ticker, Date, actual, {q_sql('predicted')} AS predicted,
   {q_sql('predicted - actual')} AS error FROM preds"""))

@@ -27,7 +27,13 @@ def q_direction(spark, sf):
     return Mo.direction_backtest(ml_frame(spark, sf))
 
 
+def q_direction_accuracy(spark, sf):
+    from barwise.operators.metrics import accuracy
+    return accuracy(q_direction(spark, sf))
+
+
 REGISTRY["direction"] = (q_direction, None)
+REGISTRY["direction_accuracy"] = (q_direction_accuracy, None)
 
 
 # ------------------------------------------------ dashboard: models on 20 lags

@@ -52,19 +52,19 @@ def q_pca_loadings(spark, sf):
 
 @register("gmm")
 def q_gmm(spark, sf):
-    out, mean_ll = U.fit_states(_design(spark, sf))
-    return out.withColumn("mean_log_likelihood", F.lit(mean_ll))
+    out, mean_ll, sil = U.fit_states(_design(spark, sf))
+    return out.withColumns({"mean_log_likelihood": F.lit(mean_ll), "silhouette": F.lit(sil).cast("double")})
 
 
 @register("gmm_daily_means")
 def q_gmm_daily_means(spark, sf):
-    out, _ = U.fit_states(_design(spark, sf))
+    out, _, _ = U.fit_states(_design(spark, sf))
     return St.mean_of_daily_means(out, [f"State_{i}" for i in range(4)])
 
 
 @register("gmm_state_shares")
 def q_gmm_state_shares(spark, sf):
-    out, _ = U.fit_states(_design(spark, sf))
+    out, _, _ = U.fit_states(_design(spark, sf))
     return St.label_shares(out, "state")
 
 

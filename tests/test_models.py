@@ -82,7 +82,7 @@ def test_isolation_flags_contamination_share(spark):
 
 def test_gmm_probabilities_sum_to_one(spark):
     d = U.unsup_design(panel(spark, SF_SMALL))
-    out, ll = U.fit_states(d)
+    out, ll, sil = U.fit_states(d)
     tot = out.select(sum(F.col(f"State_{i}") for i in range(4)).alias("t")).agg(
         F.min("t"), F.max("t")).first()
     assert abs(tot[0] - 1) < 1e-9 and abs(tot[1] - 1) < 1e-9 and math.isfinite(ll)
