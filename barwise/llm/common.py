@@ -53,12 +53,3 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "
         return df.withColumn("__k", F.xxhash64(*keys))
 
     return tagged(rows).join(tagged(facts), [*keys, "__k"], how).drop("__k")
-
-
-def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
-    """Inner equi-join of many ``rows`` a key with one of ``facts``: rows are
-    spread by the hash of ``by``, facts are repeated once a salt. A hot key meets
-    its fact in several tasks, and adaptive execution can split these further."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by, F.lit("salted")), F.lit(salts)).cast("int"))
-    every = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(every, [*keys, "__salt"]).drop("__salt")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import cut, salted_join
+from barwise.llm.common import cut, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the node's least neighbour."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return (salted_join(both, least, ["u"], "v").filter(F.col("v") > F.col("u"))
+    return (spread_join(both, least, ["u"]).filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
 
 
@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    stars = salted_join(down, least, ["u"], "v").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    stars = spread_join(down, least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return stars.union(least.toDF("a", "b")).filter("a != b").distinct()
 
 
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the least node of its component.
 
     Each round is two aggregates and two equi-joins on narrow rows; a node with
-    many neighbours is pre-aggregated by ``min`` and its join is salted. The rounds (logarithmic in the diameter) end when
+    many neighbours is pre-aggregated by ``min`` and its join
+    is open to skew handling. The rounds (logarithmic in the diameter) end when
     the edge set no longer changes: only its count and checksum reach the
     driver. Null or equal endpoints are no edge; an empty table gives none.
     """

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import LOWER, as_bytes, cut, salted_join, table
+from barwise.llm.common import LOWER, as_bytes, cut, spread_join, table
 from barwise.llm.components import connected_components
 from barwise.llm.gray_index import link_buckets
 
@@ -109,7 +109,7 @@ def near_links(fps: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame
              .select("fp", F.col("k.t").alias("t"), F.col("fp").bitwiseAND(F.col("k.m")).alias("key")))
     sizes = keyed.groupBy("t", "key").agg(F.count("fp").alias("n")).filter("n > 1").withColumn(
         "salts", F.ceil(F.col("n") / bucket).cast("int"))
-    shared = salted_join(keyed, sizes, ["t", "key"], "fp")
+    shared = spread_join(keyed, sizes, ["t", "key"])
     salt = F.pmod(F.xxhash64("fp", F.lit("salt")), F.col("salts")).cast("int")
     mates = F.when(F.col("salts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: s != F.col("salt")),
