@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from barwise.functions.exprs import quantize
 from barwise.operators import models as Mo
-from barwise.plans.queries_eval import ml_frame
+from barwise.plans.queries_eval import CUT_CTES, ml_frame
+from barwise.plans.queries_features import PANEL_CTES
+from barwise.plans.registry import REGISTRY, q_sql, register, with_ctes
+from barwise.sources import fixtures as X
 
 
 def _design(spark, sf):
@@ -17,8 +23,6 @@ def _reg(name, **kw):
     return q
 
 
-from barwise.plans.registry import REGISTRY  # noqa: E402
-
 for _name in ["linear", "ridge", "lasso", "forest", "gbt_leafwise", "gbt_depthwise"]:
     REGISTRY[_name] = (_reg(_name), None)
 
@@ -36,6 +40,25 @@ REGISTRY["direction"] = (q_direction, None)
 REGISTRY["direction_accuracy"] = (q_direction_accuracy, None)
 
 
+# ------------------------------------------------ SQL twins of what SQL can say
+@register("model_test_rows", with_ctes(PANEL_CTES + CUT_CTES, """
+SELECT Ticker, Date, Target_Next_Price AS actual FROM sp WHERE split = 'test'"""))
+def q_model_test_rows(spark, sf):
+    """The rows that every model on the panel is scored on."""
+    return _design(spark, sf).filter("split = 'test'").select("Ticker", "Date", F.col("label").alias("actual"))
+
+
+@register("linear_one", with_ctes(PANEL_CTES + CUT_CTES + ["""
+lo AS (SELECT regr_slope(Target_Next_Price, adj_close) AS b, regr_intercept(Target_Next_Price, adj_close) AS a
+  FROM sp WHERE split = 'train')"""], f"""
+SELECT Ticker, Date, {q_sql('a + b * adj_close', 12)} AS predicted FROM sp, lo WHERE split = 'test'"""))
+def q_linear_one(spark, sf):
+    """M1 on one standardised feature: the closed form is a simple regression."""
+    ml = ml_frame(spark, sf, ["Ticker", "Date", "adj_close", "Target_Next_Price"])
+    out = Mo.backtest(Mo.design(ml, ("adj_close",)), "linear")
+    return out.select("Ticker", "Date", quantize("predicted", 12).alias("predicted"))
+
+
 # ------------------------------------------------ dashboard: models on 20 lags
 def lag_design(spark, sf, n_lags: int = 20):
     """F14 lag matrix on Close, per-key 80/20 split by position."""
@@ -53,6 +76,15 @@ def lag_design(spark, sf, n_lags: int = 20):
                                                F.col("target").alias("label"), "features")))
 
 
+@register("lag_test_rows", with_ctes(X.REGION_BARS_SQL + ["""
+lr AS (SELECT Ticker, Date, Close, row_number() OVER (PARTITION BY Ticker ORDER BY Date) AS rn FROM bars)""", """
+ls AS (SELECT Ticker, Date, Close AS actual, rn - 20 AS i, count(*) OVER (PARTITION BY Ticker) AS n FROM lr WHERE rn > 20)"""], """
+SELECT Ticker, Date, actual FROM ls WHERE i > floor(n * 0.8)"""))
+def q_lag_test_rows(spark, sf):
+    """The rows that the models on 20 lags are scored on."""
+    return lag_design(spark, sf).filter("split = 'test'").select("Ticker", "Date", F.col("label").alias("actual"))
+
+
 def q_forest_lags(spark, sf):
     return Mo.backtest(lag_design(spark, sf), "forest")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barwise.functions.exprs import quantize
 from barwise.operators import stats as St
 from barwise.operators import unsupervised as U
-from barwise.plans.queries_features import panel
-from barwise.plans.registry import register
+from barwise.plans.queries_features import PANEL_CTES, panel
+from barwise.plans.registry import q_sql, register, with_ctes
 
 
 def _design(spark, sf):
@@ -50,6 +51,16 @@ def q_pca_loadings(spark, sf):
     return St.top_abs(load, "loading", 8, tie=("feature",))
 
 
+@register("pca_two", with_ctes(PANEL_CTES + ["pr AS (SELECT abs(corr(Close, Volume)) AS r FROM df_clean)"], f"""
+SELECT CAST(1 AS INTEGER) AS component, {q_sql('(1 + r) / 2', 16)} AS ratio FROM pr
+UNION ALL SELECT CAST(2 AS INTEGER), {q_sql('(1 - r) / 2', 16)} FROM pr"""))
+def q_pca_two(spark, sf):
+    """M9 on two standardised columns: the ratios are (1 +- |r|) / 2."""
+    cols = ["Close", "Volume"]
+    comp, _ = U.pca_summary(U.unsup_design(panel(spark, sf), cols), cols)
+    return comp.select("component", quantize("ratio", 16).alias("ratio"))
+
+
 @register("gmm")
 def q_gmm(spark, sf):
     out, mean_ll, sil = U.fit_states(_design(spark, sf))
