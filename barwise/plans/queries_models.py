@@ -23,8 +23,13 @@ def _reg(name, **kw):
     return q
 
 
-for _name in ["linear", "ridge", "lasso", "forest", "gbt_leafwise", "gbt_depthwise"]:
+#: depth of the registered forests: MLlib makes many passes a level once 300
+#: trees have thousands of open nodes each (``fit_forest`` itself goes to 30)
+FOREST_DEPTH = 10
+
+for _name in ["linear", "ridge", "lasso", "gbt_leafwise", "gbt_depthwise"]:
     REGISTRY[_name] = (_reg(_name), None)
+REGISTRY["forest"] = (_reg("forest", max_depth=FOREST_DEPTH), None)
 
 
 def q_direction(spark, sf):
@@ -86,7 +91,7 @@ def q_lag_test_rows(spark, sf):
 
 
 def q_forest_lags(spark, sf):
-    return Mo.backtest(lag_design(spark, sf), "forest")
+    return Mo.backtest(lag_design(spark, sf), "forest", max_depth=FOREST_DEPTH)
 
 
 def q_gbt_lags(spark, sf):
@@ -109,7 +114,7 @@ def q_model_leaderboard(spark, sf):
         Ts.ar_backtest(bars, 5, "Close", model="arima"),
         Ts.seasonal_backtest(bars, "Close", model="seasonal"),
         Ts.window_regressor_backtest(bars, price="Close", model="window_regressor"),
-        Mo.backtest(lags, "forest"), Mo.backtest(lags, "gbt_app"))
+        Mo.backtest(lags, "forest", max_depth=FOREST_DEPTH), Mo.backtest(lags, "gbt_app"))
     m = Me.regression_metrics(preds, ("model", "Ticker")).join(
         Me.direction_accuracy(preds, ("model", "Ticker")), ["model", "Ticker"])
     return Me.leaderboard(m.select("Ticker", "model", "mae", "rmse", "mape_eps_pct", "r2",
