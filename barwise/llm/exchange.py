@@ -28,18 +28,18 @@ MESSAGE = "dest int, src int, tag int, keys binary, vals binary"
 _KIND = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("tag", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 #: a null id sorts behind every id
 NO_ID = np.iinfo(np.int64).max
-#: parquet bytes of a group of documents
-GROUP_BYTES = 16 << 20
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(gid, doc_id, text as bytes) and the number of groups."""
+def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int]:
+    """(gid, doc_id, text as bytes) and the number of groups, which follows the
+    size of the documents (two a core at least): messages are groups x buckets,
+    so more shuffle partitions must not make more of either."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     spark = docs.sparkSession
     size = estimated_bytes(narrow)
     if size >= 1 << 60:  # no estimate
         size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
+    groups = max(2 * spark.sparkContext.defaultParallelism, -(-size // group_bytes))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit("deal")))
     return narrow.select(F.pmod(key, F.lit(groups)).cast("int").alias("gid"), "doc_id", "text"), groups
 
@@ -109,17 +109,17 @@ def ask_sums(gid: int, tag: int, keys: np.ndarray, vals: np.ndarray, buckets: in
     return out
 
 
-def answer_sums(rows: list[tuple], width: int, kind=np.float64) -> list[tuple]:
+def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable | None = None) -> list[tuple]:
     """Answers to ``ask_sums`` of one tag: the sums in the order asked, and in
-    ``keys`` the bucket's number of keys with a sum above 0 and its total."""
+    ``keys`` what ``said`` makes of the bucket's sums."""
     keys = [_unpack_keys(k) for _, _, k, _ in rows]
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
     vals = np.concatenate([unpack(v, kind).reshape(-1, width) for *_, v in rows])
     sums = np.stack([np.bincount(at, vals[:, c], len(uniq)) for c in range(width)], axis=1) if len(uniq) else np.zeros((0, width))
-    said = np.array([(sums[:, 0] > 0).sum(), sums[:, 0].sum()]).tobytes()
+    about = said(sums[:, 0]) if said else b""
     out, n = [], 0
     for (src, tag, _, _), k in zip(rows, keys):
-        out.append((src, -1, tag, said, pack(sums[at[n:n + len(k)]].astype(kind))))
+        out.append((src, -1, tag, about, pack(sums[at[n:n + len(k)]].astype(kind))))
         n += len(k)
     return out
 

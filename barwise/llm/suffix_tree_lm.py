@@ -1,18 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's root is the word distribution of the training documents (smoothed
-counts). A context of one or two words is a node if it occurs ``MIN_CONTEXT``
-times and passes a divergence test: over its occurrences, each scored without
-itself (leave-one-out), its next-word distribution must beat that of its suffix
-by ``MIN_GAIN`` nats a word. A node's distribution is its counts smoothed by its
+The tree's alphabet: words with ``MIN_SHARE`` of all training tokens (rounded up
+to a power of two, ``MIN_CONTEXT`` at least), and one symbol for all rarer words,
+so it has at most 1 / ``MIN_SHARE`` symbols however large the corpus. The root is
+the smoothed word distribution of the training documents. A context of one or
+two frequent words is a node if it is as frequent as that and passes a
+divergence test: over its occurrences, each scored without itself
+(leave-one-out), its next-symbol distribution must beat that of its suffix by
+``MIN_GAIN`` nats a token. A node's distribution is its counts smoothed by its
 suffix's, with the weight in ``WEIGHTS`` that does best in the test. A text is
-scored by the longest retained suffix before each token; a word never seen gets
-the root's share of unseen words.
+scored by the longest retained suffix before each token; a rare word has its
+share of the rare symbol, a word never seen the root's share of unseen words.
 
 Counts and test sums are gathered over all training documents by conversations
-of document groups with key buckets (``exchange``): words and word pairs; then
-tests of one-word contexts and word triples; then tests of two-word contexts.
-Only distinct keys of a group are sent, so frequent words cost one entry a group.
+of document groups with key buckets (``exchange``): words; symbol pairs; tests of
+one-word contexts and triples; tests of two-word contexts. Only distinct keys of
+a group are sent, so frequent words cost one entry a group.
 """
 
 from __future__ import annotations
@@ -28,21 +31,27 @@ from barwise.llm import exchange as X
 from barwise.llm.common import LOWER, mix64, table
 
 ALPHA = 0.1
+MIN_SHARE = 1e-5
 MIN_CONTEXT = 8
 MIN_GAIN = 0.02
 WEIGHTS = (1.0, 30.0)
 FOLDS = 10
 #: parquet bytes of a group: about 1.5 million words
 GROUP_BYTES = 6 << 20
-END = xxhash.xxh64_intdigest(b"", 5)
 
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+RARE = np.uint64(0xA0761D6478BD642F)
 
 
-class _Hash(dict):
+class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, 5)
-        return h
+        self[word] = n = len(self)
+        return n
+
+
+def least_power(total: float) -> int:
+    """The least power of two that makes a word frequent, as its exponent."""
+    return int(np.ceil(np.log2(max(MIN_CONTEXT, MIN_SHARE * total))))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -55,86 +64,95 @@ class Book:
 
     def __init__(self, group: pa.Table):
         self.ids, texts = X.documents(group)
-        memo, parts = _Hash(), []
+        numbers, parts = _Numbers(), []
         for t in texts:
             words = t.translate(LOWER).split()
-            words.append(b"")
-            parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-        del texts, memo
+            words.append(b"")  # the end
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        del texts
+        hashes = np.array([xxhash.xxh64_intdigest(w, 5) for w in numbers], np.uint64)
         self.sizes = np.array([len(p) for p in parts], np.int64)
-        h = np.concatenate(parts)
-        del parts
+        self.words, place = np.unique(hashes, return_inverse=True)
+        self.word = place.astype(np.int32)[np.concatenate(parts)]
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.nth = np.arange(len(h)) - np.repeat(self.begin, self.sizes)
-        self.words, at = np.unique(h, return_inverse=True)
-        self.word = at.astype(np.int32)
-        # pair[i] is the pair that ends with token i; -1 at the start of a document
-        self.pair = np.full(len(h), -1, np.int32)
-        two = np.flatnonzero(self.nth >= 1)
-        key = mix64(h[two - 1] * PAIR + h[two])
-        self.pairs, at = np.unique(key, return_inverse=True)
-        self.pair[two] = at
 
-    def counts(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Occurrences in training documents of the things numbered in ``at``."""
-        ok = self.train & (at >= 0)
-        return np.bincount(at[ok], minlength=n).astype(np.float64)[:, None]
+    def counts(self, number: np.ndarray, at, n: int) -> np.ndarray:
+        """Occurrences in training documents of the things numbered ``number``
+        at the tokens ``at``."""
+        return np.bincount(number[self.train[at]], minlength=n).astype(np.float64)[:, None]
 
-    def hear_counts(self, heard: list[tuple]) -> None:
+    def hear_words(self, heard: list[tuple]) -> None:
         own = [r for r in heard if r[1] == 1]
-        said = np.array([np.frombuffer(k) for _, _, k, _ in own]).sum(axis=0)
-        distinct, self.total = float(said[0]), float(said[1])
+        distinct, total = sum(X.unpack(k) for _, _, k, _ in own).reshape(2, -1)
         self.count = X.heard_sums(own, 1)[:, 0]
+        self.total = total.sum()
+        weight = self.total + ALPHA * (distinct.sum() + 1)
+        self.root = (self.count + ALPHA) / weight
+        low = least_power(self.total)
+        self.least = 1 << low
+        rare = 1 - (total[low:].sum() + ALPHA * distinct[low:].sum()) / weight
+        self.frequent = self.count >= self.least
+        self.symbol = np.append(np.where(self.frequent, self.words, RARE), RARE)
+        self.symbol_root = np.where(self.frequent, self.root, rare)
+        # pairs: after a frequent word of the same document
+        first = np.zeros(len(self.word), bool)
+        first[self.begin] = True
+        self.one = np.flatnonzero(~first[1:] & self.frequent[self.word[:-1]]) + 1
+        self.first = first
+        v = self.word[self.one - 1]
+        key = mix64(self.words[v] * PAIR + self.symbol[self.word[self.one]])
+        self.pairs, at = np.unique(key, return_inverse=True)
+        self.pair = np.full(len(self.word), -1, np.int32)
+        self.pair[self.one] = at
+
+    def hear_pairs(self, heard: list[tuple]) -> None:
         self.n_pair = X.heard_sums([r for r in heard if r[1] == 2], 1)[:, 0]
-        self.root = (self.count + ALPHA) / (self.total + ALPHA * (distinct + 1))
-        # one-word contexts: tokens after the first; two-word contexts: after the second
-        self.one = np.flatnonzero(self.nth >= 1)
-        self.one = self.one[self.count[self.word[self.one - 1]] >= MIN_CONTEXT]
-        self.two = np.flatnonzero(self.nth >= 2)
-        self.two = self.two[self.n_pair[self.pair[self.two - 1]] >= MIN_CONTEXT]
+        # two-word contexts: both words frequent, and the pair as well
+        back = self.one[1:][self.one[1:] - 1 == self.one[:-1]]
+        self.two = back[self.n_pair[self.pair[back - 1]] >= self.least]
         self.ones = np.unique(self.word[self.one - 1])
         self.twos = np.unique(self.pair[self.two - 1])
-        key = mix64(self.pairs[self.pair[self.two - 1]] * TRIPLE + self.words[self.word[self.two]])
+        key = mix64(self.pairs[self.pair[self.two - 1]] * TRIPLE + self.symbol[self.word[self.two]])
         self.triples, at = np.unique(key, return_inverse=True)
-        self.triple = np.full(len(self.word), -1, np.int32)
-        self.triple[self.two] = at
+        self.triple = at.astype(np.int32)
+        self.prob = self.symbol_root[self.word]
 
-    def gains(self, at: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray, below: np.ndarray) -> np.ndarray:
+    def gains(self, at: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Leave-one-out gains (a column a weight) over the suffix's probability
-        ``below`` at the training tokens ``at``, summed by context number;
-        ``n``: counts of context and word, ``of``: of the context."""
-        out = np.zeros((int(context.max(initial=-1)) + 1, len(WEIGHTS)))
+        at the training tokens of ``at``, summed by context number; ``n``: counts
+        of context and symbol, ``of``: of the context."""
+        out = np.zeros((int(context.max(initial=-1)) + 1, len(WEIGHTS)), np.float32)
         ok = self.train[at]
+        below = self.prob[at[ok]]
         for c, w in enumerate(WEIGHTS):
-            gain = np.log((n[ok] - 1 + w * below[ok]) / ((of[ok] - 1 + w) * below[ok]))
+            gain = np.log((n[ok] - 1 + w * below) / ((of[ok] - 1 + w) * below))
             out[:, c] = np.bincount(context[ok], gain, len(out))
         return out
 
-    def first_gains(self) -> np.ndarray:
+    def _of_one(self):
         v = self.word[self.one - 1]
-        return self.gains(self.one, np.searchsorted(self.ones, v), self.n_pair[self.pair[self.one]],
-                          self.count[v], self.root[self.word[self.one]])
+        return self.one, np.searchsorted(self.ones, v), self.n_pair[self.pair[self.one]], self.count[v]
+
+    def _of_two(self):
+        uv = self.pair[self.two - 1]
+        return self.two, np.searchsorted(self.twos, uv), self.n_triple[self.triple], self.n_pair[uv]
+
+    def first_gains(self) -> np.ndarray:
+        return self.gains(*self._of_one())
 
     def hear_first(self, heard: list[tuple]) -> None:
-        self.prob = self.root[self.word]
-        v = self.word[self.one - 1]
-        self._descend(self.one, np.searchsorted(self.ones, v), [r for r in heard if r[1] == 3],
-                      self.n_pair[self.pair[self.one]], self.count[v])
+        self._descend(*self._of_one(), [r for r in heard if r[1] == 3])
         self.n_triple = X.heard_sums([r for r in heard if r[1] == 4], 1)[:, 0]
 
     def second_gains(self) -> np.ndarray:
-        uv = self.pair[self.two - 1]
-        return self.gains(self.two, np.searchsorted(self.twos, uv), self.n_triple[self.triple[self.two]],
-                          self.n_pair[uv], self.prob[self.two])
+        return self.gains(*self._of_two())
 
     def hear_second(self, heard: list[tuple]) -> None:
-        uv = self.pair[self.two - 1]
-        self._descend(self.two, np.searchsorted(self.twos, uv), [r for r in heard if r[1] == 5],
-                      self.n_triple[self.triple[self.two]], self.n_pair[uv])
+        self._descend(*self._of_two(), [r for r in heard if r[1] == 5])
 
-    def _descend(self, at, context, heard, n, of) -> None:
+    def _descend(self, at, context, n, of, heard) -> None:
         """Where the context is a node, its distribution replaces its suffix's."""
         if not len(at):
             return
@@ -143,15 +161,29 @@ class Book:
         node = gain.max(axis=1)[context] > MIN_GAIN * of
         self.prob[at] = np.where(node, (n + weight * self.prob[at]) / (of + weight), self.prob[at])
 
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of the documents by the root and by the tree."""
+        base = np.log10(self.root[self.word])
+        tree = np.log10(self.prob) + base - np.log10(self.symbol_root[self.word])
+        return np.add.reduceat(base, self.begin), np.add.reduceat(tree, self.begin)
+
 
-def _sums_by_tag(rows: list[tuple]) -> list[tuple]:
+def _answer(rows: list[tuple]) -> list[tuple]:
+    """Sums by tag; to the question for words also the distinct words and their
+    tokens by power of two of the count."""
     out = []
     for tag in sorted({r[1] for r in rows}):
         own = [r for r in rows if r[1] == tag]
-        out += X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5) else X.answer_sums(own, 1)
+        out += X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5) else X.answer_sums(own, 1, said=_by_power)
     return out
 
 
+def _by_power(counts: np.ndarray) -> bytes:
+    c = counts[counts > 0]
+    power = np.frexp(c)[1] - 1
+    return X.pack(np.stack([np.bincount(power, minlength=64).astype(np.float64), np.bincount(power, c, 64)]))
+
+
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score),
@@ -165,38 +197,45 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     dealt, groups = X.deal(docs, id_col, text_col, group_bytes)
 
-    def count(gid, group, _):
+    def count_words(gid, group, _):
+        b = Book(group)
+        return X.ask_sums(gid, 1, b.words, b.counts(b.word, slice(None), len(b.words)), groups)
+
+    def count_pairs(gid, group, heard):
         b = Book(group)
-        return (X.ask_sums(gid, 1, b.words, b.counts(b.word, len(b.words)), groups)
-                + X.ask_sums(gid, 2, b.pairs, b.counts(b.pair, len(b.pairs)), groups))
+        b.hear_words(heard)
+        return X.keep(gid, groups, heard) + X.ask_sums(
+            gid, 2, b.pairs, b.counts(b.pair[b.one], b.one, len(b.pairs)), groups)
 
     def test_one(gid, group, heard):
         b = Book(group)
-        b.hear_counts(heard)
-        return (X.keep(gid, groups, heard)
-                + X.ask_sums(gid, 3, b.words[b.ones], b.first_gains().astype(np.float32), groups)
-                + X.ask_sums(gid, 4, b.triples, b.counts(b.triple, len(b.triples)), groups))
+        b.hear_words(heard)
+        b.hear_pairs(heard)
+        return (X.keep(gid, groups, heard) + X.ask_sums(gid, 3, b.words[b.ones], b.first_gains(), groups)
+                + X.ask_sums(gid, 4, b.triples, b.counts(b.triple, b.two, len(b.triples)), groups))
 
     def test_two(gid, group, heard):
         b = Book(group)
-        b.hear_counts(heard)
+        b.hear_words(heard)
+        b.hear_pairs(heard)
         b.hear_first(heard)
-        return X.keep(gid, groups, heard) + X.ask_sums(gid, 5, b.pairs[b.twos], b.second_gains().astype(np.float32), groups)
+        return X.keep(gid, groups, heard) + X.ask_sums(gid, 5, b.pairs[b.twos], b.second_gains(), groups)
 
     def score(_, group, heard):
         b = Book(group)
-        b.hear_counts(heard)
+        b.hear_words(heard)
+        b.hear_pairs(heard)
         b.hear_first(heard)
         b.hear_second(heard)
-        total = lambda x: np.add.reduceat(x, b.begin)
+        base, tree = b.scores()
+        known = np.add.reduceat((b.count[b.word] > 0).astype(np.int64), b.begin)
         return pa.table({
             "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes),
-            "n_known": pa.array(total((b.count[b.word] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(b.ids), int(b.total), np.int64)),
-            "base_score": pa.array(total(np.log10(b.root[b.word]))), "score": pa.array(total(np.log10(b.prob)))})
+            "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(b.ids), int(b.total), np.int64)),
+            "base_score": pa.array(base), "score": pa.array(tree)})
 
-    return X.converse(dealt, [(count, lambda _, r: _sums_by_tag(r)), (test_one, lambda _, r: _sums_by_tag(r)),
-                              (test_two, lambda _, r: _sums_by_tag(r))], score,
+    rounds = [(ask, lambda _, rows: _answer(rows)) for ask in (count_words, count_pairs, test_one, test_two)]
+    return X.converse(dealt, rounds, score,
                       "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                       "base_score double, score double")
 

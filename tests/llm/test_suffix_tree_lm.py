@@ -19,41 +19,47 @@ def tokens(t):
 def brute(rows):
     held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     seqs = [tokens(t) for _, t in rows]
+    words = Counter(w for h, s in zip(held, seqs) if not h for w in s)
+    total, distinct = sum(words.values()), len(words)
+    least = 8
+    while least < 1e-5 * total:
+        least *= 2
+    root = lambda w: (words[w] + L.ALPHA) / (total + L.ALPHA * (distinct + 1))
+    rare = 1 - sum(root(w) for w, c in words.items() if c >= least)
+    symbols = [[w if words[w] >= least else "<rare>" for w in s] for s in seqs]
     n = [Counter(), Counter(), Counter()]
-    for h, s in zip(held, seqs):
+    for h, s in zip(held, symbols):
         for k in range(3):
             n[k].update(tuple(s[i - k:i + 1]) for i in range(k, len(s)) if not h)
-    total, distinct = sum(n[0].values()), len(n[0])
-    root = lambda w: (n[0][(w,)] + L.ALPHA) / (total + L.ALPHA * (distinct + 1))
+
+    def context(s, i, k):
+        c = tuple(s[i - k:i])
+        return c if i >= k and "<rare>" not in c and n[k - 1][c] >= least else None
 
     def nodes(k, below):
         gain = defaultdict(lambda: [0.0] * len(L.WEIGHTS))
-        for h, s in zip(held, seqs):
+        for h, s in zip(held, symbols):
             for i in range(k, len(s)):
-                ctx = tuple(s[i - k:i])
-                if not h and n[k - 1][ctx] >= L.MIN_CONTEXT:
-                    p, c, m = below(s, i), n[k][tuple(s[i - k:i + 1])], n[k - 1][ctx]
+                if not h and (ctx := context(s, i, k)):
+                    p, c, m = below(s, i), n[k][(*ctx, s[i])], n[k - 1][ctx]
                     for j, w in enumerate(L.WEIGHTS):
                         gain[ctx][j] += math.log((c - 1 + w * p) / ((m - 1 + w) * p))
         return {c: L.WEIGHTS[g.index(max(g))] for c, g in gain.items() if max(g) > L.MIN_GAIN * n[k - 1][c]}
 
     def prob(k, kept, below):
         def p(s, i):
-            q = below(s, i)
-            ctx = tuple(s[max(0, i - k):i])
-            if i < k or ctx not in kept:
-                return q
-            return (n[k][tuple(s[i - k:i + 1])] + kept[ctx] * q) / (n[k - 1][ctx] + kept[ctx])
+            q, ctx = below(s, i), context(s, i, k)
+            return (n[k][(*ctx, s[i])] + kept[ctx] * q) / (n[k - 1][ctx] + kept[ctx]) if ctx in kept else q
         return p
-    p0 = lambda s, i: root(s[i])
+    p0 = lambda s, i: rare if s[i] == "<rare>" else root(s[i])
     one = nodes(1, p0)
     p1 = prob(1, one, p0)
     two = nodes(2, p1)
     p2 = prob(2, two, p1)
     out = []
-    for (i, _), h, s in zip(rows, held, seqs):
-        out.append((i, h, len(s), sum(n[0][(w,)] > 0 for w in s), total,
-                    sum(math.log10(root(w)) for w in s), sum(math.log10(p2(s, k)) for k in range(len(s)))))
+    for (i, _), h, s, y in zip(rows, held, seqs, symbols):
+        tree = sum(math.log10(p2(y, k)) + (math.log10(root(s[k]) / rare) if y[k] == "<rare>" else 0) for k in range(len(s)))
+        out.append((i, h, len(s), sum(words[w] > 0 for w in s), total, sum(math.log10(root(w)) for w in s), tree))
     return out, one, two
 
 
