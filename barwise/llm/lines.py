@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import LOWER, SPACE, UPPER_AZ, as_bytes, table
+from barwise.llm.common import LOWER, SPACE, UPPER_AZ, as_bytes, bound_batches, spread_join, table
 
 RESULT = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
 
@@ -74,10 +74,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     table. Other columns pass through; ones named ``n_lines`` or ``n_dropped``
     are replaced.
     """
+    bound_batches(docs.sparkSession)
     seen = docs.select(F.col(id_col).alias("__id"), F.explode(line_hashes(text_col, min_chars)).alias("__h"))
     frequent = (seen.groupBy("__h").agg(F.count_distinct("__id").alias("__n"))
                 .filter(F.col("__n") >= min_docs).select("__h"))
-    lost = (seen.join(frequent, "__h").groupBy("__id").agg(F.collect_set("__h").alias("__lost")))
+    lost = (spread_join(seen, frequent, ["__h"]).groupBy("__id").agg(F.collect_set("__h").alias("__lost")))
     both = docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]), "left")
     out = both.withColumn("__r", _reassemble(min_chars)(as_bytes(docs[text_col]), F.col("__lost")))
     cols = [F.col(f"__r.text").alias(c) if c == text_col else docs[c]
