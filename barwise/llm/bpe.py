@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import table
+from barwise.llm.common import bound_batches, table
 
 LONG_WORD = 256
 MEMO = 1 << 18
@@ -139,6 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     has no ids. Repeated rows are encoded alike; an empty table stays empty;
     other columns pass through, one named ``ids_col`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path, pattern))
 
     @F.arrow_udf("array<int>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, table
+from barwise.llm.common import as_bytes, bound_batches, table
 from barwise.llm.fm_index import FMIndex
 
 #: words of a shard, above which the next document begins another
@@ -135,6 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     and documents are treated alike. Empty tables are fine on either side. Other
     columns pass through; ones named like a result column are replaced.
     """
+    bound_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     if size > MAX_QUERY_CHARS:
         raise ValueError(f"the benchmark holds {size} characters; give it in blocks of {MAX_QUERY_CHARS} at most")

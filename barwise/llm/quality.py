@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, crc_of_id, table
+from barwise.llm.common import as_bytes, bound_batches, crc_of_id, table
 
 SLOTS = 1 << 15
 DIM = 32
@@ -35,9 +35,9 @@ SALTS = 16
 #: labelled documents that the network is fitted on, at most
 FIT_ROWS = 20_000
 HIDDEN = 32
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: words whose vectors are gathered at a time
-SLICE = 1 << 17
+SLICE = 1 << 15
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 SHOUT, AGAIN = 0, 1  # slots of the marks "in capitals" and "same word again"
@@ -213,6 +213,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     table stays empty; other columns pass through, ``held_out`` and ``score``
     are replaced. Word vectors come from all of ``docs``.
     """
+    bound_batches(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import cut, table
+from barwise.llm.common import bound_batches, cut, table
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -134,6 +134,7 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", tex
     each get theirs; a null id passes through. An empty table gives an empty
     table; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     span = [("start", pa.int64()), ("end", pa.int64())]
     kind = pa.struct([("base", pa.list_(pa.struct([*span, ("kind", pa.int32())]))),
                       ("cand", pa.list_(pa.struct([*span, ("band", pa.int32()), ("bin", pa.int32())]))),

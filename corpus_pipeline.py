@@ -57,8 +57,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of it. Rows without an id go if a document with one is in their component,
     and stay otherwise."""
     classes = simhash_components(docs, words_per_shingle=4, max_bits=4)
-    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("fp").alias("__n"))
+    once = docs.join(first.filter("__n = 1"), "doc_id", "left_semi")
+    # only the rows of repeated ids are gathered by id
+    again = docs.join(first.filter("__n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = once.unionByName(again)
     loose = classes.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
     unnamed = (docs.filter("doc_id is null").withColumn("__fp", fingerprint("text", 4))
                .join(loose, "__fp", "left_semi").drop("__fp"))
