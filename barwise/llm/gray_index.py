@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 8
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:

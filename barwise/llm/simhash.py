@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import LOWER, as_bytes, cut, spread_join, table
+from barwise.llm.common import LOWER, as_bytes, bound_batches, cut, spread_join, table
 from barwise.llm.components import connected_components
 from barwise.llm.gray_index import link_buckets
 
 #: rows of a bucket above which it is salted
 BUCKET = 4096
 #: rows gathered before a task links the complete buckets among them
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def simhash(text: bytes, words_per_shingle: int) -> int:
@@ -130,6 +130,7 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 4, max_bits: in
     without an id get the component of what they link to (null if no linked row
     has an id). An empty table gives an empty table; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     fps = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col, words_per_shingle).alias("fp")))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_links(distinct.select("fp"), max_bits)).toDF("fp", "root")
