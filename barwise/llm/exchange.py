@@ -28,6 +28,8 @@ MESSAGE = "dest int, src int, tag int, keys binary, vals binary"
 _KIND = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("tag", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 #: a null id sorts behind every id
 NO_ID = np.iinfo(np.int64).max
+#: kinds that are packed byte plane by byte plane: the high bytes are alike
+PLANES = (np.dtype(np.uint64), np.dtype(np.float32))
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int]:
@@ -65,11 +67,17 @@ def rows_of(table: pa.Table, *tags: int) -> list[tuple]:
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    raw = a.tobytes()
+    if a.dtype in PLANES:
+        raw = np.frombuffer(raw, np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+    return zlib.compress(raw, 1)
 
 
 def unpack(b: bytes, kind=np.float64) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    raw, kind = zlib.decompress(b), np.dtype(kind)
+    if kind in PLANES:
+        raw = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T.tobytes()
+    return np.frombuffer(raw, kind)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -109,14 +117,18 @@ def ask_sums(gid: int, tag: int, keys: np.ndarray, vals: np.ndarray, buckets: in
     return out
 
 
-def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable | None = None) -> list[tuple]:
+def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable | None = None,
+                brief: bool = False) -> list[tuple]:
     """Answers to ``ask_sums`` of one tag: the sums in the order asked, and in
-    ``keys`` what ``said`` makes of the bucket's sums."""
+    ``keys`` what ``said`` makes of the bucket's sums. If ``brief``, a key of one
+    group alone is answered by zeros: the group knows its sums."""
     keys = [_unpack_keys(k) for _, _, k, _ in rows]
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
     vals = np.concatenate([unpack(v, kind).reshape(-1, width) for *_, v in rows])
     sums = np.stack([np.bincount(at, vals[:, c], len(uniq)) for c in range(width)], axis=1) if len(uniq) else np.zeros((0, width))
     about = said(sums[:, 0]) if said else b""
+    if brief:
+        sums[np.bincount(at, minlength=len(uniq)) == 1] = 0
     out, n = [], 0
     for (src, tag, _, _), k in zip(rows, keys):
         out.append((src, -1, tag, about, pack(sums[at[n:n + len(k)]].astype(kind))))

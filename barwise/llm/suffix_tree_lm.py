@@ -1,9 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's alphabet: words with ``MIN_SHARE`` of all training tokens (rounded up
-to a power of two, ``MIN_CONTEXT`` at least), and one symbol for all rarer words,
-so it has at most 1 / ``MIN_SHARE`` symbols however large the corpus. The root is
-the smoothed word distribution of the training documents. A context of one or
+The tree's alphabet: words found ``MIN_CONTEXT`` times in the training documents,
+however large the corpus, and one symbol for all rarer words. The root is the
+smoothed word distribution of the training documents. A context of one or
 two frequent words is a node if it is as frequent as that and passes a
 divergence test: over its occurrences, each scored without itself
 (leave-one-out), its next-symbol distribution must beat that of its suffix by
@@ -15,7 +14,8 @@ share of the rare symbol, a word never seen the root's share of unseen words.
 Counts and test sums are gathered over all training documents by conversations
 of document groups with key buckets (``exchange``): words; symbol pairs; tests of
 one-word contexts and triples; tests of two-word contexts. Only distinct keys of
-a group are sent, so frequent words cost one entry a group.
+a group are sent, so frequent words cost one entry a group; a triple isn't sent
+when no other group has its last two symbols.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from barwise.llm import exchange as X
 from barwise.llm.common import LOWER, mix64, table
 
 ALPHA = 0.1
-MIN_SHARE = 1e-5
 MIN_CONTEXT = 8
 MIN_GAIN = 0.02
 WEIGHTS = (1.0, 30.0)
@@ -49,11 +48,6 @@ class _Numbers(dict):
         return n
 
 
-def least_power(total: float) -> int:
-    """The least power of two that makes a word frequent, as its exponent."""
-    return int(np.ceil(np.log2(max(MIN_CONTEXT, MIN_SHARE * total))))
-
-
 def held_out(doc_id: int | None) -> bool:
     """Left out of the training: a tenth of the ids, and rows without one."""
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
@@ -81,19 +75,18 @@ class Book:
     def counts(self, number: np.ndarray, at, n: int) -> np.ndarray:
         """Occurrences in training documents of the things numbered ``number``
         at the tokens ``at``."""
-        return np.bincount(number[self.train[at]], minlength=n).astype(np.float64)[:, None]
+        return np.bincount(number[self.train[at]], minlength=n).astype(np.uint64)[:, None]
 
     def hear_words(self, heard: list[tuple]) -> None:
         own = [r for r in heard if r[1] == 1]
-        distinct, total = sum(X.unpack(k) for _, _, k, _ in own).reshape(2, -1)
-        self.count = X.heard_sums(own, 1)[:, 0]
-        self.total = total.sum()
-        weight = self.total + ALPHA * (distinct.sum() + 1)
+        distinct, self.total, often, often_total = sum(X.unpack(k) for _, _, k, _ in own)
+        said = _heard_counts(own)
+        mine = self.counts(self.word, slice(None), len(self.words))[:, 0]
+        self.count = np.where(said > 0, said, mine)
+        weight = self.total + ALPHA * (distinct + 1)
         self.root = (self.count + ALPHA) / weight
-        low = least_power(self.total)
-        self.least = 1 << low
-        rare = 1 - (total[low:].sum() + ALPHA * distinct[low:].sum()) / weight
-        self.frequent = self.count >= self.least
+        rare = 1 - (often_total + ALPHA * often) / weight
+        self.frequent = self.count >= MIN_CONTEXT
         self.symbol = np.append(np.where(self.frequent, self.words, RARE), RARE)
         self.symbol_root = np.where(self.frequent, self.root, rare)
         # pairs: after a frequent word of the same document
@@ -108,15 +101,20 @@ class Book:
         self.pair[self.one] = at
 
     def hear_pairs(self, heard: list[tuple]) -> None:
-        self.n_pair = X.heard_sums([r for r in heard if r[1] == 2], 1)[:, 0]
+        said = _heard_counts([r for r in heard if r[1] == 2])
+        self.n_pair = np.where(said > 0, said, self.counts(self.pair[self.one], self.one, len(self.pairs))[:, 0])
         # two-word contexts: both words frequent, and the pair as well
         back = self.one[1:][self.one[1:] - 1 == self.one[:-1]]
-        self.two = back[self.n_pair[self.pair[back - 1]] >= self.least]
+        self.two = back[self.n_pair[self.pair[back - 1]] >= MIN_CONTEXT]
         self.ones = np.unique(self.word[self.one - 1])
         self.twos = np.unique(self.pair[self.two - 1])
         key = mix64(self.pairs[self.pair[self.two - 1]] * TRIPLE + self.symbol[self.word[self.two]])
         self.triples, at = np.unique(key, return_inverse=True)
         self.triple = at.astype(np.int32)
+        # shared: other groups may have the triple, as they have its last two symbols
+        self.n_triple = self.counts(self.triple, self.two, len(self.triples))[:, 0].astype(np.float64)
+        self.shared = np.zeros(len(self.triples), bool)
+        self.shared[self.triple] = said[self.pair[self.two]] > 0
         self.prob = self.symbol_root[self.word]
 
     def gains(self, at: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -144,7 +142,8 @@ class Book:
 
     def hear_first(self, heard: list[tuple]) -> None:
         self._descend(*self._of_one(), [r for r in heard if r[1] == 3])
-        self.n_triple = X.heard_sums([r for r in heard if r[1] == 4], 1)[:, 0]
+        said = _heard_counts([r for r in heard if r[1] == 4])
+        self.n_triple[self.shared] = np.where(said > 0, said, self.n_triple[self.shared])
 
     def second_gains(self) -> np.ndarray:
         return self.gains(*self._of_two())
@@ -168,20 +167,24 @@ class Book:
         return np.add.reduceat(base, self.begin), np.add.reduceat(tree, self.begin)
 
 
+def _heard_counts(rows: list[tuple]) -> np.ndarray:
+    return X.heard_sums(rows, 1, np.uint64)[:, 0].astype(np.float64)
+
+
 def _answer(rows: list[tuple]) -> list[tuple]:
-    """Sums by tag; to the question for words also the distinct words and their
-    tokens by power of two of the count."""
+    """Sums by tag; to the question for words also what ``_words_and_tokens`` says."""
     out = []
     for tag in sorted({r[1] for r in rows}):
         own = [r for r in rows if r[1] == tag]
-        out += X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5) else X.answer_sums(own, 1, said=_by_power)
+        out += (X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5)
+                else X.answer_sums(own, 1, np.uint64, _words_and_tokens if tag == 1 else None, brief=True))
     return out
 
 
-def _by_power(counts: np.ndarray) -> bytes:
-    c = counts[counts > 0]
-    power = np.frexp(c)[1] - 1
-    return X.pack(np.stack([np.bincount(power, minlength=64).astype(np.float64), np.bincount(power, c, 64)]))
+def _words_and_tokens(counts: np.ndarray) -> bytes:
+    """Distinct training words and their tokens, of all and of the frequent."""
+    often = counts[counts >= MIN_CONTEXT]
+    return X.pack(np.array([np.count_nonzero(counts), counts.sum(), len(often), often.sum()], np.float64))
 
 
 def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -211,8 +214,9 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b = Book(group)
         b.hear_words(heard)
         b.hear_pairs(heard)
+        n = b.n_triple[b.shared].astype(np.uint64)[:, None]
         return (X.keep(gid, groups, heard) + X.ask_sums(gid, 3, b.words[b.ones], b.first_gains(), groups)
-                + X.ask_sums(gid, 4, b.triples, b.counts(b.triple, b.two, len(b.triples)), groups))
+                + X.ask_sums(gid, 4, b.triples[b.shared], n, groups))
 
     def test_two(gid, group, heard):
         b = Book(group)

@@ -4,8 +4,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from barwise.llm import exchange as X
 from barwise.llm import suffix_tree_lm as L
 from conftest import SF_MID
 from llm_helpers import docs_of
@@ -108,3 +110,17 @@ def test_query_beats_the_base_on_held_out_texts(spark):
     same(got, brute(rows)[0])
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_a_word_seen_ten_times_is_a_context_at_any_size(spark):
+    train = [i for i in range(40) if not L.held_out(i)]
+    rows = [(i, "alpha beta") for i in train[:10]] + [(train[11], "filler " * 900_000), (None, "alpha beta")]
+    got = [r for r in L.suffix_tree_scores(docs_of(spark, rows)).collect() if r.doc_id is None]
+    assert got[0].train_tokens > 800_000 and got[0].score > got[0].base_score + 8
+
+
+def test_counts_survive_packing():
+    for kind in (np.uint64, np.float32, np.float64, np.int64, np.uint8):
+        for n in (0, 1, 1000):
+            a = (np.arange(n) ** 4).astype(kind)
+            assert (X.unpack(X.pack(a), kind) == a).all()
