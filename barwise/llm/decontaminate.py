@@ -1,16 +1,18 @@
 """Benchmark decontamination: an FM-index per shard of training text.
 
 The test phrases (windows of consecutive words of each item) are the stated
-query set: they go to every task, behind a check of their size. A task cuts its
+query set: they go to every task, in blocks of a bounded size; after the first
+the documents are searched once more a block. A task cuts its
 documents into shards, maps words to phrase-word ids, indexes what can hold a
 phrase (runs of known words no shorter than the shortest phrase), searches all
 phrases backward, locates their occurrences by sampled suffix positions and
-merges the spans. The documents are read once and never shuffled.
+merges the spans. The documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, bound_batches, table
+from barwise.llm.common import as_bytes, bound_batches, cut, table
 from barwise.llm.fm_index import FMIndex
 
 #: words of a shard, above which the next document begins another
 SHARD_WORDS = 1 << 20
-#: most characters of benchmark text that are sent to every task
+#: most characters of benchmark text that are sent to every task at a time
 MAX_QUERY_CHARS = 64_000_000
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -31,6 +33,13 @@ _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
                   for b in range(256))
 RESULT = ("struct<n_words:bigint,n_hit:bigint,items:array<bigint>,"
           "spans:array<struct<start:bigint,end:bigint>>,text:string>")
+#: what one block of the benchmark found: items, and runs of hit words
+HITS = "struct<items:array<bigint>,runs:array<struct<start:bigint,end:bigint>>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_KINDS = {
+    RESULT: pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
+                       ("spans", _SPANS), ("text", pa.string())]),
+    HITS: pa.struct([("items", pa.list_(pa.int64())), ("runs", _SPANS)])}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,14 +83,19 @@ def occurrences(ids: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return at[index.locate(rows)], phrase
 
 
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (exclusive) of the runs of hit words."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def _spans(text: bytes, hit: np.ndarray) -> tuple[list[dict], bytes]:
     """Removal spans in code points (end exclusive) and the text without them;
     a run of hit words goes with what stands between them."""
     where = [m.span() for m in WORD.finditer(text)]
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    begin, end = _runs(hit)
     spans, kept, last, chars = [], [], 0, 0
-    for a, b in zip((where[i][0] for i in begin), (where[i][1] for i in end)):
+    for a, b in zip((where[i][0] for i in begin), (where[i - 1][1] for i in end)):
         kept.append(text[last:a])
         chars += len(text[last:a].decode("utf-8", "replace"))
         size = len(text[a:b].decode("utf-8", "replace"))
@@ -90,7 +104,9 @@ def _spans(text: bytes, hit: np.ndarray) -> tuple[list[dict], bytes]:
     return spans, b"".join(kept) + text[last:]
 
 
-def shard_result(texts: list[bytes], p: Phrases) -> list[dict]:
+def shard_hits(texts: list[bytes], p: Phrases, earlier: list[dict | None]) -> Iterator[tuple[list, np.ndarray]]:
+    """Items and hit words (a flag a word) of each text, with those that
+    ``earlier`` blocks found."""
     words = [words_of(t) for t in texts]
     ids, ends, n = [], [], 0
     for w in words:
@@ -107,19 +123,74 @@ def shard_result(texts: list[bytes], p: Phrases) -> list[dict]:
     found: dict[int, set] = {}
     for d, k in zip(doc.tolist(), phrase.tolist()):
         found.setdefault(d, set()).update(p.items[k])
+    for d, old in enumerate(earlier):
+        own, items = hit[ends[d] - 1 - len(words[d]):ends[d] - 1], found.get(d, set())
+        if old is not None:
+            items |= set(old["items"])
+            for r in old["runs"]:
+                own[r["start"]:r["end"]] = True
+        yield sorted(items), own
+
+
+def shard_runs(texts: list[bytes], p: Phrases, earlier: list[dict | None]) -> list[dict]:
+    return [{"items": items, "runs": [{"start": a, "end": b} for a, b in zip(*map(np.ndarray.tolist, _runs(hit)))]}
+            for items, hit in shard_hits(texts, p, earlier)]
+
+
+def shard_result(texts: list[bytes], p: Phrases, earlier: list[dict | None]) -> list[dict]:
     out = []
-    for d, t in enumerate(texts):
-        row = {"n_words": len(words[d]), "n_hit": 0, "items": [], "spans": [], "text": None}
-        if d in found:
-            own = hit[ends[d] - 1 - len(words[d]):ends[d] - 1]
-            spans, kept = _spans(t, own)
-            row |= {"n_hit": int(own.sum()), "items": sorted(found[d]), "spans": spans,
-                    "text": kept.decode("utf-8", "replace")}
+    for t, (items, hit) in zip(texts, shard_hits(texts, p, earlier)):
+        row = {"n_words": len(hit), "n_hit": int(hit.sum()), "items": items, "spans": [], "text": None}
+        if row["n_hit"]:
+            row["spans"], kept = _spans(t, hit)
+            row["text"] = kept.decode("utf-8", "replace")
         out.append(row)
     return out
 
 
-_PHRASES: dict[int, Phrases] = {}
+#: (items, window, phrases), the latest first: a worker is used for many tasks.
+#: The items are held, so that no other list can have their identity.
+_LATEST: list[tuple[list, int, Phrases]] = []
+
+
+def phrases_of(items: list, window: int) -> Phrases:
+    for k, (known, size, p) in enumerate(_LATEST):
+        if known is items and size == window:
+            _LATEST.insert(0, _LATEST.pop(k))
+            return p
+    del _LATEST[1:]
+    _LATEST.insert(0, (items, window, Phrases(items, window)))
+    return _LATEST[0][2]
+
+
+def _search(shared, window: int, kind: str, of_shard: Callable):
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array, earlier: pa.Array) -> pa.Array:
+        p = phrases_of(shared.value, window)
+        out, shard, old, n = [], [], [], 0
+        for t, e in zip(texts, earlier):
+            shard.append(t.as_py())
+            old.append(e.as_py())
+            n += len(shard[-1])
+            if n >= 6 * SHARD_WORDS:
+                out += of_shard(shard, p, old)
+                shard, old, n = [], [], 0
+        return pa.array(out + of_shard(shard, p, old), _KINDS[kind])
+
+    return found
+
+
+def _blocks(rows: DataFrame, max_chars: int) -> Iterator[list[tuple]]:
+    """The (item, text) rows in blocks of ``max_chars`` bytes; a longer item is a
+    block of its own."""
+    block, n = [], 0
+    for item, text in rows.toLocalIterator():
+        if block and n + len(text) > max_chars:
+            yield block
+            block, n = [], 0
+        block.append((item, bytes(text)))
+        n += len(text)
+    yield block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
@@ -132,34 +203,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     shorter one; words are ASCII letters, lower-cased, digits and non-ASCII. A
     null text has no words and stays null; items without words have no phrase;
     an item without an id removes its phrases but is not listed. Repeated items
-    and documents are treated alike. Empty tables are fine on either side. Other
+    and documents are treated alike. A benchmark above ``MAX_QUERY_CHARS`` is
+    searched block by block, with the documents written to the shared checkpoint
+    folder between; the result is the same. Empty tables are fine on either side. Other
     columns pass through; ones named like a result column are replaced.
     """
     bound_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
-    if size > MAX_QUERY_CHARS:
-        raise ValueError(f"the benchmark holds {size} characters; give it in blocks of {MAX_QUERY_CHARS} at most")
-    items = [(r[0], bytes(r[1])) for r in benchmark.select(F.col(item_col).cast("long"), as_bytes(item_text)).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(set(items), key=str))
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
-                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("text", pa.string())])
-
-    @F.arrow_udf(RESULT)
-    def found(texts: pa.Array) -> pa.Array:
-        items = shared.value
-        if id(items) not in _PHRASES:
-            _PHRASES[id(items)] = Phrases(items, window)
-        out, shard, n = [], [], 0
-        for t in texts:
-            shard.append(t.as_py())
-            n += len(shard[-1])
-            if n >= 6 * SHARD_WORDS:
-                out += shard_result(shard, _PHRASES[id(items)])
-                shard, n = [], 0
-        return pa.array(out + shard_result(shard, _PHRASES[id(items)]), kind)
-
+    phrases = benchmark.select(F.col(item_col).cast("long"), as_bytes(item_text))
+    blocks = (_blocks(phrases, MAX_QUERY_CHARS) if size > MAX_QUERY_CHARS
+              else iter([[(r[0], bytes(r[1])) for r in phrases.collect()]]))
+
+    def search(df: DataFrame, block: list, earlier, *how):
+        shared = df.sparkSession.sparkContext.broadcast(sorted(set(block), key=str))
+        return _search(shared, window, *how)(as_bytes(text_col), earlier)
+
+    r, earlier, block = docs, F.lit(None).cast(HITS), next(blocks)
+    for after in blocks:
+        # cut: a task holds the phrases of one block only
+        r = cut(r.withColumn("__earlier", search(r, block, earlier, HITS, shard_runs)))
+        earlier, block = F.col("__earlier"), after
+    r = r.withColumn("__r", search(r, block, earlier, RESULT, shard_result))
     new = ["n_words", "n_hit", "items", "spans"]
-    r = docs.withColumn("__r", found(as_bytes(text_col)))
     cols = [F.coalesce("__r.text", c).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new]
     return r.select(*cols, *[F.col(f"__r.{c}").alias(c) for c in new])
 

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -84,3 +85,34 @@ def test_query_matches_brute_force(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
            for r in D.op9_decontaminate(spark, SF_SMALL).collect()}
     assert got == want and any(v[4] for v in want.values())
+
+
+def test_phrases_of_a_dropped_benchmark_are_never_used():
+    for k in range(50):
+        items = pickle.loads(pickle.dumps([(k, f"only in {k}".encode())]))
+        assert D.phrases_of(items, 10).items == [[k]]
+        assert len(D.phrases_of(items, 2).rows) == 2
+        assert D.phrases_of(items, 10) is D.phrases_of(items, 10) and len(D._LATEST) <= 2
+        del items
+
+
+def test_two_benchmarks_in_one_session(spark):
+    docs = [(1, "one two three four"), (2, "five six seven eight")]
+    df = docs_of(spark, docs)
+    for items, window in [([(7, "two three")], 10), ([(8, "six seven")], 10), ([(9, "three four five six")], 2)]:
+        got = D.decontaminate(df, docs_of(spark, items, "item_id long, text string"), window).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == brute(docs, items, window)
+
+
+def test_a_large_benchmark_is_searched_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["a", "b", "ö", "d"]) for _ in range(n))
+    items = [(i, text(rng.randint(0, 9))) for i in range(12)] + [(None, "ö ö"), (3, None), (50, text(60))]
+    docs = [(i, text(rng.randint(0, 80))) for i in range(40)] + [(90, None), (91, "")]
+    bench, df = docs_of(spark, items, "item_id long, text string"), docs_of(spark, docs)
+    key = lambda r: r.doc_id
+    whole = sorted(D.decontaminate(df, bench, 3).collect(), key=key)
+    monkeypatch.setattr(D, "MAX_QUERY_CHARS", 60)
+    got = D.decontaminate(df, bench, 3)
+    assert sorted(got.collect(), key=key) == whole and got.columns == ["doc_id", "text", "n_words", "n_hit", "items", "spans"]
+    assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in whole] == brute(docs, items, 3)
