@@ -120,6 +120,17 @@ def near_links(fps: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame
     return rows.mapInArrow(_link(max_bits), "a long, b long")
 
 
+def rooted_fingerprints(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = 4,
+                        id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp), one row per row of ``docs``, and (fp, least, root) with the
+    smallest id of each distinct fingerprint and the root of its component."""
+    bound_batches(docs.sparkSession)
+    fps = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col, words_per_shingle).alias("fp")))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(near_links(distinct.select("fp"), max_bits)).toDF("fp", "root")
+    return fps, distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``.
@@ -130,12 +141,7 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 4, max_bits: in
     without an id get the component of what they link to (null if no linked row
     has an id). An empty table gives an empty table; other columns are not read.
     """
-    bound_batches(docs.sparkSession)
-    fps = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col, words_per_shingle).alias("fp")))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(distinct.select("fp"), max_bits)).toDF("fp", "root")
-    rooted = distinct.join(roots, "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps, rooted = rooted_fingerprints(docs, words_per_shingle, max_bits, id_col, text_col)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

@@ -19,7 +19,7 @@ from barwise.llm.common import table
 from barwise.llm.decontaminate import decontaminate
 from barwise.llm.lines import drop_frequent_lines
 from barwise.llm.quality import quality_scores
-from barwise.llm.simhash import fingerprint, simhash_components
+from barwise.llm.simhash import fingerprint, rooted_fingerprints
 from barwise.session import ensure_checkpoint_dir
 
 
@@ -53,19 +53,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_on_documents
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays, one row
-    of it. Rows without an id go if a document with one is in their component,
-    and stay otherwise."""
-    classes = simhash_components(docs, words_per_shingle=4, max_bits=4)
-    first = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("fp").alias("__n"))
-    once = docs.join(first.filter("__n = 1"), "doc_id", "left_semi")
-    # only the rows of repeated ids are gathered by id
-    again = docs.join(first.filter("__n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    named = once.unionByName(again)
-    loose = classes.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    unnamed = (docs.filter("doc_id is null").withColumn("__fp", fingerprint("text", 4))
-               .join(loose, "__fp", "left_semi").drop("__fp"))
-    return named.unionByName(unnamed)
+    """Of each SimHash component one row stays: the smallest id (no id sorts
+    last), then the smallest fingerprint, then the smallest hash of the text."""
+    fps, rooted = rooted_fingerprints(docs, words_per_shingle=4, max_bits=4)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("s")).select(
+        F.col("s.least").alias("__id"), F.col("s.fp").alias("__fp"))
+    rows = fps.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("fp").alias("__n"))
+    alone = first.join(rows.filter("__n = 1"), "__id").select(F.col("__id").alias("doc_id"))
+    once = docs.join(alone, "doc_id", "left_semi")
+    # only the rows of repeated ids and those without one are told apart by fingerprint
+    several = docs.join(rows.filter("__n > 1").select(F.col("__id").alias("doc_id")), "doc_id", "left_semi")
+    again = several.unionByName(docs.filter("doc_id is null")).withColumn("__own_fp", fingerprint("text", 4))
+    again = again.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")), "left_semi")
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text"))
+    return once.unionByName(again.groupBy("doc_id", "__own_fp").agg(least.alias("__row")).select("__row.*"))
 
 
 @_on_documents

@@ -86,3 +86,14 @@ def test_edge_cases(spark):
     kept = rows_of(P.drop_near_copies(spark, docs, SF_SMALL))
     assert kept == sorted(near_copies(rows), key=str)
     assert P.tokenize(spark, docs, SF_SMALL).count() == len(rows)
+
+
+def test_near_copies_of_rows_without_id_and_under_repeated_ids(spark):
+    a, b, c, d = ("first text of many different words, all of them its own", "zebra lion tiger bear wolf fox hare owl crow",
+                  "one two three four five six seven eight nine ten", "red green blue yellow black white pink brown grey")
+    assert len(classes({slow_fp(t) for t in (a, b, c, d)}, all_links(sorted(slow_fp(t) for t in (a, b, c, d)), 4))) == 4
+    rows = [(None, a), (None, a), (None, a), (5, b), (5, c), (5, c), (3, d), (5, d), (None, d)]
+    docs = docs_of(spark, [(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    kept = [(3, d), (5, b), (5, c), (None, a)]
+    assert rows_of(P.drop_near_copies(spark, docs, SF_SMALL)) == sorted(kept, key=str)
+    assert rows_of(P.drop_near_copies(spark, docs.orderBy("k", ascending=False).repartition(3), SF_SMALL)) == sorted(kept, key=str)
