@@ -6,6 +6,7 @@ import corpus_pipeline
 from barwise.llm.bpe import op8_bpe
 from barwise.llm.decontaminate import op9_decontaminate
 from barwise.llm.lines import OP4_SQL, op4_line_dedup
+from barwise.llm.pii import op11_pii
 from barwise.llm.quality import op6_quality
 from barwise.llm.secrets import op7_secrets
 from barwise.llm.simhash import op3_simhash_dedup
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_decontaminate": (op9_decontaminate, None),
     "op10_vptree": (op10_vptree, OP10_SQL),
+    "op11_pii": (op11_pii, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
