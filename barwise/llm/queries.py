@@ -14,6 +14,7 @@ from barwise.llm.suffix_dedup import op2_suffix_dedup
 from barwise.llm.suffix_tree_lm import op5_suffix_tree_lm
 from barwise.llm.url_filter import OP1_SQL, op1_url_filter
 from barwise.llm.vptree import OP10_SQL, op10_vptree
+from barwise.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_decontaminate": (op9_decontaminate, None),
     "op10_vptree": (op10_vptree, OP10_SQL),
     "op11_pii": (op11_pii, None),
+    "op13_whitening": (op13_whitening, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
