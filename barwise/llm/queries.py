@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from barwise.llm.bpe import op8_bpe
 from barwise.llm.decontaminate import op9_decontaminate
+from barwise.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from barwise.llm.lines import OP4_SQL, op4_line_dedup
 from barwise.llm.pii import op11_pii
 from barwise.llm.quality import op6_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontaminate": (op9_decontaminate, None),
     "op10_vptree": (op10_vptree, OP10_SQL),
     "op11_pii": (op11_pii, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_whitening": (op13_whitening, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
