@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.ordering import global_index
-from barwise.llm.common import table
+from barwise.llm.common import cut, table
 
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
@@ -172,8 +172,8 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, scale
 
 
 def _floored(c, scale: int):
-    """floor(scale * c) as a double, kept finite."""
-    most = F.lit(1e300)
+    """floor(scale * c) as a double, held to +-1e150 so that products stay finite."""
+    most = F.lit(1e150)
     x = F.least(F.greatest(c * F.lit(float(scale)), -most), most)
     return F.when(F.abs(x) < F.lit(2.0 ** 53), F.floor(x).cast("double")).otherwise(x)
 
@@ -260,7 +260,9 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
 
     none = F.lit(None).cast("array<struct<slot:int,score:long>>")
     best = ranked(round_of(blocks.withColumn("slots", none), positives, None), positives, "anchor_id")
-    best = best.select("anchor_id", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
+    # read by the windows and by the result: the first round runs once
+    best = cut(best.select("anchor_id", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"),
+                           F.col("score").alias("positive_score")))
     slots = best.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("positive_score").alias("score")))).alias("slots"))
     asked = blocks.join(slots, blocks.id == slots.anchor_id).drop("anchor_id")
     worst = ranked(round_of(asked, negatives, window), negatives, "anchor_id", "slot")
