@@ -4,7 +4,7 @@ from barwise.plans.registry import REGISTRY  # noqa: F401
 
 _MODULES = ["queries_bars", "queries_features", "queries_stats", "queries_eval",
             "queries_timeseries", "queries_models", "queries_unsupervised",
-            "queries_stream"]
+            "queries_stream", "queries_long_keys"]
 
 
 def load_all():

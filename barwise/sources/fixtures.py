@@ -6,6 +6,7 @@ used by the correctness oracle.
 
 * ``region_bars``   key = region name (5 keys), the main fixture
 * ``supplier_bars`` key = supplier key (1,000 keys at sf0.1), the scale variant
+* ``series_bars``   all supplier bars as one key, the variant for long keys
 * ``walk_bars``     integer random walk per key (non-stationary)
 * ``dirty_bars``    deterministic dirt on region bars (duplicates, gaps, NULL keys)
 * ``tick_bars``     daily bars of the ``events`` stream
@@ -67,6 +68,14 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
                       order=LINE_ORDER, adj=F.col("px") * (F.lit(1.0) - F.col("l_discount")))
 
 
+def series_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All supplier bars strung into one series, as a key of intraday bars: the
+    supplier's number is the second of the day."""
+    b = supplier_bars(spark, sf_dir)
+    at = F.timestamp_seconds(F.unix_date("Date") * F.lit(86_400) + F.col("Ticker").cast("bigint"))
+    return b.withColumn("Date", at.cast("timestamp_ntz")).withColumn("Ticker", F.lit("ALL"))
+
+
 def walk_bars(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """Close = adj_close = 500 + running sum of (Volume mod 3) - 1: an integer walk."""
     b = bars if bars is not None else region_bars(spark, sf_dir)
@@ -162,6 +171,12 @@ sbars AS (
          sum(l_quantity) AS Volume
   FROM sli GROUP BY Ticker, Date)"""]
 
+SERIES_BARS_SQL = SUPPLIER_BARS_SQL + ["""
+series AS (
+  SELECT 'ALL' AS Ticker, CAST(Date AS TIMESTAMP) + to_seconds(CAST(Ticker AS BIGINT)) AS Date,
+         Open, High, Low, Close, adj_close, Volume
+  FROM sbars)"""]
+
 WALK_BARS_SQL = REGION_BARS_SQL + ["""
 walk AS (
   SELECT Ticker, Date, Open, High, Low,
