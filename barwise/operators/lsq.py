@@ -1,9 +1,9 @@
-"""Per-key least squares as a Spark job (used by M10, M12, M13, M15).
+"""Per-key least squares as a Spark job (used by M1-M3, M10, M12, M13, M15, P6).
 
-1. every task turns its Arrow batches into per-key partial Gram matrices
-   (X^T X, X^T y, y^T y, n) with numpy - a hot key is spread over many tasks
-   and each task only emits one partial row per key and batch;
-2. partials are summed per key (a group holds one row per batch, not the bars);
+1. every task turns its rows into per-key Gram sums (n, X^T X, X^T y, y^T y) with
+   numpy and emits one row per key (more only when its keys outgrow HELD_BYTES);
+2. the sums of a key are added by an aggregate that combines map-side and holds
+   one Gram row at a time, so a key in every task is no group of rows;
 3. the k x k system of each key is solved from its summed Gram row.
 
 Nothing but Gram rows (k^2 doubles per key) crosses the shuffle.
@@ -11,48 +11,78 @@ Nothing but Gram rows (k^2 doubles per key) crosses the shuffle.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM_SCHEMA = "key string, n long, xtx array<double>, xty array<double>, yty double"
+#: Gram sums that a task holds before it hands them on
+HELD_BYTES = 64 << 20
+
 
+def _partial(by, xcols, ycol):
+    def frame(held):
+        keys = [k if isinstance(k, tuple) else (k,) for k in held]
+        return pd.DataFrame({**{c: [k[i] for k in keys] for i, c in enumerate(by)}, "v": list(held.values())})
 
-def _partial(xcols, ycol):
     def fn(batches):
+        held, size = {}, 0
         for pdf in batches:
-            if not len(pdf):
-                continue
             # rows with a missing value are skipped here, not by na.drop(): a
             # not-null filter over dozens of derived columns makes Catalyst's
             # constraint propagation blow up
             pdf = pdf.dropna()
-            if not len(pdf):
-                continue
-            rows = []
-            for k, g in pdf.groupby("key", sort=False):
+            for k, g in pdf.groupby(by, sort=False):
                 X = g[xcols].to_numpy(dtype="float64")
                 y = g[ycol].to_numpy(dtype="float64")
-                rows.append((k, len(g), (X.T @ X).ravel(), X.T @ y, float(y @ y)))
-            yield pd.DataFrame(rows, columns=["key", "n", "xtx", "xty", "yty"])
+                v = np.concatenate([[len(g)], (X.T @ X).ravel(), X.T @ y, [y @ y]])
+                if k in held:
+                    held[k] += v
+                else:
+                    held[k], size = v, size + v.nbytes
+            if size > HELD_BYTES:
+                yield frame(held)
+                held, size = {}, 0
+        if held:
+            yield frame(held)
     return fn
 
 
-def _sum_partials(pdf: pd.DataFrame) -> pd.DataFrame:
-    xtx = np.sum(np.stack(pdf["xtx"].to_numpy()), axis=0)
-    xty = np.sum(np.stack(pdf["xty"].to_numpy()), axis=0)
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [int(pdf["n"].sum())],
-                         "xtx": [xtx], "xty": [xty], "yty": [float(pdf["yty"].sum())]})
-
-
-def grouped_gram(df: DataFrame, key: str, xcols: list[str], ycol: str) -> DataFrame:
-    """One row per key: n, X^T X (row-major), X^T y, y^T y over rows with no NULL."""
-    x = df.select(F.col(key).cast("string").alias("key"),
+def grouped_gram(df: DataFrame, key: str, xcols: list[str], ycol: str, part: str | None = None) -> DataFrame:
+    """One row per key (and ``part``, an int column): n, X^T X (row-major), X^T y,
+    y^T y over rows with no NULL."""
+    by = ["key", "part"] if part else ["key"]
+    x = df.select(F.col(key).cast("string").alias("key"), *([F.col(part).cast("int").alias("part")] if part else []),
                   *[F.col(c).cast("double").alias(c) for c in xcols],
                   F.col(ycol).cast("double").alias("_y"))
-    partial = x.mapInPandas(_partial(xcols, "_y"), GRAM_SCHEMA)
-    return partial.groupBy("key").applyInPandas(_sum_partials, GRAM_SCHEMA)
+    kinds = ", ".join(f"{c} {t}" for c, t in zip(by, ("string", "int")))
+    sums = (x.mapInPandas(_partial(by, xcols, "_y"), f"{kinds}, v array<double>")
+            .groupBy(*by).agg(Summarizer.sum(array_to_vector("v")).alias("s")).withColumn("s", vector_to_array("s")))
+    k = len(xcols)
+    return sums.select(*by, F.round(F.col("s")[0]).cast("long").alias("n"), F.slice("s", 2, k * k).alias("xtx"),
+                       F.slice("s", 2 + k * k, k).alias("xty"), F.element_at("s", -1).alias("yty"))
+
+
+def solve_scaled(xtx: np.ndarray, xty: np.ndarray, yty: float, ridge: float = 0.0,
+                 free: int = 0) -> tuple[np.ndarray, float]:
+    """Coefficients and sum of squared residuals; columns are brought to length
+    one first, and collinear ones share their effect (least norm). ``ridge`` is
+    added for all columns but the first ``free``."""
+    k = len(xty)
+    a = xtx.reshape(k, k) + ridge * np.diag([0.0] * free + [1.0] * (k - free))
+    s = np.sqrt(np.diag(a))
+    s = np.where(s > 0, s, 1.0)
+    beta = np.linalg.lstsq(a / np.outer(s, s), xty / s, rcond=1e-13)[0] / s
+    return beta, max(float(yty - 2 * beta @ xty + beta @ xtx.reshape(k, k) @ beta), 0.0)
+
+
+def aic(n: int, ssr: float, coefs: int) -> float:
+    return n * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1) + 2 * coefs
 
 
 def solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: int, ridge: float = 0.0,

@@ -8,9 +8,11 @@ from barwise.functions import windows as Wn
 from barwise.functions.exprs import quantize
 from barwise.operators import metrics as Me
 from barwise.operators.lsq import materialize_small
+from barwise.operators import rolling as Ro
 from barwise.operators import splits as Sp
 from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
+from barwise.schema import SUPERVISED_FEATURES
 
 W = "PARTITION BY Ticker ORDER BY Date"
 FRAC = 0.8
@@ -191,7 +193,7 @@ def q_leaderboard_rounded(spark, sf):
 FOLD_METRICS = ["mae", "rmse", "mape_eps_pct", "r2"]
 
 
-@register("rolling_scores", with_ctes(PANEL_CTES + CUT_CTES[:2] + [f"""
+ROLLING_SQL = with_ctes(PANEL_CTES + CUT_CTES[:2] + [f"""
 ft AS (SELECT Ticker, Date, adj_close, Target_Next_Price, ntile(5) OVER ({W}) AS tile FROM ml1)""", """
 ff AS (SELECT ft.*, CAST(fold AS INTEGER) AS fold, tile <= fold AS train
   FROM ft, (SELECT unnest(range(1, 5)) AS fold) f WHERE tile <= fold + 1)""", """
@@ -204,7 +206,10 @@ fm AS (SELECT Ticker, fold, count(*) AS n, avg(abs(predicted - actual)) AS mae,
   avg(abs((actual - predicted) / nullif(actual + 1e-8, 0))) * 100 AS mape_eps_pct,
   1 - sum((predicted - actual) * (predicted - actual)) / nullif(count(*) * var_pop(actual), 0) AS r2
   FROM fp GROUP BY Ticker, fold)"""], "SELECT Ticker, fold, n, " + ", ".join(
-    f"{q_sql(c, 16)} AS {c}" for c in FOLD_METRICS) + " FROM fm"))
+    f"{q_sql(c, 16)} AS {c}" for c in FOLD_METRICS) + " FROM fm")
+
+
+@register("rolling_scores", ROLLING_SQL)
 def q_rolling_scores(spark, sf):
     """AR(1) fitted anew on every expanding fold and scored on the tile after it."""
     ml = Wn.targets(panel(spark, sf), "adj_close").select("Ticker", "Date", "adj_close", "Target_Next_Price")
@@ -218,6 +223,35 @@ def q_rolling_scores(spark, sf):
     return m.select("Ticker", F.col("fold").cast("int").alias("fold"), "n", *[quantize(c, 16).alias(c) for c in FOLD_METRICS])
 
 
+def _fold_scores(preds):
+    m = Me.regression_metrics(preds, ("Ticker", "fold"))
+    return m.select("Ticker", F.col("fold").cast("int").alias("fold"), "n", *[quantize(c, 16).alias(c) for c in FOLD_METRICS])
+
+
+@register("rolling_refits", ROLLING_SQL)
+def q_rolling_refits(spark, sf):
+    """``rolling_scores`` from prefix-summed Gram matrices."""
+    ml = Wn.targets(panel(spark, sf), "adj_close").select("Ticker", "Date", "adj_close", "Target_Next_Price")
+    return _fold_scores(Ro.rolling_refits(ml, ["adj_close"], "Target_Next_Price", 4))
+
+
+def _rolling_all(spark, sf, ridge):
+    ml = Wn.targets(panel(spark, sf), "adj_close").select("Ticker", "Date", *SUPERVISED_FEATURES, "Target_Next_Price")
+    return _fold_scores(Ro.rolling_refits(ml, SUPERVISED_FEATURES, "Target_Next_Price", 4, ridge))
+
+
+@register("rolling_linear")
+def q_rolling_linear(spark, sf):
+    """All features, least squares fitted anew on every expanding fold."""
+    return _rolling_all(spark, sf, 0.0)
+
+
+@register("rolling_ridge")
+def q_rolling_ridge(spark, sf):
+    """All features, ridge with alpha 1 on every expanding fold."""
+    return _rolling_all(spark, sf, 1.0)
+
+
 @register("backtest_table", with_ctes(PRED_CTES, f"""
 SELECT model, Ticker, Date, actual, {q_sql('predicted')} AS predicted,
   {q_sql('predicted - actual')} AS error FROM preds"""))

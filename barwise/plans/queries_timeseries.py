@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.exprs import quantize
 from barwise.functions.windows import by_key
+from barwise.operators import arma as Ar
 from barwise.operators import timeseries as Ts
 from barwise.plans.registry import q_sql, register, with_ctes
 from barwise.sources import fixtures as X
@@ -233,3 +234,49 @@ def q_window_regressor(spark, sf):
 @register("series_summary")
 def q_series_summary(spark, sf):
     return Ts.series_summary(X.region_bars(spark, sf))
+
+
+# ------------------------------------------------ M12 with innovations and seasons
+ARMA11_CTES = X.REGION_BARS_SQL + [f"""
+h0 AS (SELECT Ticker, Date, Close - lag(Close, 1) OVER ({W}) AS y FROM bars)""", f"""
+h1 AS (SELECT Ticker, Date, y, lag(y, 1) OVER ({W}) AS yl FROM h0 WHERE y IS NOT NULL)""", """
+ha AS (SELECT Ticker, regr_slope(y, yl) AS b, regr_intercept(y, yl) AS a FROM h1 GROUP BY Ticker)""", f"""
+h2 AS (SELECT Ticker, Date, y, yl, lag(y - a - b * yl, 1) OVER ({W}) AS el FROM h1 JOIN ha USING (Ticker))""", """
+hs AS (SELECT Ticker, count(*) AS n, avg(y) AS my, avg(yl) AS mx, avg(el) AS me, var_pop(yl) AS xx, var_pop(el) AS ee,
+  covar_pop(yl, el) AS xe, covar_pop(y, yl) AS xy, covar_pop(y, el) AS ey FROM h2 WHERE el IS NOT NULL GROUP BY Ticker)""", """
+hc AS (SELECT *, (xy * ee - ey * xe) / (xx * ee - xe * xe) AS phi, (ey * xx - xy * xe) / (xx * ee - xe * xe) AS theta FROM hs)"""]
+
+
+def _differences(bars):
+    dy = F.col("Close") - F.lag("Close", 1).over(by_key())
+    return bars.select("Ticker", "Date", dy.alias("value")).filter(F.col("value").isNotNull())
+
+
+@register("arma11", with_ctes(ARMA11_CTES, f"""
+SELECT Ticker, n, {q_sql('my - phi * mx - theta * me', 16)} AS const, {q_sql('phi', 16)} AS phi, {q_sql('theta', 16)} AS theta FROM hc"""))
+def q_arma11(spark, sf):
+    """ARMA(1,1) of the differences, both regressions in closed form in SQL
+    (innovations of an autoregression of one lag)."""
+    fit = Ar.fit_arma(_differences(X.region_bars(spark, sf)), (1, 1, 0, 0), long_ar=1, search=False)
+    return fit.select("Ticker", "n", quantize("const", 16).alias("const"), quantize(F.col("phi")[0], 16).alias("phi"),
+                      quantize(F.col("theta")[0], 16).alias("theta"))
+
+
+@register("arma_orders")
+def q_arma_orders(spark, sf):
+    """All 144 seasonal orders on the series that the unit-root test chose."""
+    bars = X.walk_bars(spark, sf)
+    series = Ts.chosen_series(bars, Ts.df_test(bars))
+    return Ar.fit_arma(series).select("Ticker", "p", "q", "sp", "sq", "n", "sigma2", "aic", "is_best")
+
+
+@register("arma_future")
+def q_arma_future(spark, sf):
+    return Ar.arma_future(X.walk_bars(spark, sf), H)
+
+
+@register("arma_long_key")
+def q_arma_long_key(spark, sf):
+    """Order search over one key dealt in chunks."""
+    return Ar.fit_arma(_differences(X.series_bars(spark, sf)), chunk_rows=3_000).select(
+        "Ticker", "p", "q", "sp", "sq", "n", "sigma2", "aic", "is_best")
