@@ -124,15 +124,8 @@ def materialize_small(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out before an MLlib fit.
-
-    Design tables come out of per-key windows; with few keys AQE coalesces them
-    into a handful of partitions, and every MLlib pass would then run on a few
-    cores. The number of partitions follows the larger of cores and shuffle
-    partitions, which the submitter sizes with the data. The round-robin shuffle
-    is deterministic (Spark sorts before it), so a lost partition is recomputed
-    with the same rows.
-    """
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism,
-                              int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Deal the rows out before an iterative fit, in partitions of the size that
+    adaptive execution aims at: a small design costs one task a pass, a large one
+    as many as it needs. Spark sorts before the round-robin shuffle, so a lost
+    partition is recomputed with the same rows."""
+    return df.hint("rebalance")

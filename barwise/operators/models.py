@@ -1,7 +1,8 @@
-"""Supervised models on MLlib.
+"""Supervised models (M1-M6, M16): MLlib for linear, ridge and the dense net, the
+lasso on a Gram matrix, ``trees`` and ``boosting`` for the rest.
 
 Every estimator runs as Spark jobs (aggregated gradients / Gram matrices /
-tree bin statistics); only fitted parameters reach the driver. Inputs are the
+histograms); only fitted parameters reach the driver. Inputs are the
 engineered panel with a next-price target, a calendar split (P3), and
 z-scores fitted on the train part (P4). Outputs are long backtest rows
 (model, Ticker, Date, actual, predicted) for the test part.
@@ -9,14 +10,21 @@ z-scores fitted on the train part (P4). Outputs are long backtest rows
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.operators.lsq import materialize_small, spread
+from barwise.operators.boosting import PRESETS, boost
+from barwise.operators.lsq import grouped_gram, materialize_small, spread
 from barwise.operators.splits import time_cutoff, zscore
+from barwise.operators.trees import forest_predict
 from barwise.schema import SUPERVISED_FEATURES
 
 
@@ -32,7 +40,11 @@ def design(ml: DataFrame, features=tuple(SUPERVISED_FEATURES), label="Target_Nex
 
 
 def _backtest(model, test: DataFrame, name: str) -> DataFrame:
-    return model.transform(test).select(F.lit(name).alias("model"), "Ticker", "Date",
+    return _named(model.transform(test), name)
+
+
+def _named(predicted: DataFrame, name: str) -> DataFrame:
+    return predicted.select(F.lit(name).alias("model"), "Ticker", "Date",
                                         F.col("label").alias("actual"),
                                         F.col("prediction").alias("predicted"))
 
@@ -55,71 +67,65 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0):
                             standardization=False).fit(train)
 
 
-def fit_lasso(train: DataFrame, alpha: float = 0.001, max_iter: int = 20000):
-    """M3: lasso (L1, coordinate-free OWL-QN in MLlib)."""
-    return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
-                            maxIter=max_iter, tol=1e-8).fit(train)
-
-
-def fit_forest(train: DataFrame, trees: int = 300, seed: int = 42, max_depth: int = 30):
-    """M4: random forest, all features per split (sklearn's regressor default).
-
-    Trees are grown level by level over the whole forest; node ids are cached
-    and the per-pass node budget raised so a level of all 300 trees fits in one
-    pass. Trees grow until their leaves are pure or MLlib's limit of 30 levels."""
-    rf = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=max_depth,
-                               maxBins=64, seed=seed, subsamplingRate=1.0, bootstrap=True,
-                               cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
-    return rf.fit(train)
-
-
-PRESETS = {
-    # leaf-wise booster preset: lr .05, 90 % features, 80 % rows, MAE early stopping
-    "leafwise": dict(stepSize=0.05, maxDepth=5, featureSubsetStrategy="0.9", subsamplingRate=0.8),
-    # depth-wise booster preset: eta .05, depth 6, 80 % rows, 80 % columns
-    "depthwise": dict(stepSize=0.05, maxDepth=6, featureSubsetStrategy="0.8", subsamplingRate=0.8),
-    # dashboard booster: all rows and columns, a fixed number of rounds
-    "app": dict(stepSize=0.05, maxDepth=6, featureSubsetStrategy="all", subsamplingRate=1.0),
-}
-
-
-def fit_rounds(train: DataFrame, preset: str, rounds: int, seed: int = 42):
-    """Boosted trees with a fixed number of rounds."""
-    return GBTRegressor(maxIter=rounds, seed=seed, maxBins=64, checkpointInterval=10, **PRESETS[preset]).fit(train)
-
-
-def stopping_round(errors: list[float], patience: int) -> int | None:
-    """Best round (from 1) once ``patience`` rounds in a row brought no better
-    error; None while the run should go on."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1
-    return None
-
-
-def fit_gbt(train: DataFrame, preset: str = "leafwise", max_rounds: int = 2000, patience: int = 100,
-            seed: int = 42, valid_frac: float = 0.1):
-    """M5/M6: boosted trees with early stopping on an own validation slice
-    (the last 10 % of train dates, quirk Q10): training ends when the validation
-    MAE has not improved for ``patience`` rounds, or after ``max_rounds``. The
-    final model has the best number of rounds and is fitted on all train rows.
-
-    MLlib can't resume a fit, so the search doubles the number of rounds until
-    patience ends it (the same seed gives the same first trees)."""
+def lasso_descent(gram: np.ndarray, cov: np.ndarray, alpha: float, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
+    """Coordinate descent on mean products: min 1/2 b'Gb - c'b + alpha |b|_1,
+    swept until no coefficient's effect moves by more than ``tol`` of the largest."""
+    d = np.diag(gram)
+    beta, grad = np.zeros(len(cov)), cov.copy()  # grad = cov - gram @ beta
+    live = np.flatnonzero(d > 0)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in live:
+            old, z = beta[j], grad[j] + d[j] * beta[j]
+            new = math.copysign(max(abs(z) - alpha, 0.0), z) / d[j]
+            if new != old:
+                grad -= gram[:, j] * (new - old)
+                beta[j] = new
+                moved = max(moved, abs(new - old) * math.sqrt(d[j]))
+        if moved <= tol * max(1e-300, float(np.max(np.abs(beta) * np.sqrt(d), initial=0.0))):
+            break
+    return beta
+
+
+@dataclass
+class LinearFit:
+    """A constant and one coefficient a feature."""
+    const: float
+    beta: list[float]
+
+    def transform(self, df: DataFrame, features="features", name="prediction") -> DataFrame:
+        terms = F.zip_with(vector_to_array(features), F.array(*[F.lit(b) for b in self.beta]), lambda a, b: a * b)
+        return df.withColumn(name, F.lit(self.const) + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
+
+
+def fit_lasso(train: DataFrame, alpha: float = 0.001, sweeps: int = 20_000, label="label", features="features") -> LinearFit:
+    """M3: lasso by coordinate descent on the Gram matrix: one pass over the rows
+    (after one for the means), then sweeps over k x k numbers. A constant feature
+    has coefficient 0."""
+    first = train.select(F.size(vector_to_array(features)).alias("k")).first()
+    if first is None:
+        return LinearFit(0.0, [])
+    k, x = first.k, vector_to_array(features)
+    cols = [f"x{j}" for j in range(k)]
+    mean = train.agg(*[F.avg(x[j]).alias(c) for j, c in enumerate(cols)], F.avg(label).alias("y")).first()
+    rows = train.select(F.lit("all").alias("key"), *[(x[j] - F.lit(mean[c])).alias(c) for j, c in enumerate(cols)],
+                        (F.col(label) - F.lit(mean["y"])).alias("y"))
+    g = grouped_gram(rows, "key", cols, "y").first()
+    beta = lasso_descent(np.reshape(g.xtx, (k, k)) / g.n, np.array(g.xty) / g.n, alpha, sweeps)
+    return LinearFit(float(mean["y"] - sum(b * mean[c] for b, c in zip(beta, cols))), beta.tolist())
+
+
+def fit_gbt(train: DataFrame, preset: str = "leafwise", max_rounds: int = 2000, patience: int = 100, seed: int = 42,
+            valid_frac: float = 0.1):
+    """M5/M6: boosted trees with early stopping on an own validation slice (the
+    last 10 % of train dates, quirk Q10): the run ends when the validation error
+    has not improved for ``patience`` rounds, or after ``max_rounds``. The model
+    has the trees up to the best round."""
     cut = time_cutoff(train, 1.0 - valid_frac)
-    fit_part = train.filter(F.col("Date") < F.lit(cut)) if cut else train
-    valid = train.filter(F.col("Date") >= F.lit(cut)) if cut else train
-    rounds, best = min(2 * patience, max_rounds), None
-    while best is None:
-        errors = fit_rounds(fit_part, preset, rounds, seed).evaluateEachIteration(valid, "absolute")
-        best = stopping_round(errors, patience)
-        if best is None and rounds >= max_rounds:
-            best = min(range(len(errors)), key=lambda i: errors[i]) + 1
-        rounds = min(2 * rounds, max_rounds)
-    return fit_rounds(train, preset, best, seed), best
+    if not cut:
+        return boost(train, None, PRESETS[preset], max_rounds, None, seed)
+    early = F.col("Date") < F.lit(cut)
+    return boost(train.filter(early), train.filter(~early), PRESETS[preset], max_rounds, patience, seed)
 
 
 def fit_direction(train: DataFrame, n_features: int, seed: int = 42, max_iter: int = 100):
@@ -139,11 +145,11 @@ def backtest(d: DataFrame, model_name: str, **kw) -> DataFrame:
     elif model_name == "lasso":
         m = fit_lasso(train, **kw)
     elif model_name == "forest":
-        m = fit_forest(train, **kw)
+        return _named(forest_predict(train, test, **kw), model_name)
     elif model_name == "gbt_app":
-        m = fit_rounds(train, "app", kw.get("rounds", 500))
+        m = boost(train, None, PRESETS["app"], kw.get("rounds", 500))
     elif model_name.startswith("gbt_"):
-        m, _ = fit_gbt(train, preset=model_name[4:], **kw)
+        m = fit_gbt(train, preset=model_name[4:], **kw)
     else:
         raise ValueError(model_name)
     return _backtest(m, test, model_name)

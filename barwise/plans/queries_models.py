@@ -23,13 +23,8 @@ def _reg(name, **kw):
     return q
 
 
-#: depth of the registered forests: MLlib makes many passes a level once 300
-#: trees have thousands of open nodes each (``fit_forest`` itself goes to 30)
-FOREST_DEPTH = 10
-
-for _name in ["linear", "ridge", "lasso", "gbt_leafwise", "gbt_depthwise"]:
+for _name in ["linear", "ridge", "lasso", "gbt_leafwise", "gbt_depthwise", "forest"]:
     REGISTRY[_name] = (_reg(_name), None)
-REGISTRY["forest"] = (_reg("forest", max_depth=FOREST_DEPTH), None)
 
 
 def q_direction(spark, sf):
@@ -64,6 +59,28 @@ def q_linear_one(spark, sf):
     return out.select("Ticker", "Date", quantize("predicted", 12).alias("predicted"))
 
 
+def _one_feature(name, **kw):
+    def q(spark, sf):
+        ml = ml_frame(spark, sf, ["Ticker", "Date", "adj_close", "Target_Next_Price"])
+        out = Mo.backtest(Mo.design(ml, ("adj_close",)), name, **kw)
+        return out.select("Ticker", "Date", quantize("predicted", 12).alias("predicted"))
+    return q
+
+
+#: least squares on one standardised feature: mean, deviation and covariance say all
+_ONE = PANEL_CTES + CUT_CTES + ["""
+oc AS (SELECT avg(adj_close) AS m, stddev_pop(adj_close) AS s, avg(Target_Next_Price) AS my, count(*) AS n,
+  covar_pop(Target_Next_Price, adj_close) / stddev_pop(adj_close) AS c FROM sp WHERE split = 'train')"""]
+_ONE_OUT = "SELECT Ticker, Date, {} AS predicted FROM sp, oc WHERE split = 'test'"
+LASSO_ONE_ALPHA = 0.01
+
+# M2: the penalty 1 against the n of a standardised feature; M3: the soft threshold
+REGISTRY["ridge_one"] = (_one_feature("ridge"), with_ctes(_ONE, _ONE_OUT.format(
+    q_sql("my + c * n / (n + 1) * (adj_close - m) / s", 12))))
+REGISTRY["lasso_one"] = (_one_feature("lasso", alpha=LASSO_ONE_ALPHA), with_ctes(_ONE, _ONE_OUT.format(
+    q_sql(f"my + sign(c) * greatest(abs(c) - {LASSO_ONE_ALPHA}, 0) * (adj_close - m) / s", 12))))
+
+
 # ------------------------------------------------ dashboard: models on 20 lags
 def lag_design(spark, sf, n_lags: int = 20):
     """F14 lag matrix on Close, per-key 80/20 split by position."""
@@ -91,7 +108,7 @@ def q_lag_test_rows(spark, sf):
 
 
 def q_forest_lags(spark, sf):
-    return Mo.backtest(lag_design(spark, sf), "forest", max_depth=FOREST_DEPTH)
+    return Mo.backtest(lag_design(spark, sf), "forest")
 
 
 def q_gbt_lags(spark, sf):
@@ -104,17 +121,21 @@ REGISTRY["gbt_lags"] = (q_gbt_lags, None)
 
 def q_model_leaderboard(spark, sf):
     """E2-E4 over the dashboard's model set: AR(5,1,0), seasonal, window
-    regressor, forest and boosted trees on lags; metrics per model and key."""
+    regressor, forest and boosted trees on lags; metrics per model and key. The
+    fits don't depend on each other and run side by side; each model's
+    predictions are written once and read by all metrics."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from barwise.operators import metrics as Me
     from barwise.operators import timeseries as Ts
-    from barwise.sources import fixtures as X
-    bars = X.region_bars(spark, sf)
+    from barwise.operators.lsq import materialize_small
+    bars = materialize_small(X.region_bars(spark, sf).select("Ticker", "Date", "Close"))
     lags = lag_design(spark, sf)  # one checkpointed design for both tree models
-    preds = Me.collect_backtests(
-        Ts.ar_backtest(bars, 5, "Close", model="arima"),
-        Ts.seasonal_backtest(bars, "Close", model="seasonal"),
-        Ts.window_regressor_backtest(bars, price="Close", model="window_regressor"),
-        Mo.backtest(lags, "forest", max_depth=FOREST_DEPTH), Mo.backtest(lags, "gbt_app"))
+    fits = [lambda: Mo.backtest(lags, "gbt_app"), lambda: Mo.backtest(lags, "forest"),
+            lambda: Ts.ar_backtest(bars, 5, "Close", model="arima"), lambda: Ts.seasonal_backtest(bars, "Close", model="seasonal"),
+            lambda: Ts.window_regressor_backtest(bars, price="Close", model="window_regressor")]
+    with ThreadPoolExecutor(len(fits)) as pool:
+        preds = Me.collect_backtests(*pool.map(lambda fit: materialize_small(fit()), fits))
     m = Me.regression_metrics(preds, ("model", "Ticker")).join(
         Me.direction_accuracy(preds, ("model", "Ticker")), ["model", "Ticker"])
     return Me.leaderboard(m.select("Ticker", "model", "mae", "rmse", "mape_eps_pct", "r2",

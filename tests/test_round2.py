@@ -74,13 +74,6 @@ def test_isolation_finds_planted_outliers(spark):
     assert {r.Date for r in top} == {rows[i][1] for i in (10, 500, 900)}
 
 
-def test_patience_ends_the_search():
-    falling = [1 / (i + 1) for i in range(150)]
-    assert Mo.stopping_round(falling, 100) is None
-    assert Mo.stopping_round(falling + [0.5] * 99, 100) is None
-    assert Mo.stopping_round(falling + [0.5] * 100, 100) == 150
-
-
 def test_readers_take_missing_tokens(spark):
     path = Fi.scratch_path(spark, "t_tokens").replace("file:", "")
     os.makedirs(path, exist_ok=True)
