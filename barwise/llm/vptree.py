@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a vantage-point tree per shard.
 
-Vectors are dealt to shards and the stated queries to blocks; a task joins one
-shard with one block: it builds the shard's tree and takes all queries of the
-block down together. A subtree is skipped when the triangle inequality puts it
-farther than ``factor`` times the distance of the k-th neighbour found so far;
-factor one is exact, a smaller one skips more. The k best of each shard meet in
-a final ranking.
+Vectors are dealt to shards by id. A task builds the tree of its shard once and
+takes the stated queries down it block by block as they stream past. A subtree is
+skipped when the triangle inequality puts it farther than ``factor`` times the
+distance of the k-th neighbour found so far; factor one is exact, a smaller one
+skips more. The k best of each shard meet in a final ranking.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,7 @@ def _candidates(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0,
-                       shard_rows: int = 8192, block_rows: int = 2048,
+                       shard_rows: int = 32_768, block_rows: int = 2048,
                        id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each query among
     ``vectors`` of the query's length, its own id left out; ties to the smaller
@@ -121,7 +122,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, fact
     Vectors that are null, empty, zero, or hold null or non-finite components
     take no part, nor do rows without an id. Of several rows of one id the one
     with the least vector counts. Empty tables give an empty result; other
-    columns are not read. Shards and blocks bound what one task holds.
+    columns are not read. A task holds one shard and ``block_rows`` queries;
+    very long vectors make these wider.
     """
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("v")
@@ -130,29 +132,46 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, fact
                 .filter(F.col("id").isNotNull() & (F.size("v") > 0) & good & F.exists(v, lambda c: c != 0)))
 
     x, q = usable(vectors), usable(queries).groupBy("id").agg(F.min("v").alias("v"))
-    shards = max(1, math.ceil(x.count() / shard_rows))
-    blocks = max(1, math.ceil(q.count() / block_rows))
-    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = x.select("id", "v", F.size("v").alias("dim"), part(shards, "shard").alias("shard"), every(blocks).alias("block"))
-    q = q.select("id", "v", F.size("v").alias("dim"), part(blocks, "block").alias("block"), every(shards).alias("shard"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        own = right.column("id").to_numpy()
-        d, ids = Tree(*_candidates(left, k)).nearest(_matrix(right, "v"), own, k, factor)
-        found = ids >= 0
-        return pa.table({"query_id": np.repeat(own, k).reshape(-1, k)[found], "vec_id": ids[found], "score": d[found]})
-
-    keys = ["dim", "shard", "block"]
-    found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(search, OUT)
+    shards = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(x.count() / shard_rows))
+    kinds = lambda shard, asked: [shard.alias("shard"), F.size("v").alias("dim"), F.lit(asked).alias("asked"), "id", "v"]
+    x = x.select(*kinds(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"), False))
+    q = q.select(*kinds(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), True))
+
+    def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, tree = [], 0, None
+        for b in chain(batches, [None]):  # the shard first, then the queries
+            asked = b is not None and b.num_rows and b.column("asked")[b.num_rows - 1].as_py()
+            for part in _by_kind(b):
+                if part.column("asked")[0].as_py() and tree is None:
+                    if not held:
+                        return
+                    tree, held, n = Tree(*_candidates(pa.Table.from_batches(held), k)), [], 0
+                held.append(part)
+                n += part.num_rows
+            if tree is not None and held and (b is None or asked and n >= block_rows):
+                t = pa.Table.from_batches(held)
+                own = t.column("id").to_numpy()
+                d, ids = tree.nearest(_matrix(t, "v"), own, k, factor)
+                found = ids >= 0
+                yield pa.record_batch({"query_id": np.repeat(own, k).reshape(-1, k)[found], "vec_id": ids[found], "score": d[found]})
+                held, n = [], 0
+
+    # a shard is sent once, every query once a shard; the tree is built once
+    met = x.unionByName(q).repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "asked")
+    found = met.groupBy("shard", "dim").applyInArrow(search, OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _by_kind(b: pa.RecordBatch | None) -> list[pa.RecordBatch]:
+    """A sorted batch as its candidates and its queries, without empty parts."""
+    if b is None or not b.num_rows:
+        return []
+    n = b.num_rows - (b.column("asked").true_count)
+    return [part for part in (b.slice(0, n), b.slice(n)) if part.num_rows]
+
+
 def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(e, e.filter("vec_id % 100 = 0"), k=10, factor=1.0)
@@ -165,7 +184,7 @@ WITH e AS (
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
     AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 d AS (
-  SELECT q.vec_id AS query_id, x.vec_id, list_distance(q.v, x.v) AS score
+  SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
   FROM (SELECT * FROM e WHERE vec_id % 100 = 0) q JOIN e x ON x.vec_id <> q.vec_id AND len(x.v) = len(q.v)),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
