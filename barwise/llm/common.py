@@ -56,12 +56,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, with underscores in front where a column of ``df`` has the name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of many ``rows`` a key with one of ``facts``, an aggregate on
     the same keys. The hash as one more key makes Spark exchange both sides for
     the join itself, instead of joining in the aggregate's partitioning; adaptive
     execution can then split partitions that a hot key fills."""
+    k, = free_names(rows.select(*rows.columns, *[F.lit(0).alias(c) for c in facts.columns]), "__k")
+
     def tagged(df: DataFrame) -> DataFrame:
-        return df.withColumn("__k", F.xxhash64(*keys))
+        return df.withColumn(k, F.xxhash64(*keys))
 
-    return tagged(rows).join(tagged(facts), [*keys, "__k"], how).drop("__k")
+    return tagged(rows).join(tagged(facts), [*keys, k], how).drop(k)

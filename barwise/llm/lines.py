@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import LOWER, SPACE, UPPER_AZ, as_bytes, bound_batches, spread_join, table
+from barwise.llm.common import LOWER, SPACE, UPPER_AZ, as_bytes, bound_batches, free_names, spread_join, table
 
 RESULT = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
 
@@ -72,18 +72,24 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     one document and each is rebuilt; rows without an id count as no document
     but lose the lines that others made frequent. An empty table gives an empty
     table. Other columns pass through; ones named ``n_lines`` or ``n_dropped``
-    are replaced.
+    are replaced. A very long text is split whole. A line at the threshold in as many
+    documents as ``min_docs`` goes.
     """
     bound_batches(docs.sparkSession)
-    seen = docs.select(F.col(id_col).alias("__id"), F.explode(line_hashes(text_col, min_chars)).alias("__h"))
+    i, t, lost, r = free_names(docs, "__i", "__t", "__lost", "__r")
+    # a row's lines are told by its id and a hash of its text, so the rows without
+    # an id are no group; where a hash is shared, all lines of the set are frequent
+    # anyway and none is lost wrongly
+    key = [F.coalesce(F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("")).alias(i), F.xxhash64(text_col).alias(t)]
+    seen = docs.select(*key, F.col(id_col).alias("__id"), F.explode(line_hashes(text_col, min_chars)).alias("__h"))
     frequent = (seen.groupBy("__h").agg(F.count_distinct("__id").alias("__n"))
                 .filter(F.col("__n") >= min_docs).select("__h"))
-    lost = (spread_join(seen, frequent, ["__h"]).groupBy("__id").agg(F.collect_set("__h").alias("__lost")))
-    both = docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]), "left")
-    out = both.withColumn("__r", _reassemble(min_chars)(as_bytes(docs[text_col]), F.col("__lost")))
-    cols = [F.col(f"__r.text").alias(c) if c == text_col else docs[c]
+    sets = spread_join(seen, frequent, ["__h"]).groupBy(i, t).agg(F.collect_set("__h").alias(lost))
+    both = spread_join(docs.select("*", *key), sets, [i, t], "left")
+    out = both.withColumn(r, _reassemble(min_chars)(as_bytes(text_col), F.col(lost)))
+    cols = [F.col(f"{r}.text").alias(c) if c == text_col else F.col(f"`{c}`")
             for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*cols, F.col("__r.n_lines").alias("n_lines"), F.col("__r.n_dropped").alias("n_dropped"))
+    return out.select(*cols, F.col(f"{r}.n_lines").alias("n_lines"), F.col(f"{r}.n_dropped").alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
