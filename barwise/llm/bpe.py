@@ -123,7 +123,8 @@ class _Memo(dict):
         return ids
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: (vocabulary, encoder) of the latest call: a worker is used for many tasks
+_LATEST: list[tuple[Vocabulary, Encoder]] = []
 
 
 def _lists(rows: list, kind: pa.DataType) -> pa.ListArray:
@@ -145,9 +146,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         vocab = shared.value
-        if id(vocab) not in _ENCODERS:
-            _ENCODERS[id(vocab)] = Encoder(vocab)
-        e = _ENCODERS[id(vocab)]
+        if not _LATEST or _LATEST[0][0] is not vocab:
+            _LATEST[:] = [(vocab, Encoder(vocab))]
+        e = _LATEST[0][1]
         return _lists([e.encode(t.as_py()) for t in texts], pa.int32())
 
     return docs.withColumn(ids_col, ids(F.coalesce(F.col(text_col), F.lit(""))))

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, bound_batches, cut, table
+from barwise.llm.common import as_bytes, bound_batches, cut, free_names, table
 from barwise.llm.fm_index import FMIndex
 
 #: words of a shard, above which the next document begins another
 SHARD_WORDS = 1 << 20
 #: most characters of benchmark text that are sent to every task at a time
-MAX_QUERY_CHARS = 64_000_000
+MAX_QUERY_CHARS = 4_000_000
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -206,7 +206,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     and documents are treated alike. A benchmark above ``MAX_QUERY_CHARS`` is
     searched block by block, with the documents written to the shared checkpoint
     folder between; the result is the same. Empty tables are fine on either side. Other
-    columns pass through; ones named like a result column are replaced.
+    columns pass through; ones named like a result column are replaced. A very long
+    text is searched whole; of overlapping phrases each counts for its item.
     """
     bound_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -218,15 +219,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
         shared = df.sparkSession.sparkContext.broadcast(sorted(set(block), key=str))
         return _search(shared, window, *how)(as_bytes(text_col), earlier)
 
+    before, result = free_names(docs, "__earlier", "__r")
     r, earlier, block = docs, F.lit(None).cast(HITS), next(blocks)
     for after in blocks:
         # cut: a task holds the phrases of one block only
-        r = cut(r.withColumn("__earlier", search(r, block, earlier, HITS, shard_runs)))
-        earlier, block = F.col("__earlier"), after
-    r = r.withColumn("__r", search(r, block, earlier, RESULT, shard_result))
+        r = cut(r.withColumn(before, search(r, block, earlier, HITS, shard_runs)))
+        earlier, block = F.col(before), after
+    r = r.withColumn(result, search(r, block, earlier, RESULT, shard_result))
     new = ["n_words", "n_hit", "items", "spans"]
-    cols = [F.coalesce("__r.text", c).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new]
-    return r.select(*cols, *[F.col(f"__r.{c}").alias(c) for c in new])
+    cols = [F.coalesce(f"{result}.text", c).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return r.select(*cols, *[F.col(f"{result}.{c}").alias(c) for c in new])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     labelled. Repeated rows get the same score. With no labels, or one class
     only, every score is the share of label 1 (0.5 without labels). An empty
     table stays empty; other columns pass through, ``held_out`` and ``score``
-    are replaced. Word vectors come from all of ``docs``.
+    are replaced. Word vectors come from all of ``docs``. A very long text is pooled
+    whole; an id with several texts is learned from by the least of them.
     """
     bound_batches(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
@@ -225,7 +226,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     known = (labels.select(F.col(id_col).alias("__id"), F.col(label).alias("__y")).filter("__id is not null and __y in (0, 1)")
              .filter(crc_of_id("__id") % 5 != 0).groupBy("__id").agg(F.min("__y").alias("__y"))
              .orderBy(F.xxhash64("__id"), "__id").limit(fit_rows))
+    # one row an id (the least text), so that repeated ids stay within the bound
     rows = (docs.select(F.col(id_col).alias("__id"), as_bytes(text_col).alias("__t")).join(F.broadcast(known), "__id")
+            .groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
             .select("__id", "__y", features("__t").alias("x"), (crc_of_id("__id") % 5 == 1).alias("c")).collect())
     rows.sort(key=lambda r: (r[0], r.x))
     net = Network(np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r[1] for r in rows], float),

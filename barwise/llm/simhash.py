@@ -139,11 +139,12 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 4, max_bits: in
     of at most ``max_bits`` differing bits. Null, empty and wordless texts have
     fingerprint 0, linked like any other. Repeated rows share a component. Rows
     without an id get the component of what they link to (null if no linked row
-    has an id). An empty table gives an empty table; other columns are not read.
+    has an id). A very long text is read whole; ties between ids can't change a
+    component. An empty table gives an empty table; other columns are not read.
     """
     fps, rooted = rooted_fingerprints(docs, words_per_shingle, max_bits, id_col, text_col)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(spread_join(rooted, ids, ["root"]).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
