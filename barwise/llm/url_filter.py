@@ -5,12 +5,14 @@ from its day until the next entry's. A capture is looked up under every suffix
 of its host and every path prefix, and an as-of join finds the entries active
 on the day it was fetched; the longest pattern decides.
 
-DataFrame functions only. Intervals are cut at month borders and joined on
-(pattern, month) with the day as a range condition: entries are dated by day, so
-at most 32 intervals meet a capture in a month, however long a pattern's
-history. Lookups are made once per distinct url and day, and both joins
-exchange their sides for themselves, so adaptive execution can split a host or
-url that holds a third of all captures.
+DataFrame functions only. Intervals are cut at the months that captures have and
+joined on (pattern key, month) with the day as a range condition: entries are
+dated by day, so at most 32 intervals meet a capture in a month, however long a
+pattern's history. A pattern's key is a digest chained over its path segments,
+so a url of many segments gives as many short keys and never copies of itself.
+Lookups are made once per distinct url and day, and both joins exchange their
+sides for themselves, so adaptive execution can split a host or url that holds
+a third of all captures.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwise.llm.common import spread_join, table
+from barwise.llm.common import free_names, spread_join, table
 
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]*)"
 PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -42,6 +44,33 @@ def patterns_of(url):
         F.array_distinct(F.concat(suffixes, prefixes)))
 
 
+def _chained(host, segments):
+    """Keys of ``host`` and of host/prefix for each path prefix: digests chained
+    over the segments, so that a key is as short for a long path as for none."""
+    return F.aggregate(segments, F.array(F.md5(host.cast("binary"))), lambda keys, s: F.concat(
+        keys, F.array(F.md5(F.concat(F.element_at(keys, -1), F.lit("/"), s).cast("binary")))))
+
+
+def keys_of(url):
+    """Keys of a url's candidate patterns (``patterns_of``)."""
+    host = host_of(url)
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+                           lambda i: F.md5(F.array_join(F.slice(labels, i, F.size(labels)), ".").cast("binary")))
+    segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
+    paths = _chained(host, segments)
+    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.concat(suffixes, F.slice(paths, 2, F.size(paths)))))
+
+
+def key_of_pattern(pattern):
+    """The key that a url matched by ``pattern`` has among its own; a pattern with
+    empty path segments matches no url."""
+    parts = F.split(pattern, "/")
+    key = F.element_at(_chained(parts[0], F.slice(parts, 2, F.size(parts))), -1)
+    return F.when(~F.exists(F.slice(parts, 2, F.size(parts)), lambda s: s == ""), key)
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """(pattern, action, listed_on, until): the interval of each entry, ``until``
     exclusive, null while open. Entries of one pattern and day count once, allow
@@ -60,28 +89,34 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     allow, or clear: no longer listed) and listed_on. A null or malformed url has
     no host and a null day no active entry: such rows pass unblocked. Repeated
     captures each get the decision. With empty captures or entries nothing is
-    blocked. Other columns pass through; ones named like a result column are
-    replaced.
+    blocked. A very long url has one short key a path prefix. Of active entries
+    the one with the longest pattern decides, then the greater pattern. Any day of
+    the calendar will do; an interval is cut at the months that captures have.
+    Other columns pass through; ones named like a result column are replaced.
     """
     new = ["host", "blocked", "pattern", "action", "listed_on"]
-    rows = captures.drop(*new).withColumns({"__url": F.col(url_col), "__day": F.col(day_col).cast("date")})
-    first, last = rows.agg(F.min("__day"), F.max("__day")).first()
+    passed = [c for c in captures.columns if c not in new]
+    url, day, u, best = free_names(captures, "__url", "__day", "__u", "__best")
+    rows = captures.drop(*[c for c in new if c not in (url_col, day_col)]).withColumns(
+        {url: F.col(url_col), day: F.col(day_col).cast("date")}).withColumn(u, F.md5(F.col(url).cast("binary")))
     month = lambda d: F.trunc(d, "month")
-    held = (validity(entries).filter(F.col("action") != "clear")
-            .withColumn("from", F.greatest("listed_on", F.lit(first).cast("date")))
-            .withColumn("to", F.least(F.date_sub("until", 1), F.lit(last).cast("date")))
-            .filter(F.col("from") <= F.col("to")))
-    active = held.select("pattern", "action", "listed_on", "from", "to", F.explode(
-        F.sequence(month("from"), month("to"), F.expr("interval 1 month"))).alias("month"))
-    asked = (rows.select("__url", "__day").dropna().distinct()
-             .select("__url", "__day", month("__day").alias("month"), F.explode(patterns_of(F.col("__url"))).alias("pattern")))
-    hits = spread_join(asked, active, ["pattern", "month"]).filter("__day between from and to")
-    best = hits.groupBy("__url", "__day").agg(F.max(F.struct(
-        F.length("pattern").alias("n"), "pattern", "action", "listed_on")).alias("__best"))
-    out = spread_join(rows, best, ["__url", "__day"], "left")
-    return out.select(*[c for c in captures.columns if c not in new], host_of(F.col("__url")).alias("host"),
-                      F.coalesce(F.col("__best.action") == "block", F.lit(False)).alias("blocked"),
-                      *[F.col(f"__best.{c}").alias(c) for c in ("pattern", "action", "listed_on")])
+    # the captures' months: the calendar bounds them
+    seen = rows.select(month(day).cast("string").alias("m")).dropna().distinct().orderBy("m")
+    months = F.split(F.lit(",".join(r.m for r in seen.collect())), ",")
+    held = validity(entries).filter(F.col("action") != "clear").withColumn("m", F.explode(F.filter(
+        F.transform(months, lambda m: m.try_cast("date")),
+        lambda m: (m >= month(F.col("listed_on"))) & (F.col("until").isNull() | (m < F.col("until"))))))
+    active = held.withColumn("key", key_of_pattern(F.col("pattern"))).filter(F.col("key").isNotNull())
+    asked = (rows.select(url, u, F.col(day).alias("day")).dropna().groupBy(u, "day").agg(F.first(url).alias("x"))
+             .select(F.col(u).alias("u"), "day", month("day").alias("m"), F.explode(keys_of(F.col("x"))).alias("key")))
+    hits = spread_join(asked, active, ["key", "m"]).filter(
+        (F.col("listed_on") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    found = hits.groupBy(F.col("u").alias(u), F.col("day").alias(day)).agg(F.max(F.struct(
+        F.length("pattern").alias("n"), "pattern", "action", "listed_on")).alias(best))
+    out = spread_join(rows, found, [u, day], "left")
+    return out.select(*[F.col(f"`{c}`") for c in passed], host_of(F.col(url)).alias("host"),
+                      F.coalesce(F.col(f"{best}.action") == "block", F.lit(False)).alias("blocked"),
+                      *[F.col(f"{best}.{c}").alias(c) for c in ("pattern", "action", "listed_on")])
 
 
 def _number(text):

@@ -116,3 +116,10 @@ def test_a_large_benchmark_is_searched_in_blocks(spark, monkeypatch):
     got = D.decontaminate(df, bench, 3)
     assert sorted(got.collect(), key=key) == whole and got.columns == ["doc_id", "text", "n_words", "n_hit", "items", "spans"]
     assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in whole] == brute(docs, items, 3)
+
+
+def test_clashing_names(spark):
+    docs = docs_of(spark, [(1, "a b c d", 5, 6)], "doc_id long, text string, __r int, __earlier int")
+    bench = docs_of(spark, [(9, "b c")], "item_id long, text string")
+    r = D.decontaminate(docs, bench).collect()[0]
+    assert (r["__r"], r["__earlier"], r.n_hit, r["items"]) == (5, 6, 2, [9])

@@ -46,3 +46,11 @@ def test_matches_sql(spark, duck_small):
     assert res["ok"], res["problems"]
 
 
+
+
+def test_clashing_names_and_rows_without_id(spark):
+    rows = [(i, f"own {i}\nshared", 1, "a", 2) for i in range(12)] + [(None, f"x{i}\nSHARED ", 1, "b", 2) for i in range(3)] * 2 + [(None, None, 1, "c", 2)]
+    df = docs_of(spark, rows, "doc_id long, text string, __r int, __lost string, n_lines int")
+    got = sorted(((r.doc_id, r.text, r["__r"], r["__lost"], r.n_lines, r.n_dropped) for r in drop_frequent_lines(df).collect()), key=str)
+    assert got == sorted([(i, f"own {i}", 1, "a", 2, 1) for i in range(12)] + [(None, f"x{i}", 1, "b", 2, 1) for i in range(3)] * 2
+                         + [(None, "", 1, "c", 1, 0)], key=str)

@@ -54,6 +54,18 @@ def test_as_of(spark):
     assert filter_urls(df.limit(0), ent).count() == 0
 
 
+def test_long_urls_far_dates_and_clashing_names(spark):
+    long_url = "http://x.com/" + "/".join(f"s{i}" for i in range(12_000))
+    caps = [(1, long_url, dt.date(2024, 5, 5)), (2, "http://x.com/s0", dt.date(900, 1, 2)), (3, "http://x.com/s0/s1?q", dt.date(9999, 12, 31)),
+            (4, "http://a.x.com/", dt.date(2024, 5, 5)), (5, "http://x.com/s0x", dt.date(2024, 5, 5))]
+    df = docs_of(spark, [(*c, 7, 8, "p") for c in caps], "__u long, url string, fetched_on date, __k int, __best int, pattern string")
+    ent = docs_of(spark, [("x.com/s0", "block", dt.date(800, 1, 1)), ("x.com/s0/s1", "allow", dt.date(2000, 1, 1)), ("x.com/", "block", dt.date(800, 1, 1)),
+                          ("x.com/s0//s1", "block", dt.date(800, 1, 1))], "pattern string, action string, listed_on date")
+    got = {r["__u"]: (r.blocked, r.pattern, r["__k"], r["__best"]) for r in filter_urls(df, ent).collect()}
+    assert got == {1: (False, "x.com/s0/s1", 7, 8), 2: (True, "x.com/s0", 7, 8), 3: (False, "x.com/s0/s1", 7, 8),
+                   4: (False, None, 7, 8), 5: (False, None, 7, 8)}
+
+
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
 def test_matches_sql(spark, sf):
     res = compare(op1_url_filter(spark, sf), OP1_SQL, duck_connect(sf))
