@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.llm.common import as_bytes
-from barwise.session import estimated_bytes
 
 MESSAGE = "dest int, src int, tag int, keys binary, vals binary"
 _KIND = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("tag", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -38,9 +37,8 @@ def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple
     so more shuffle partitions must not make more of either."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     spark = docs.sparkSession
-    size = estimated_bytes(narrow)
-    if size >= 1 << 60:  # no estimate
-        size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # counted, not estimated: an estimate multiplies with every join before it
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(2 * spark.sparkContext.defaultParallelism, -(-size // group_bytes))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit("deal")))
     return narrow.select(F.pmod(key, F.lit(groups)).cast("int").alias("gid"), "doc_id", "text"), groups

@@ -35,8 +35,8 @@ MIN_CONTEXT = 8
 MIN_GAIN = 0.02
 WEIGHTS = (1.0, 30.0)
 FOLDS = 10
-#: parquet bytes of a group: about 1.5 million words
-GROUP_BYTES = 6 << 20
+#: bytes of text of a group: about 1.5 million words
+GROUP_BYTES = 10 << 20
 
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RARE = np.uint64(0xA0761D6478BD642F)
