@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes
+from barwise.llm.common import as_bytes, mix64
 
 MESSAGE = "dest int, src int, tag int, keys binary, vals binary"
 _KIND = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("tag", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 #: a null id sorts behind every id
 NO_ID = np.iinfo(np.int64).max
 #: kinds that are packed byte plane by byte plane: the high bytes are alike
-PLANES = (np.dtype(np.uint64), np.dtype(np.float32))
+PLANES = (np.dtype(np.uint64), np.dtype(np.uint32), np.dtype(np.float32))
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int]:
@@ -79,23 +79,43 @@ def unpack(b: bytes, kind=np.float64) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted uint64 as the low bytes of their differences."""
+    """Sorted uint64 as the low bytes of their differences; the highest of these
+    bytes are mostly zero and are compressed."""
     if not len(keys):
         return b""
     step = np.diff(keys, prepend=np.uint64(0))
     width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = step.view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + low[:, :-1].tobytes() + zlib.compress(low[:, -1].tobytes(), 1)
 
 
-def _unpack_keys(b: bytes) -> np.ndarray:
+def _unpack_keys(b: bytes, n: int) -> np.ndarray:
     if not b:
         return np.zeros(0, np.uint64)
-    raw = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :b[0]] = raw
+    width, full = b[0], np.zeros((n, 8), np.uint8)
+    end = 1 + n * (width - 1)
+    full[:, :width - 1] = np.frombuffer(b[1:end], np.uint8).reshape(n, width - 1)
+    full[:, width - 1] = np.frombuffer(zlib.decompress(b[end:]), np.uint8)
     return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def spread(high: np.ndarray, low: np.ndarray, n_high: int, n_low: int) -> tuple[np.ndarray, int]:
+    """Evenly spread uint64 keys of pairs of numbers below ``n_high`` and ``n_low``,
+    and how many low bits of the keys are zero: a permutation of the smallest
+    power of two that holds all pairs, so that dense numbers make short messages.
+    A space beyond 64 bits is hashed instead."""
+    high, low = high.astype(np.uint64), low.astype(np.uint64)
+    bits = max(2, (n_high * n_low - 1).bit_length())
+    if bits > 64:
+        return mix64(mix64(high + np.uint64(0x9E3779B97F4A7C15)) + low), 0
+    mask, half = np.uint64((1 << bits) - 1), np.uint64(bits // 2)
+    x = high * np.uint64(n_low) + low
+    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = (x * np.uint64(odd)) & mask
+        x ^= x >> half
+    return x << np.uint64(64 - bits), 64 - bits
+
+
 def _borders(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
@@ -104,32 +124,45 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(_borders(buckets), keys, side="right")
 
 
-def ask_sums(gid: int, tag: int, keys: np.ndarray, vals: np.ndarray, buckets: int) -> list[tuple]:
+def ask_sums(gid: int, tag: int, keys: np.ndarray, vals: np.ndarray, buckets: int, shift: int = 0) -> list[tuple]:
     """Questions for the sums of ``vals`` (a row a key) over all groups; ``keys``
-    are sorted, distinct, evenly spread uint64. Every bucket gets a message."""
+    are sorted, distinct, evenly spread uint64, their low ``shift`` bits zero in
+    every group. Every bucket gets a message."""
+    down = np.uint64(shift)
     cuts = np.concatenate([[0], np.searchsorted(keys, _borders(buckets)), [len(keys)]])
     out = []
     for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         base = np.uint64((b << 64) // buckets)
-        out.append((b, gid, tag, _pack_keys(keys[lo:hi] - base), pack(vals[lo:hi])))
+        out.append((b, gid, tag, _pack_keys((keys[lo:hi] >> down) - (base >> down)), pack(vals[lo:hi])))
     return out
 
 
+#: added to the tag of an answer that numbers the frequent keys
+NUMBERS = 100
+
+
 def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable | None = None,
-                brief: bool = False) -> list[tuple]:
+                brief: bool = False, often: int | None = None) -> list[tuple]:
     """Answers to ``ask_sums`` of one tag: the sums in the order asked, and in
     ``keys`` what ``said`` makes of the bucket's sums. If ``brief``, a key of one
-    group alone is answered by zeros: the group knows its sums."""
-    keys = [_unpack_keys(k) for _, _, k, _ in rows]
+    group alone is answered by zeros: the group knows its sums. With ``often`` a
+    second answer (tag + ``NUMBERS``) numbers the bucket's keys with a sum of at
+    least that from 1; 0 for the others."""
+    asked = [unpack(v, kind).reshape(-1, width) for *_, v in rows]
+    keys = [_unpack_keys(k, len(v)) for (_, _, k, _), v in zip(rows, asked)]
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-    vals = np.concatenate([unpack(v, kind).reshape(-1, width) for *_, v in rows])
+    vals = np.concatenate(asked)
     sums = np.stack([np.bincount(at, vals[:, c], len(uniq)) for c in range(width)], axis=1) if len(uniq) else np.zeros((0, width))
     about = said(sums[:, 0]) if said else b""
+    frequent = sums[:, 0] >= often if often else None
+    number = np.where(frequent, np.cumsum(frequent), 0).astype(np.uint32) if often else None
     if brief:
         sums[np.bincount(at, minlength=len(uniq)) == 1] = 0
     out, n = [], 0
     for (src, tag, _, _), k in zip(rows, keys):
         out.append((src, -1, tag, about, pack(sums[at[n:n + len(k)]].astype(kind))))
+        if often:
+            out.append((src, -1, tag + NUMBERS, b"", pack(number[at[n:n + len(k)]])))
         n += len(k)
     return out
 

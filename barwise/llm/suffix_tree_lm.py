@@ -15,7 +15,8 @@ Counts and test sums are gathered over all training documents by conversations
 of document groups with key buckets (``exchange``): words; symbol pairs; tests of
 one-word contexts and triples; tests of two-word contexts. Only distinct keys of
 a group are sent, so frequent words cost one entry a group; a triple isn't sent
-when no other group has its last two symbols.
+when no other group has its last two symbols. Buckets number the frequent words
+and pairs densely, so that the keys of pairs and triples are a few bytes long.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from barwise.llm import exchange as X
-from barwise.llm.common import LOWER, mix64, table
+from barwise.llm.common import table
 
 ALPHA = 0.1
 MIN_CONTEXT = 8
@@ -38,36 +41,48 @@ FOLDS = 10
 #: bytes of text of a group: about 1.5 million words
 GROUP_BYTES = 10 << 20
 
-PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-RARE = np.uint64(0xA0761D6478BD642F)
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def held_out(doc_id: int | None) -> bool:
     """Left out of the training: a tenth of the ids, and rows without one."""
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
+def tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct token, number of each token, tokens a text): words
+    with A-Z lower-cased, then the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False)))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    of_text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(real).dictionary_encode()
+    hashes = [xxhash.xxh64_intdigest(w, 5) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    sizes = np.bincount(of_text, minlength=len(texts)) + 1
+    tokens = np.full(int(sizes.sum()), len(hashes), np.int32)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    tokens[inner] = coded.indices.to_numpy()
+    return np.array([*hashes, xxhash.xxh64_intdigest(b"", 5)], np.uint64), tokens, sizes
+
+
+def _distinct(high: np.ndarray, low: np.ndarray, n_high: int, n_low: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted keys of the distinct pairs, place of each pair, shift)."""
+    place, uniq = pd.factorize(high * n_low + low) if n_high * n_low < 1 << 63 else pd.factorize(X.spread(high, low, n_high, n_low)[0])
+    keys, shift = (X.spread(uniq // n_low, uniq % n_low, n_high, n_low) if n_high * n_low < 1 << 63 else (uniq, 0))
+    order = np.argsort(keys)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return keys[order], rank[place], shift
+
+
 class Book:
     """Tokens of a group of documents and what the conversation said of them."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, group: pa.Table, buckets: int):
         self.ids, texts = X.documents(group)
-        numbers, parts = _Numbers(), []
-        for t in texts:
-            words = t.translate(LOWER).split()
-            words.append(b"")  # the end
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.buckets = buckets
+        hashes, tokens, self.sizes = tokenize(texts)
         del texts
-        hashes = np.array([xxhash.xxh64_intdigest(w, 5) for w in numbers], np.uint64)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
         self.words, place = np.unique(hashes, return_inverse=True)
-        self.word = place.astype(np.int32)[np.concatenate(parts)]
+        self.word = place.astype(np.int32)[tokens]
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -77,40 +92,52 @@ class Book:
         at the tokens ``at``."""
         return np.bincount(number[self.train[at]], minlength=n).astype(np.uint64)[:, None]
 
+    def _numbers(self, heard: list[tuple], tag: int, keys: np.ndarray) -> np.ndarray:
+        """Dense numbers of the frequent keys over all buckets, -1 for the others."""
+        own = X.heard_sums([r for r in heard if r[1] == tag + X.NUMBERS], 1, np.uint32)[:, 0].astype(np.int64)
+        return np.where(own > 0, (own - 1) * self.buckets + X.bucket_of(keys, self.buckets), -1)
+
     def hear_words(self, heard: list[tuple]) -> None:
         own = [r for r in heard if r[1] == 1]
-        distinct, self.total, often, often_total = sum(X.unpack(k) for _, _, k, _ in own)
+        about = np.array([X.unpack(k) for _, _, k, _ in own])
+        distinct, self.total, often, often_total = about.sum(axis=0)
         said = _heard_counts(own)
         mine = self.counts(self.word, slice(None), len(self.words))[:, 0]
         self.count = np.where(said > 0, said, mine)
         weight = self.total + ALPHA * (distinct + 1)
         self.root = (self.count + ALPHA) / weight
         rare = 1 - (often_total + ALPHA * often) / weight
-        self.frequent = self.count >= MIN_CONTEXT
-        self.symbol = np.append(np.where(self.frequent, self.words, RARE), RARE)
+        # symbols: the frequent words, numbered densely, and the rare symbol
+        number = self._numbers(heard, 1, self.words)
+        self.n_words = int(about[:, 2].max()) * self.buckets
+        self.frequent = number >= 0
+        self.number = number
+        self.symbol = np.where(self.frequent, number, self.n_words)
         self.symbol_root = np.where(self.frequent, self.root, rare)
         # pairs: after a frequent word of the same document
         first = np.zeros(len(self.word), bool)
         first[self.begin] = True
         self.one = np.flatnonzero(~first[1:] & self.frequent[self.word[:-1]]) + 1
-        self.first = first
-        v = self.word[self.one - 1]
-        key = mix64(self.words[v] * PAIR + self.symbol[self.word[self.one]])
-        self.pairs, at = np.unique(key, return_inverse=True)
+        self.pairs, at, self.pair_shift = _distinct(
+            number[self.word[self.one - 1]], self.symbol[self.word[self.one]], max(self.n_words, 1), self.n_words + 1)
         self.pair = np.full(len(self.word), -1, np.int32)
         self.pair[self.one] = at
 
     def hear_pairs(self, heard: list[tuple]) -> None:
-        said = _heard_counts([r for r in heard if r[1] == 2])
+        own = [r for r in heard if r[1] == 2]
+        said = _heard_counts(own)
         self.n_pair = np.where(said > 0, said, self.counts(self.pair[self.one], self.one, len(self.pairs))[:, 0])
+        number = self._numbers(heard, 2, self.pairs)
+        self.n_pairs = int(max((X.unpack(k)[2] for _, _, k, _ in own), default=0)) * self.buckets
         # two-word contexts: both words frequent, and the pair as well
         back = self.one[1:][self.one[1:] - 1 == self.one[:-1]]
-        self.two = back[self.n_pair[self.pair[back - 1]] >= MIN_CONTEXT]
-        self.ones = np.unique(self.word[self.one - 1])
-        self.twos = np.unique(self.pair[self.two - 1])
-        key = mix64(self.pairs[self.pair[self.two - 1]] * TRIPLE + self.symbol[self.word[self.two]])
-        self.triples, at = np.unique(key, return_inverse=True)
-        self.triple = at.astype(np.int32)
+        self.two = back[number[self.pair[back - 1]] >= 0]
+        self.ones, self.one_context, self.one_shift = _distinct(
+            self.number[self.word[self.one - 1]], np.zeros(len(self.one), np.int64), max(self.n_words, 1), 1)
+        uv = number[self.pair[self.two - 1]]
+        self.twos, self.two_context, self.two_shift = _distinct(uv, np.zeros(len(uv), np.int64), max(self.n_pairs, 1), 1)
+        self.triples, self.triple, self.triple_shift = _distinct(
+            uv, self.symbol[self.word[self.two]], max(self.n_pairs, 1), self.n_words + 1)
         # shared: other groups may have the triple, as they have its last two symbols
         self.n_triple = self.counts(self.triple, self.two, len(self.triples))[:, 0].astype(np.float64)
         self.shared = np.zeros(len(self.triples), bool)
@@ -130,12 +157,10 @@ class Book:
         return out
 
     def _of_one(self):
-        v = self.word[self.one - 1]
-        return self.one, np.searchsorted(self.ones, v), self.n_pair[self.pair[self.one]], self.count[v]
+        return self.one, self.one_context, self.n_pair[self.pair[self.one]], self.count[self.word[self.one - 1]]
 
     def _of_two(self):
-        uv = self.pair[self.two - 1]
-        return self.two, np.searchsorted(self.twos, uv), self.n_triple[self.triple], self.n_pair[uv]
+        return self.two, self.two_context, self.n_triple[self.triple], self.n_pair[self.pair[self.two - 1]]
 
     def first_gains(self) -> np.ndarray:
         return self.gains(*self._of_one())
@@ -177,7 +202,8 @@ def _answer(rows: list[tuple]) -> list[tuple]:
     for tag in sorted({r[1] for r in rows}):
         own = [r for r in rows if r[1] == tag]
         out += (X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5)
-                else X.answer_sums(own, 1, np.uint64, _words_and_tokens if tag == 1 else None, brief=True))
+                else X.answer_sums(own, 1, np.uint64, _words_and_tokens, brief=True, often=MIN_CONTEXT) if tag in (1, 2)
+                else X.answer_sums(own, 1, np.uint64, brief=True))
     return out
 
 
@@ -194,39 +220,39 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text's words and its end under the root alone and under the tree.
 
     A null or empty text is its end only. Rows without an id are held out.
-    Repeated rows are counted and scored each. An empty table gives an empty
+    Repeated rows are counted and scored each; a very long text is tokenised whole. An empty table gives an empty
     table; other columns are not read. With nothing to train on every token is
     an unseen word of probability 1.
     """
     dealt, groups = X.deal(docs, id_col, text_col, group_bytes)
 
     def count_words(gid, group, _):
-        b = Book(group)
+        b = Book(group, groups)
         return X.ask_sums(gid, 1, b.words, b.counts(b.word, slice(None), len(b.words)), groups)
 
     def count_pairs(gid, group, heard):
-        b = Book(group)
+        b = Book(group, groups)
         b.hear_words(heard)
         return X.keep(gid, groups, heard) + X.ask_sums(
-            gid, 2, b.pairs, b.counts(b.pair[b.one], b.one, len(b.pairs)), groups)
+            gid, 2, b.pairs, b.counts(b.pair[b.one], b.one, len(b.pairs)), groups, b.pair_shift)
 
     def test_one(gid, group, heard):
-        b = Book(group)
+        b = Book(group, groups)
         b.hear_words(heard)
         b.hear_pairs(heard)
         n = b.n_triple[b.shared].astype(np.uint64)[:, None]
-        return (X.keep(gid, groups, heard) + X.ask_sums(gid, 3, b.words[b.ones], b.first_gains(), groups)
-                + X.ask_sums(gid, 4, b.triples[b.shared], n, groups))
+        return (X.keep(gid, groups, heard) + X.ask_sums(gid, 3, b.ones, b.first_gains(), groups, b.one_shift)
+                + X.ask_sums(gid, 4, b.triples[b.shared], n, groups, b.triple_shift))
 
     def test_two(gid, group, heard):
-        b = Book(group)
+        b = Book(group, groups)
         b.hear_words(heard)
         b.hear_pairs(heard)
         b.hear_first(heard)
-        return X.keep(gid, groups, heard) + X.ask_sums(gid, 5, b.pairs[b.twos], b.second_gains(), groups)
+        return X.keep(gid, groups, heard) + X.ask_sums(gid, 5, b.twos, b.second_gains(), groups, b.two_shift)
 
     def score(_, group, heard):
-        b = Book(group)
+        b = Book(group, groups)
         b.hear_words(heard)
         b.hear_pairs(heard)
         b.hear_first(heard)
