@@ -6,9 +6,9 @@ key and answers each of them. A key costs at most one entry a group, however
 many documents hold it, so a hot key can't overload its bucket, and answers are
 arrays in the order of the question: keys don't travel back.
 
-The whole conversation is one lazy plan: the dealt documents are shuffled once
-(every round reads the same exchange) and what a group still needs of earlier
-answers passes through the buckets with its questions.
+The whole conversation is one lazy plan: the dealt documents and each round's
+answers are shuffled once, into the same partitions, and every later round reads
+the same exchanges.
 """
 
 from __future__ import annotations
@@ -173,24 +173,16 @@ def heard_sums(rows: list[tuple], width: int, kind=np.float64) -> np.ndarray:
     return np.concatenate([unpack(v, kind).reshape(-1, width) for *_, v in rows]) if rows else np.zeros((0, width))
 
 
-def keep(gid: int, buckets: int, rows: list[tuple]) -> list[tuple]:
-    """Answers that a group wants to see again next round; the tag's sign marks
-    them for the bucket, the src keeps their order."""
-    return [(gid % buckets, src, -tag - 1, k if k else b"", gid.to_bytes(4, "big") + v) for src, tag, k, v in rows]
-
-
-def kept(rows: list[tuple]) -> list[tuple]:
-    """What a bucket does with ``keep`` messages: send them back."""
-    return [(int.from_bytes(v[:4], "big"), src, -tag - 1, k, v[4:]) for src, tag, k, v in rows if tag < 0]
-
-
-def converse(dealt: DataFrame, rounds: list[tuple[Callable, Callable]], finish: Callable, schema: str) -> DataFrame:
+def converse(dealt: DataFrame, groups: int, rounds: list[tuple[Callable, Callable]], finish: Callable, schema: str) -> DataFrame:
     """``rounds``: (ask, answer) pairs. ask(gid, group, answers) and
     answer(bucket, rows) return message tuples; finish(gid, group, answers)
-    returns an Arrow table of ``schema``."""
-    heard = None
+    returns an Arrow table of ``schema``. ``answers`` are those of all rounds so
+    far: each round's exchange is written once and read by all later ones."""
+    dealt, heard = dealt.repartition(groups, "gid"), None
     for ask, answer in rounds:
-        heard = _by_group(dealt, heard, _asking(ask), MESSAGE).groupBy("dest").applyInArrow(_answering(answer), MESSAGE)
+        said = (_by_group(dealt, heard, _asking(ask), MESSAGE).groupBy("dest").applyInArrow(_answering(answer), MESSAGE)
+                .repartition(groups, "dest"))
+        heard = said if heard is None else heard.union(said)
     return _by_group(dealt, heard, finish, schema)
 
 
@@ -207,9 +199,7 @@ def _asking(ask: Callable) -> Callable:
 
 def _answering(answer: Callable) -> Callable:
     def respond(key, t):
-        bucket, rows = key[0].as_py(), rows_of(t)
-        asked = [r for r in rows if r[1] >= 0]
-        said = [(dest, bucket, tag, k, v) for dest, _, tag, k, v in answer(bucket, asked)] if asked else []
-        return messages(said + kept(rows))
+        bucket = key[0].as_py()
+        return messages([(dest, bucket, tag, k, v) for dest, _, tag, k, v in answer(bucket, rows_of(t))])
 
     return respond

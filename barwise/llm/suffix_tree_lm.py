@@ -233,7 +233,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def count_pairs(gid, group, heard):
         b = Book(group, groups)
         b.hear_words(heard)
-        return X.keep(gid, groups, heard) + X.ask_sums(
+        return X.ask_sums(
             gid, 2, b.pairs, b.counts(b.pair[b.one], b.one, len(b.pairs)), groups, b.pair_shift)
 
     def test_one(gid, group, heard):
@@ -241,7 +241,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b.hear_words(heard)
         b.hear_pairs(heard)
         n = b.n_triple[b.shared].astype(np.uint64)[:, None]
-        return (X.keep(gid, groups, heard) + X.ask_sums(gid, 3, b.ones, b.first_gains(), groups, b.one_shift)
+        return (X.ask_sums(gid, 3, b.ones, b.first_gains(), groups, b.one_shift)
                 + X.ask_sums(gid, 4, b.triples[b.shared], n, groups, b.triple_shift))
 
     def test_two(gid, group, heard):
@@ -249,7 +249,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b.hear_words(heard)
         b.hear_pairs(heard)
         b.hear_first(heard)
-        return X.keep(gid, groups, heard) + X.ask_sums(gid, 5, b.twos, b.second_gains(), groups, b.two_shift)
+        return X.ask_sums(gid, 5, b.twos, b.second_gains(), groups, b.two_shift)
 
     def score(_, group, heard):
         b = Book(group, groups)
@@ -265,7 +265,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             "base_score": pa.array(base), "score": pa.array(tree)})
 
     rounds = [(ask, lambda _, rows: _answer(rows)) for ask in (count_words, count_pairs, test_one, test_two)]
-    return X.converse(dealt, rounds, score,
+    return X.converse(dealt, groups, rounds, score,
                       "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                       "base_score double, score double")
 
