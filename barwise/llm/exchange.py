@@ -28,7 +28,8 @@ _KIND = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("tag", pa.int32()
 #: a null id sorts behind every id
 NO_ID = np.iinfo(np.int64).max
 #: kinds that are packed byte plane by byte plane: the high bytes are alike
-PLANES = (np.dtype(np.uint64), np.dtype(np.uint32), np.dtype(np.float32))
+PLANES = (np.dtype(np.float32),)
+COUNTS = (np.dtype(np.uint64), np.dtype(np.uint32))
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int]:
@@ -65,6 +66,10 @@ def rows_of(table: pa.Table, *tags: int) -> list[tuple]:
 
 
 def pack(a: np.ndarray) -> bytes:
+    if a.dtype in COUNTS:  # only the low bytes that any value has
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        low = np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize)[:, :width].T)
+        return bytes([width]) + zlib.compress(low.tobytes(), 1)
     raw = a.tobytes()
     if a.dtype in PLANES:
         raw = np.frombuffer(raw, np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
@@ -72,12 +77,27 @@ def pack(a: np.ndarray) -> bytes:
 
 
 def unpack(b: bytes, kind=np.float64) -> np.ndarray:
-    raw, kind = zlib.decompress(b), np.dtype(kind)
+    kind = np.dtype(kind)
+    if kind in COUNTS:
+        low = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+        full = np.zeros((low.shape[1], kind.itemsize), np.uint8)
+        full[:, :b[0]] = low.T
+        return full.view(kind).ravel()
+    raw = zlib.decompress(b)
     if kind in PLANES:
         raw = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T.tobytes()
     return np.frombuffer(raw, kind)
 
 
+def zigzag(a: np.ndarray) -> np.ndarray:
+    """Signed whole numbers as uint64, small ones by few bytes."""
+    return ((a << 1) ^ (a >> 63)).view(np.uint64)
+
+
+def unzigzag(a: np.ndarray) -> np.ndarray:
+    return (a >> np.uint64(1)).view(np.int64) ^ -(a & np.uint64(1)).view(np.int64)
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted uint64 as the low bytes of their differences; the highest of these
     bytes are mostly zero and are compressed."""
@@ -137,21 +157,25 @@ def ask_sums(gid: int, tag: int, keys: np.ndarray, vals: np.ndarray, buckets: in
     return out
 
 
+#: kind of signed whole numbers, sent as ``zigzag``
+SIGNED = "signed"
 #: added to the tag of an answer that numbers the frequent keys
 NUMBERS = 100
 
 
 def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable | None = None,
-                brief: bool = False, often: int | None = None) -> list[tuple]:
+                brief: bool = False, often: int | None = None, pick: Callable | None = None) -> list[tuple]:
     """Answers to ``ask_sums`` of one tag: the sums in the order asked, and in
     ``keys`` what ``said`` makes of the bucket's sums. If ``brief``, a key of one
     group alone is answered by zeros: the group knows its sums. With ``often`` a
     second answer (tag + ``NUMBERS``) numbers the bucket's keys with a sum of at
-    least that from 1; 0 for the others."""
-    asked = [unpack(v, kind).reshape(-1, width) for *_, v in rows]
+    least that from 1; 0 for the others. ``pick`` makes the answer of the sums."""
+    asked = [unpack(v, np.uint64 if kind is SIGNED else kind).reshape(-1, width) for *_, v in rows]
     keys = [_unpack_keys(k, len(v)) for (_, _, k, _), v in zip(rows, asked)]
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
     vals = np.concatenate(asked)
+    if kind is SIGNED:
+        vals = unzigzag(vals.ravel()).reshape(-1, width)
     sums = np.stack([np.bincount(at, vals[:, c], len(uniq)) for c in range(width)], axis=1) if len(uniq) else np.zeros((0, width))
     about = said(sums[:, 0]) if said else b""
     frequent = sums[:, 0] >= often if often else None
@@ -160,7 +184,8 @@ def answer_sums(rows: list[tuple], width: int, kind=np.float64, said: Callable |
         sums[np.bincount(at, minlength=len(uniq)) == 1] = 0
     out, n = [], 0
     for (src, tag, _, _), k in zip(rows, keys):
-        out.append((src, -1, tag, about, pack(sums[at[n:n + len(k)]].astype(kind))))
+        own = sums[at[n:n + len(k)]]
+        out.append((src, -1, tag, about, pack(pick(own) if pick else own.astype(kind))))
         if often:
             out.append((src, -1, tag + NUMBERS, b"", pack(number[at[n:n + len(k)]])))
         n += len(k)

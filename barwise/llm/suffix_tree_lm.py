@@ -37,6 +37,8 @@ ALPHA = 0.1
 MIN_CONTEXT = 8
 MIN_GAIN = 0.02
 WEIGHTS = (1.0, 30.0)
+#: gains are summed in whole parts of a nat: sums don't depend on their order
+GAIN_UNIT = 1 << 16
 FOLDS = 10
 #: bytes of text of a group: about 1.5 million words
 GROUP_BYTES = 10 << 20
@@ -54,7 +56,10 @@ def tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     real = pc.greater(pc.binary_length(flat), 0)
     of_text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
     coded = flat.filter(real).dictionary_encode()
-    hashes = [xxhash.xxh64_intdigest(w, 5) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    words = coded.dictionary.cast(pa.large_binary())
+    ends, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1].tolist(), words.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    hashes = [xxhash.xxh64_intdigest(data[i:j], 5) for i, j in zip(ends, ends[1:])]
     sizes = np.bincount(of_text, minlength=len(texts)) + 1
     tokens = np.full(int(sizes.sum()), len(hashes), np.int32)
     inner = np.ones(len(tokens), bool)
@@ -73,6 +78,18 @@ def _distinct(high: np.ndarray, low: np.ndarray, n_high: int, n_low: int) -> tup
     return keys[order], rank[place], shift
 
 
+def _contexts(at: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted keys of the numbered things found in ``at``, place of each, shift)."""
+    found = np.zeros(len(number), bool)
+    found[at] = True
+    found = np.flatnonzero(found)
+    keys, shift = X.spread(number[found], np.zeros(len(found), np.int64), max(n, 1), 1)
+    order = np.argsort(keys)
+    place = np.zeros(len(number), np.int32)
+    place[found[order]] = np.arange(len(order), dtype=np.int32)
+    return keys[order], place[at], shift
+
+
 class Book:
     """Tokens of a group of documents and what the conversation said of them."""
 
@@ -132,10 +149,9 @@ class Book:
         # two-word contexts: both words frequent, and the pair as well
         back = self.one[1:][self.one[1:] - 1 == self.one[:-1]]
         self.two = back[number[self.pair[back - 1]] >= 0]
-        self.ones, self.one_context, self.one_shift = _distinct(
-            self.number[self.word[self.one - 1]], np.zeros(len(self.one), np.int64), max(self.n_words, 1), 1)
+        self.ones, self.one_context, self.one_shift = _contexts(self.word[self.one - 1], self.number, self.n_words)
+        self.twos, self.two_context, self.two_shift = _contexts(self.pair[self.two - 1], number, self.n_pairs)
         uv = number[self.pair[self.two - 1]]
-        self.twos, self.two_context, self.two_shift = _distinct(uv, np.zeros(len(uv), np.int64), max(self.n_pairs, 1), 1)
         self.triples, self.triple, self.triple_shift = _distinct(
             uv, self.symbol[self.word[self.two]], max(self.n_pairs, 1), self.n_words + 1)
         # shared: other groups may have the triple, as they have its last two symbols
@@ -146,15 +162,15 @@ class Book:
 
     def gains(self, at: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Leave-one-out gains (a column a weight) over the suffix's probability
-        at the training tokens of ``at``, summed by context number; ``n``: counts
-        of context and symbol, ``of``: of the context."""
-        out = np.zeros((int(context.max(initial=-1)) + 1, len(WEIGHTS)), np.float32)
+        at the training tokens of ``at``, less ``MIN_GAIN`` a token, summed by
+        context number; ``n``: counts of context and symbol, ``of``: of the context."""
+        out = np.zeros((int(context.max(initial=-1)) + 1, len(WEIGHTS)))
         ok = self.train[at]
         below = self.prob[at[ok]]
         for c, w in enumerate(WEIGHTS):
             gain = np.log((n[ok] - 1 + w * below) / ((of[ok] - 1 + w) * below))
-            out[:, c] = np.bincount(context[ok], gain, len(out))
-        return out
+            out[:, c] = np.bincount(context[ok], gain - MIN_GAIN, len(out))
+        return X.zigzag(np.rint(out.ravel() * GAIN_UNIT).astype(np.int64)).reshape(out.shape)
 
     def _of_one(self):
         return self.one, self.one_context, self.n_pair[self.pair[self.one]], self.count[self.word[self.one - 1]]
@@ -180,10 +196,10 @@ class Book:
         """Where the context is a node, its distribution replaces its suffix's."""
         if not len(at):
             return
-        gain = X.heard_sums(heard, len(WEIGHTS), np.float32)
-        weight = np.array(WEIGHTS)[gain.argmax(axis=1)][context]
-        node = gain.max(axis=1)[context] > MIN_GAIN * of
-        self.prob[at] = np.where(node, (n + weight * self.prob[at]) / (of + weight), self.prob[at])
+        chosen = X.heard_sums(heard, 1, np.uint8)[:, 0][context]
+        node = np.flatnonzero(chosen)
+        weight = np.array(WEIGHTS)[chosen[node] - 1]
+        self.prob[at[node]] = (n[node] + weight * self.prob[at[node]]) / (of[node] + weight)
 
     def scores(self) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of the documents by the root and by the tree."""
@@ -201,12 +217,18 @@ def _answer(rows: list[tuple]) -> list[tuple]:
     out = []
     for tag in sorted({r[1] for r in rows}):
         own = [r for r in rows if r[1] == tag]
-        out += (X.answer_sums(own, len(WEIGHTS), np.float32) if tag in (3, 5)
+        out += (X.answer_sums(own, len(WEIGHTS), X.SIGNED, pick=_chosen) if tag in (3, 5)
                 else X.answer_sums(own, 1, np.uint64, _words_and_tokens, brief=True, often=MIN_CONTEXT) if tag in (1, 2)
                 else X.answer_sums(own, 1, np.uint64, brief=True))
     return out
 
 
+def _chosen(gains: np.ndarray) -> np.ndarray:
+    """A byte a context: the weight's place from 1 where the best one passes the
+    test, else 0."""
+    return np.where(gains.max(axis=1) > 0, gains.argmax(axis=1) + 1, 0).astype(np.uint8)
+
+
 def _words_and_tokens(counts: np.ndarray) -> bytes:
     """Distinct training words and their tokens, of all and of the frequent."""
     often = counts[counts >= MIN_CONTEXT]
