@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from barwise.llm import pipeline
 from barwise.llm.bpe import op8_bpe
 from barwise.llm.decontaminate import op9_decontaminate
 from barwise.llm.hard_negatives import OP12_SQL, op12_hard_negatives
@@ -31,5 +31,5 @@ QUERIES = {
     "op11_pii": (op11_pii, None),
     "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_whitening": (op13_whitening, None),
-    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "pipeline": (pipeline.run, pipeline.ORACLE_SQL),
 }
