@@ -1,6 +1,6 @@
 import math
 
-import corpus_pipeline as P
+from barwise.llm import pipeline as P
 from barwise.llm.quality import quality_scores
 from conftest import SF_SMALL
 from llm_helpers import docs_of
