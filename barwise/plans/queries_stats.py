@@ -8,7 +8,7 @@ from barwise.functions import windows as Wn
 from barwise.functions.exprs import quantize
 from barwise.functions.ordering import rank_by
 from barwise.operators import stats as St
-from barwise.operators.correlation import correlation_pairs
+from barwise.operators.correlation import correlation_pairs, extreme_correlations
 from barwise.plans import sql_features as S
 from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
@@ -104,18 +104,39 @@ def q_correlation(spark, sf):
     return _corr(spark, sf)
 
 
-@register("supplier_correlation", with_ctes(X.SUPPLIER_BARS_SQL + [f"""
+SUPPLIER_CORR = X.SUPPLIER_BARS_SQL + [f"""
 sr AS (SELECT Ticker, Date, Close / nullif(lag(Close, 1) OVER ({W}), 0) - 1 AS r FROM sbars)""",
     f"""scp AS (SELECT a.Ticker AS ticker_a, b.Ticker AS ticker_b, count(*) AS n_common,
   CASE WHEN count(*) >= 2 AND var_pop(a.r) > 0 AND var_pop(b.r) > 0
        THEN {q_sql('corr(a.r, b.r)')} END AS corr
   FROM sr a JOIN sr b ON a.Date = b.Date
-  WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.Ticker, b.Ticker)"""], "SELECT * FROM scp"))
+  WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.Ticker, b.Ticker)"""]
+
+
+@register("supplier_correlation", with_ctes(SUPPLIER_CORR, "SELECT * FROM scp"))
 def q_supplier_correlation(spark, sf):
     b = Wn.pct_change(X.supplier_bars(spark, sf), "Close", 1, "r")
     return correlation_pairs(b, "r").withColumn("corr", quantize("corr"))
 
 
+#: correlations that the grid of ``quantize`` takes for equal are ties
+GRID = 2.0 ** -20
+
+EXTREMES_SQL = """
+(SELECT 'strongest' AS kind, ticker_a, ticker_b, corr FROM {cp}
+ WHERE ticker_a {op} ticker_b AND corr IS NOT NULL ORDER BY corr DESC, ticker_a, ticker_b LIMIT 1)
+UNION ALL
+(SELECT 'weakest' AS kind, ticker_a, ticker_b, corr FROM {cp}
+ WHERE ticker_a {op} ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""
+
+
+@register("supplier_extreme_pairs", with_ctes(SUPPLIER_CORR, EXTREMES_SQL.format(cp="scp", op="<")))
+def q_supplier_extreme_pairs(spark, sf):
+    """The two extreme pairs of all suppliers; no table of pairs is made."""
+    b = Wn.pct_change(X.supplier_bars(spark, sf), "Close", 1, "r")
+    return extreme_correlations(b, "r", grid=GRID)
+
+
 @register("extreme_pairs", with_ctes(PANEL_CTES + CORR_CTE, """
 (SELECT 'strongest' AS kind, ticker_a, ticker_b, corr FROM cp
  WHERE ticker_a < ticker_b AND corr IS NOT NULL ORDER BY corr DESC, ticker_a, ticker_b LIMIT 1)
@@ -123,7 +144,7 @@ UNION ALL
 (SELECT 'weakest' AS kind, ticker_a, ticker_b, corr FROM cp
  WHERE ticker_a < ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""))
 def q_extreme_pairs(spark, sf):
-    return St.extreme_pairs(_corr(spark, sf, mirror=False))
+    return extreme_correlations(panel(spark, sf), grid=GRID)
 
 
 @register("yearly_stats", with_ctes(PANEL_CTES, f"""
@@ -311,4 +332,4 @@ UNION ALL
  WHERE ticker_a <= ticker_b AND corr IS NOT NULL ORDER BY corr ASC, ticker_a, ticker_b LIMIT 1)"""))
 def q_extreme_pairs_incl_self(spark, sf):
     """Q5: with the diagonal, the strongest pair is a key with itself."""
-    return St.extreme_pairs(_corr(spark, sf, mirror=False), exclude_self=False)
+    return extreme_correlations(panel(spark, sf), exclude_self=False, grid=GRID)

@@ -9,6 +9,7 @@ from barwise.operators import stats as St
 from barwise.operators import unsupervised as U
 from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
+from barwise.sources import fixtures as X
 
 
 def _design(spark, sf):
@@ -22,6 +23,23 @@ def q_kmeans(spark, sf):
     return out.select("Ticker", "Date", "regime", F.lit(sil).alias("silhouette"))
 
 
+@register("silhouette_regions", with_ctes(PANEL_CTES + ["""
+sl AS (SELECT Ticker, row_number() OVER (ORDER BY Ticker, Date) AS id, Daily_Return * 10 AS x, HL_Range AS y, Price_Position_20d AS z FROM df_clean)""", """
+sd AS (SELECT a.id, a.Ticker AS t, b.Ticker AS u, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS s
+  FROM sl a, sl b GROUP BY a.id, a.Ticker, b.Ticker)""", """
+sn AS (SELECT Ticker AS u, count(*) AS n FROM sl GROUP BY Ticker)""", """
+sw AS (SELECT id, max(CASE WHEN t = u THEN s / (n - 1) END) AS a, min(CASE WHEN t <> u THEN s / n END) AS b
+  FROM sd JOIN sn USING (u) GROUP BY id)"""], f"""
+SELECT {q_sql('avg((b - a) / greatest(a, b))', 16)} AS silhouette FROM sw"""))
+def q_silhouette_regions(spark, sf):
+    """E6 on given labels: how well three features tell the regions apart."""
+    from pyspark.ml.feature import VectorAssembler
+    x = panel(spark, sf).select((F.col("Daily_Return") * 10).alias("x"), F.col("HL_Range").alias("y"), F.col("Price_Position_20d").alias("z"), "Ticker")
+    names = F.array(*[F.lit(t) for t in sorted(t for _, t in X.UNIVERSE)])
+    d = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(x.withColumn("c", F.array_position(names, F.col("Ticker"))))
+    return spark.createDataFrame([(U.silhouette(d, "c"),)], "silhouette double").select(quantize("silhouette", 16).alias("silhouette"))
+
+
 @register("regime_counts")
 def q_regime_counts(spark, sf):
     _, out = U.fit_regimes(_design(spark, sf))
