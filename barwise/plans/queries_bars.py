@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from barwise.functions.exprs import quantize
 from barwise.operators import bars as B
+from barwise.operators import sketches as Sk
 from barwise.operators.stats import profile
 from barwise.plans.registry import q_sql, register, with_ctes
+from barwise.sources import files as Fi
 from barwise.sources import fixtures as X
 
 BAR_COLS = "Ticker, Date, Open, High, Low, Close, adj_close, Volume"
@@ -121,3 +123,33 @@ _PROFILE_COLS = ["Open", "High", "Low", "Close", "adj_close", "Volume"]
 def q_profile(spark, sf):
     out = profile(X.dirty_bars(spark, sf), _PROFILE_COLS)
     return out.withColumn("mean", quantize("mean"))
+
+
+# ------------------------------------------------ C2, S5, S7 beside the plain forms
+#: offsets written behind the stamps, by key (fixed values)
+ZONES = {"AFRICA": "+02:00", "AMERICA": "-05:00", "ASIA": "Z", "EUROPE": "+00:00", "MIDDLE EAST": " +03:30"}
+
+
+@register("zoned_dates", with_ctes(X.REGION_BARS_SQL, "SELECT Ticker, strftime(Date, '%Y-%m-%d') || ' 23:30:00' || CASE Ticker "
+    + " ".join(f"WHEN '{k}' THEN '{z}'" for k, z in ZONES.items()) + " END AS stamp, Date FROM bars"))
+def q_zoned_dates(spark, sf):
+    """Stamps late in the day with zones keep the date on their wall clock."""
+    zone = F.element_at(F.create_map(*[F.lit(x) for kz in ZONES.items() for x in kz]), F.col("Ticker"))
+    bars = X.region_bars(spark, sf).select("Ticker", F.concat(F.date_format("Date", "yyyy-MM-dd"), F.lit(" 23:30:00"), zone).alias("stamp"))
+    return bars.withColumn("Date", Fi.to_bar_date("stamp"))
+
+
+@register("profile_merged", with_ctes(X.DIRTY_BARS_SQL, " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS nulls, min({c}) AS min, max({c}) AS max,
+       {q_sql(f'avg({c})')} AS mean, true AS distinct_within_2pct, true AS one_pass_within_1pct FROM dirty""" for c in _PROFILE_COLS)))
+def q_profile_merged(spark, sf):
+    """One sketch a year, merged: against the exact profile and against a sketch
+    of all rows at once."""
+    d = X.dirty_bars(spark, sf)
+    years = Sk.sketch_drops(d.withColumn("y", F.year("Date")), _PROFILE_COLS, "y")
+    merged, once = Sk.profile_of(Sk.merge_sketches(years)), Sk.profile_of(Sk.sketch_drops(d, _PROFILE_COLS))
+    exact = profile(d, _PROFILE_COLS).select("column", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.02
+    return (merged.join(exact, "column").join(once.select("column", F.col("n_distinct").alias("once")), "column")
+            .select("column", "n", "nulls", "min", "max", quantize("mean").alias("mean"), near.alias("distinct_within_2pct"),
+                    (F.abs(F.col("n_distinct") - F.col("once")) <= F.col("once") * 0.01).alias("one_pass_within_1pct")))

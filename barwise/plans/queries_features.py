@@ -10,6 +10,7 @@ from barwise.operators.bars import drop_incomplete
 from barwise.plans import sql_features as S
 from barwise.plans.registry import q_sql, register, with_ctes
 from barwise.schema import FEATURE_COLS
+from barwise.sources import files as Fi
 from barwise.sources import fixtures as X
 
 K = "Ticker, Date"
@@ -168,6 +169,20 @@ def q_features(spark, sf):
     return _q_all(panel(spark, sf), QUANT_FEATURES)
 
 
+def bucketed_panel(spark, sf, buckets: int = 16):
+    """Supplier bars as a bucketed table in the shared checkpoint folder."""
+    path = Fi.scratch_path(spark, "bars_by_key")
+    name = "bars_by_key_" + path.rsplit("-", 1)[1]
+    return Fi.write_bucketed(X.supplier_bars(spark, sf), name, path, buckets)
+
+
+@register("bucketed_features", with_ctes(X.SUPPLIER_BARS_SQL + S.features_ctes("sbars") + S.clean_ctes("feat"), "SELECT " + ", ".join(
+    S.BASE + [q_sql(c) + f" AS {c}" if c in QUANT_FEATURES else c for c in FEATURE_COLS]) + " FROM df_clean"))
+def q_bucketed_features(spark, sf):
+    """The panel from a table bucketed by key: no exchange below the windows."""
+    return _q_all(drop_incomplete(Wn.features(bucketed_panel(spark, sf))), QUANT_FEATURES)
+
+
 _IND = ["SMA_50", "SMA_200", "Volatility_30d", "Cumulative_Return"]
 
 

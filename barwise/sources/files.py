@@ -32,6 +32,24 @@ def _date(c, fmt: str | None):
     return F.try_to_timestamp(F.col(c).cast("string"), F.lit(fmt)).cast("date") if fmt else F.col(c).try_cast("date")
 
 
+def to_bar_date(c) -> F.Column:
+    """The calendar date of a bar's stamp, as its wall clock shows it: a zone or
+    offset behind a text ('2024-03-01 23:30:00-05:00', '...T23:30Z') is dropped,
+    not applied. Dates and stamps without a zone pass; texts that hold no date are
+    NULL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_extract(c.cast("string"), r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:$|[\sT])", 1).try_cast("date")
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key="Ticker", date="Date") -> DataFrame:
+    """The panel as a table bucketed by key and sorted by date, one file a
+    bucket, and read back: windows and joins by key over it need no exchange.
+    ``path`` is a folder that the cluster shares."""
+    (df.repartition(buckets, key).sortWithinPartitions(key, date).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, key).sortBy(key, date).format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def _with_bad_cells(df: DataFrame, casts: dict) -> DataFrame:
     bad = [(new.isNull() & F.col(c).isNotNull() & ~F.lower(F.trim(c)).isin(MISSING)).cast("int") for c, new in casts.items()]
     return df.withColumns({**casts, "_bad_cells": sum(bad, F.lit(0))})
