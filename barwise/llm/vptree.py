@@ -23,6 +23,8 @@ from barwise.llm.common import table
 LEAF = 64
 OUT = "query_id long, vec_id long, score double"
 SLACK = 1e-12
+#: relative error that a distance by products may have
+ROUNDING = 1e-9
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -56,14 +58,36 @@ class Tree:
             self.radius[lo, hi] = float(d[by[mid]])
             stack += [(lo + 1, lo + 1 + mid), (lo + 1 + mid, hi)]
         self.x, self.ids = x[order], ids[order]
+        with np.errstate(over="ignore"):
+            self.x2 = (self.x * self.x).sum(axis=1)
 
     def nearest(self, q: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """(distances, ids), k of each query in order; inf and -1 where fewer."""
         best = np.full((len(q), k), np.inf)
         ids = np.full((len(q), k), -1, np.int64)
 
-        def offer(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
-            d = distances(q[rows], self.x[lo:hi])
+        with np.errstate(over="ignore"):
+            q2 = (q * q).sum(axis=1)
+
+        def screened(rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows with a candidate that may be among their best, and distances:
+            exact for such candidates, inf for those that a product shows farther."""
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = q2[rows, None] + self.x2[None, lo:hi]
+                near = size - 2 * (q[rows] @ self.x[lo:hi].T)
+                far = near > best[rows, k - 1, None] ** 2 * (1 + ROUNDING) + ROUNDING * size
+            some = ~far.all(axis=1)
+            rows, far = rows[some], far[some]
+            d = np.full(far.shape, np.inf)
+            r, c = np.nonzero(~far)
+            acc = np.zeros(len(r))
+            for j in range(q.shape[1]):
+                t = q[rows[r], j] - self.x[lo + c, j]
+                acc += t * t
+            d[r, c] = np.sqrt(acc)
+            return rows, d
+
+        def offer(rows: np.ndarray, d: np.ndarray, lo: int, hi: int) -> np.ndarray:
             cand = np.broadcast_to(self.ids[lo:hi], d.shape)
             all_d = np.concatenate([best[rows], np.where(cand == own[rows, None], np.inf, d)], axis=1)
             all_i = np.concatenate([ids[rows], cand], axis=1)
@@ -76,9 +100,10 @@ class Tree:
             if not len(rows) or lo >= hi:
                 return
             if (lo, hi) not in self.radius:
-                offer(rows, lo, hi)
+                rows, d = screened(rows, lo, hi)
+                offer(rows, d, lo, hi)
                 return
-            d = offer(rows, lo, lo + 1)[:, 0]
+            d = offer(rows, distances(q[rows], self.x[lo:lo + 1]), lo, lo + 1)[:, 0]
             mid, mu = lo + 1 + (hi - lo - 1) // 2, self.radius[lo, hi]
             inner = d < mu
             go(lo + 1, mid, rows[inner])
