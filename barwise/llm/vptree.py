@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a vantage-point tree per shard.
 
 Vectors are dealt to shards by id. A task builds the tree of its shard once and
-takes the stated queries down it block by block as they stream past. A subtree is
-skipped when the triangle inequality puts it farther than ``factor`` times the
-distance of the k-th neighbour found so far; factor one is exact, a smaller one
-skips more. The k best of each shard meet in a final ranking.
+takes the stated queries through it block by block as they stream past. A leaf is
+skipped when the triangle inequality at a vantage point above it puts it farther
+than ``factor`` times the distance of the k-th neighbour found so far; factor one
+is exact, a smaller one skips more. The k best of each shard meet in a final ranking.
 """
 
 from __future__ import annotations
@@ -38,14 +38,20 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 class Tree:
     """Nodes are index ranges of a permutation of the vectors: the first is the
-    vantage point, the nearer half of the rest is the inner child."""
+    vantage point, the nearer half of the rest is the inner child. Ranges of at
+    most ``LEAF`` vectors are leaves."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
-        order, self.radius = np.arange(len(x)), {}
-        stack = [(0, len(x))]
+        order = np.arange(len(x))
+        #: (vantage point, radius, parent, in its inner half) of each inner node
+        self.nodes: list[tuple[int, float, int, bool]] = []
+        #: (start, end, parent, in its inner half) of each leaf
+        self.leaves: list[tuple[int, int, int, bool]] = []
+        stack = [(0, len(x), -1, True)]
         while stack:
-            lo, hi = stack.pop()
+            lo, hi, parent, inner = stack.pop()
             if hi - lo <= LEAF:
+                self.leaves.append((lo, hi, parent, inner))
                 continue
             own = order[lo:hi]
             # the point farthest from the range's first point sees the rest under spread-out distances
@@ -55,64 +61,76 @@ class Tree:
             by = np.argsort(d, kind="stable")
             own[1:] = own[1:][by]
             mid = (hi - lo - 1) // 2
-            self.radius[lo, hi] = float(d[by[mid]])
-            stack += [(lo + 1, lo + 1 + mid), (lo + 1 + mid, hi)]
+            n = len(self.nodes)
+            self.nodes.append((lo, float(d[by[mid]]), parent, inner))
+            stack += [(lo + 1, lo + 1 + mid, n, True), (lo + 1 + mid, hi, n, False)]
         self.x, self.ids = x[order], ids[order]
         with np.errstate(over="ignore"):
             self.x2 = (self.x * self.x).sum(axis=1)
 
+    def bounds(self, d: np.ndarray) -> np.ndarray:
+        """Least distance (leaves x queries) that the triangle inequality leaves a
+        query to the vectors of a leaf, from its distances to the vantage points."""
+        low = np.zeros((len(self.nodes) + 1, d.shape[0]))  # the last row: no parent
+
+        def of(parent: int, inner: bool) -> np.ndarray:
+            if parent < 0:
+                return low[-1]
+            gap = d[:, parent] - self.nodes[parent][1]
+            return np.maximum(low[parent], gap if inner else -gap)
+
+        for n, (_, _, parent, inner) in enumerate(self.nodes):  # a parent comes before its children
+            low[n] = of(parent, inner)
+        return np.array([of(parent, inner) for _, _, parent, inner in self.leaves])
+
     def nearest(self, q: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids), k of each query in order; inf and -1 where fewer."""
+        """(distances, ids), k of each query in order; inf and -1 where fewer. Every
+        query takes its nearest leaf first, then all queries take each leaf that
+        their bounds don't rule out."""
         best = np.full((len(q), k), np.inf)
         ids = np.full((len(q), k), -1, np.int64)
-
         with np.errstate(over="ignore"):
             q2 = (q * q).sum(axis=1)
 
-        def screened(rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-            """Rows with a candidate that may be among their best, and distances:
-            exact for such candidates, inf for those that a product shows farther."""
+        def offer(rows: np.ndarray, d: np.ndarray, cand: np.ndarray) -> None:
+            cand = np.broadcast_to(cand, d.shape)
+            all_d = np.concatenate([best[rows], np.where(cand == own[rows, None], np.inf, d)], axis=1)
+            all_i = np.concatenate([ids[rows], cand], axis=1)
+            all_i = np.where(np.isinf(all_d), -1, all_i)
+            take = np.lexsort((all_i, all_d), axis=-1)[:, :k]
+            best[rows], ids[rows] = np.take_along_axis(all_d, take, 1), np.take_along_axis(all_i, take, 1)
+
+        def visit(rows: np.ndarray, lo: int, hi: int) -> None:
+            """Exact distances of the candidates that a product doesn't show to be
+            farther than the best so far."""
             with np.errstate(over="ignore", invalid="ignore"):
                 size = q2[rows, None] + self.x2[None, lo:hi]
                 near = size - 2 * (q[rows] @ self.x[lo:hi].T)
                 far = near > best[rows, k - 1, None] ** 2 * (1 + ROUNDING) + ROUNDING * size
             some = ~far.all(axis=1)
             rows, far = rows[some], far[some]
-            d = np.full(far.shape, np.inf)
+            if not len(rows):
+                return
             r, c = np.nonzero(~far)
             acc = np.zeros(len(r))
             for j in range(q.shape[1]):
                 t = q[rows[r], j] - self.x[lo + c, j]
                 acc += t * t
+            d = np.full(far.shape, np.inf)
             d[r, c] = np.sqrt(acc)
-            return rows, d
-
-        def offer(rows: np.ndarray, d: np.ndarray, lo: int, hi: int) -> np.ndarray:
-            cand = np.broadcast_to(self.ids[lo:hi], d.shape)
-            all_d = np.concatenate([best[rows], np.where(cand == own[rows, None], np.inf, d)], axis=1)
-            all_i = np.concatenate([ids[rows], cand], axis=1)
-            all_i = np.where(np.isinf(all_d), -1, all_i)
-            take = np.lexsort((all_i, all_d), axis=-1)[:, :k]
-            best[rows], ids[rows] = np.take_along_axis(all_d, take, 1), np.take_along_axis(all_i, take, 1)
-            return d
-
-        def go(lo: int, hi: int, rows: np.ndarray) -> None:
-            if not len(rows) or lo >= hi:
-                return
-            if (lo, hi) not in self.radius:
-                rows, d = screened(rows, lo, hi)
-                offer(rows, d, lo, hi)
-                return
-            d = offer(rows, distances(q[rows], self.x[lo:lo + 1]), lo, lo + 1)[:, 0]
-            mid, mu = lo + 1 + (hi - lo - 1) // 2, self.radius[lo, hi]
-            inner = d < mu
-            go(lo + 1, mid, rows[inner])
-            go(mid, hi, rows[~inner])
-            reach = best[rows, k - 1] * factor * (1 + SLACK) + SLACK
-            go(mid, hi, rows[inner & (mu - d <= reach)])
-            go(lo + 1, mid, rows[~inner & (d - mu <= reach)])
-
-        go(0, len(self.x), np.arange(len(q)))
+            offer(rows, d, self.ids[lo:hi])
+
+        vantage = np.array([n[0] for n in self.nodes], np.int64)
+        d = distances(q, self.x[vantage])
+        low = self.bounds(d)
+        if len(vantage):
+            offer(np.arange(len(q)), d, self.ids[vantage])
+        home = low.argmin(axis=0)
+        for n, (lo, hi, _, _) in enumerate(self.leaves):
+            visit(np.flatnonzero(home == n), lo, hi)
+        for n, (lo, hi, _, _) in enumerate(self.leaves):
+            reach = best[:, k - 1] * factor * (1 + SLACK) + SLACK
+            visit(np.flatnonzero((home != n) & (low[n] <= reach)), lo, hi)
         return best, ids
 
 
