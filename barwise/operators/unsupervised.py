@@ -13,7 +13,8 @@ forest (M8), which MLlib lacks, is a Spark job:
    grow with the data) is broadcast and every partition is scored in
    ``mapInPandas`` with vectorised numpy traversal; s = 2^(-E[h] / c(psi))
    (Liu, Ting and Zhou, 2008);
-4. flag: score above the (1 - contamination) quantile (``percentile_approx``).
+4. flag: the rows that rank among the highest n * contamination scores, by a
+   distributed rank (exact at every size, ties by key and date).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwise.functions.ordering import global_index
 from barwise.operators.lsq import materialize_small
 from barwise.operators.splits import zscore
 from barwise.schema import UNSUPERVISED_FEATURES
@@ -215,8 +217,8 @@ def isolation_scores(d: DataFrame, features=tuple(UNSUPERVISED_FEATURES), trees:
     # read by the quantile and by the result: score once
     scored = materialize_small(d.select("Ticker", "Date", *cols).mapInPandas(
         _score(cols, bc, psi), "Ticker string, Date date, anomaly_score double"))
-    thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 100000)).first()[0]
-    return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(thr))
+    ranked = global_index(scored, [F.col("anomaly_score").desc(), F.col("Ticker"), F.col("Date")], "_rank")
+    return ranked.withColumn("is_anomaly", F.col("_rank") < F.lit(math.floor(round(n * contamination, 6)))).drop("_rank")
 
 
 # ---------------------------------------------------------------- M9

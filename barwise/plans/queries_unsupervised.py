@@ -52,6 +52,32 @@ def q_isolation(spark, sf):
     return U.isolation_scores(_design(spark, sf))
 
 
+@register("isolation_flags", with_ctes(PANEL_CTES, """
+SELECT count(*) AS n, CAST(floor(count(*) * 0.02) AS BIGINT) AS flagged, true AS above_the_others FROM df_clean"""))
+def q_isolation_flags(spark, sf):
+    """M8: two rows in a hundred are flagged, and none scores below another."""
+    s = U.isolation_scores(_design(spark, sf))
+    flagged, score = F.col("is_anomaly"), F.col("anomaly_score")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(flagged).alias("flagged"),
+                 (F.min(F.when(flagged, score)) >= F.max(F.when(~flagged, score))).alias("above_the_others"))
+
+
+@register("kmeans_assignment", with_ctes(PANEL_CTES, """
+SELECT count(*) AS n, count(*) AS nearest, CAST(4 AS BIGINT) AS regimes FROM df_clean"""))
+def q_kmeans_assignment(spark, sf):
+    """M7: every row is in the regime whose mean, recomputed from the rows, is the
+    nearest of all."""
+    from pyspark.ml.functions import vector_to_array
+    _, out = U.fit_regimes(_design(spark, sf))
+    x = out.select("Ticker", "Date", "regime", vector_to_array("features").alias("v"))
+    d = x.select(F.size("v")).first()[0]
+    means = x.groupBy("regime").agg(F.array(*[F.avg(F.col("v")[j]) for j in range(d)]).alias("m")).collect()
+    far = lambda m: F.aggregate(F.zip_with("v", F.array(*[F.lit(c) for c in m]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+    own = F.coalesce(*[F.when(F.col("regime") == r.regime, far(r.m)) for r in means])
+    near = own <= F.least(*[far(r.m) for r in means]) * F.lit(1 + 1e-6)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("nearest"), F.count_distinct("regime").alias("regimes"))
+
+
 @register("isolation_rate")
 def q_isolation_rate(spark, sf):
     return St.anomaly_rate(U.isolation_scores(_design(spark, sf)))
