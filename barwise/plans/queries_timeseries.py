@@ -226,6 +226,49 @@ def q_seasonal(spark, sf):
     return Ts.seasonal_backtest(X.region_bars(spark, sf), price="Close", multiplicative=True)
 
 
+# M13 with one season and no changepoints: trend and season are regressed on the
+# level and slope first, the penalised remainder is a system of two equations
+SEASON_ONE_CTES = X.REGION_BARS_SQL + [f"""
+so AS (SELECT Ticker, Date, Close AS y, CAST(Date - min(Date) OVER (PARTITION BY Ticker) AS DOUBLE) AS t,
+  row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY Ticker) * 0.8) AS train FROM bars)""", """
+sc AS (SELECT *, sin(2 * pi() / 7 * t) AS s, cos(2 * pi() / 7 * t) AS c FROM so)""", """
+sa AS (SELECT Ticker, regr_slope(y, t) AS yb, regr_intercept(y, t) AS ya, regr_slope(s, t) AS sb, regr_intercept(s, t) AS sa,
+  regr_slope(c, t) AS cb, regr_intercept(c, t) AS ca FROM sc WHERE train GROUP BY Ticker)""", """
+sr AS (SELECT Ticker, Date, train, y AS actual, ya + yb * t AS trend, y - ya - yb * t AS y, s - sa - sb * t AS s, c - ca - cb * t AS c
+  FROM sc JOIN sa USING (Ticker))""", """
+ss AS (SELECT Ticker, sum(s * s) + 1 AS ss, sum(c * c) + 1 AS cc, sum(s * c) AS sc, sum(s * y) AS sy, sum(c * y) AS cy
+  FROM sr WHERE train GROUP BY Ticker)"""]
+_SEASON_ONE = "trend + ((cc * sy - sc * cy) * s + (ss * cy - sc * sy) * c) / (ss * cc - sc * sc)"
+
+
+@register("seasonal_one", with_ctes(SEASON_ONE_CTES, f"""
+SELECT Ticker, Date, actual, {q_sql(_SEASON_ONE, 12)} AS predicted FROM sr JOIN ss USING (Ticker) WHERE NOT train"""))
+def q_seasonal_one(spark, sf):
+    """M13 with a weekly pair of terms only, against its normal equations."""
+    out = Ts.seasonal_backtest(X.region_bars(spark, sf), price="Close", n_changepoints=0, seasons=[("weekly", 7.0, 1)])
+    return out.select("Ticker", "Date", "actual", quantize("predicted", 12).alias("predicted"))
+
+
+# M15 on one lag: a ridge slope over the centred sums
+WINDOW_ONE_CTES = X.REGION_BARS_SQL + [f"""
+wo AS (SELECT Ticker, Date, Close, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY Ticker) * 0.8) AS train
+  FROM bars)""", """
+wm AS (SELECT Ticker, min(Close) AS lo, max(Close) AS hi FROM wo WHERE train GROUP BY Ticker)""", f"""
+wx AS (SELECT Ticker, Date, train, Close, lo, hi, (Close - lo) / (hi - lo) AS y,
+  lag((Close - lo) / (hi - lo), 1) OVER ({W}) AS x FROM wo JOIN wm USING (Ticker))""", """
+wb AS (SELECT Ticker, regr_sxy(y, x) / (regr_sxx(y, x) + 0.001) AS b, regr_avgx(y, x) AS mx, regr_avgy(y, x) AS my
+  FROM wx WHERE train GROUP BY Ticker)"""]
+
+
+@register("window_regressor_one", with_ctes(WINDOW_ONE_CTES, f"""
+SELECT Ticker, Date, Close AS actual, {q_sql('(my + b * (x - mx)) * (hi - lo) + lo', 12)} AS predicted
+FROM wx JOIN wb USING (Ticker) WHERE NOT train"""))
+def q_window_regressor_one(spark, sf):
+    """M15 with a lookback of one bar, against its closed form."""
+    out = Ts.window_regressor_backtest(X.region_bars(spark, sf), lookback=1, price="Close")
+    return out.select("Ticker", "Date", "actual", quantize("predicted", 12).alias("predicted"))
+
+
 @register("window_regressor")
 def q_window_regressor(spark, sf):
     return Ts.window_regressor_backtest(X.region_bars(spark, sf), price="Close")

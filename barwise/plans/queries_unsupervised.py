@@ -105,6 +105,36 @@ def q_pca_two(spark, sf):
     return comp.select("component", quantize("ratio", 16).alias("ratio"))
 
 
+# the first component of three standardised columns by power iteration
+_PC1_STEP = ["x + r12 * y + r13 * z", "r12 * x + y + r23 * z", "r13 * x + r23 * y + z"]
+_PC1_NORM = "sqrt(" + " + ".join(f"({e}) * ({e})" for e in _PC1_STEP) + ")"
+
+
+@register("pca_loadings_three", with_ctes(PANEL_CTES + ["""
+pr AS MATERIALIZED (SELECT corr("Open", MA7) AS r12, corr("Open", Volume) AS r13, corr(MA7, Volume) AS r23 FROM df_clean)""", """
+pw AS (SELECT 0 AS i, CAST(1 AS DOUBLE) AS x, CAST(0.5 AS DOUBLE) AS y, CAST(0.25 AS DOUBLE) AS z
+  UNION ALL SELECT i + 1, """ + ", ".join(f"({e}) / {_PC1_NORM}" for e in _PC1_STEP) + """ FROM pw, pr WHERE i < 400)""", """
+pl AS (SELECT unnest(['Open', 'MA7', 'Volume']) AS feature, unnest([x, y, z]) AS v FROM pw WHERE i = 400)"""], f"""
+SELECT feature, {q_sql('abs(v)', 16)} AS weight FROM pl ORDER BY abs(v) DESC LIMIT 2""").replace("WITH ", "WITH RECURSIVE ", 1))
+def q_pca_loadings_three(spark, sf):
+    """T4 on three columns: the two greatest loadings of the first component."""
+    cols = ["Open", "MA7", "Volume"]
+    _, load = U.pca_summary(U.unsup_design(panel(spark, sf), cols), cols)
+    return St.top_abs(load, "loading", 2, tie=("feature",)).select("feature", quantize(F.abs("loading"), 16).alias("weight"))
+
+
+@register("gmm_assignment", with_ctes(PANEL_CTES, """
+SELECT count(*) AS n, count(*) AS likeliest, count(*) AS summing_to_one, CAST(4 AS BIGINT) AS states FROM df_clean"""))
+def q_gmm_assignment(spark, sf):
+    """Every row is in its likeliest state and its probabilities sum to one."""
+    out, _, _ = U.fit_states(_design(spark, sf))
+    probs = [F.col(f"State_{i}") for i in range(4)]
+    own = F.element_at(F.array(*probs), F.col("state") + 1)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(own >= F.greatest(*probs)).alias("likeliest"),
+                   F.count_if(F.abs(sum(probs, F.lit(0.0)) - 1.0) < 1e-9).alias("summing_to_one"),
+                   F.count_distinct("state").alias("states"))
+
+
 @register("gmm")
 def q_gmm(spark, sf):
     out, mean_ll, sil = U.fit_states(_design(spark, sf))
