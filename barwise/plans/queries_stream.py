@@ -11,12 +11,14 @@ import os
 from pyspark.sql import functions as F
 
 from barwise.functions.exprs import quantize
+from barwise.operators.bars import prefer_source
 from barwise.plans import sql_features as S
 from barwise.plans.queries_features import PANEL_CTES, panel
 from barwise.plans.registry import q_sql, register, with_ctes
 from barwise.schema import BAR_SCHEMA
 from barwise.sources import files as Fi
 from barwise.sources import fixtures as X
+from barwise.sources import vendor as Ve
 from barwise.sources.tables import table
 from barwise.streaming import stateful as Sf
 from barwise.streaming import stream as St
@@ -117,6 +119,29 @@ def q_vendor_csv(spark, sf):
     return Fi.read_vendor_csv(spark, path)
 
 
+@register("vendor_source", with_ctes(X.REGION_BARS_SQL, """
+SELECT Ticker, Date, Open, High, Low, Close, Volume FROM bars"""))
+def q_vendor_source(spark, sf):
+    """S2 as a data source: one vendor file a ticker, the key from its folder."""
+    path = Fi.scratch_path(spark, "vendor_files")
+    Fi.write_vendor_csv(X.region_bars(spark, sf), path, by_key=True)
+    return Ve.vendor_bars(spark, path)
+
+
+@register("vendor_fallback", with_ctes(X.REGION_BARS_SQL, """
+SELECT Ticker, Date, Close, CASE WHEN Ticker < 'B' THEN 'primary' ELSE 'secondary' END AS source
+FROM bars WHERE year(Date) >= 1996"""))
+def q_vendor_fallback(spark, sf):
+    """S4 over two vendor folders: the first holds some tickers, the second all with
+    prices doubled for the first's; both are read from 1996 on."""
+    root = Fi.scratch_path(spark, "vendor_two")
+    bars, mine = X.region_bars(spark, sf), F.col("Ticker") < "B"
+    Fi.write_vendor_csv(bars.filter(mine), f"{root}/a", by_key=True)
+    Fi.write_vendor_csv(bars.withColumn("Close", F.when(mine, F.col("Close") * 2).otherwise(F.col("Close"))), f"{root}/b", by_key=True)
+    a, b = (Ve.vendor_bars(spark, f"{root}/{d}").filter(F.col("Date") >= F.lit("1996-01-01").cast("date")) for d in "ab")
+    return prefer_source(a, b).select("Ticker", "Date", "Close", "source")
+
+
 @register("panel_by_year", with_ctes(PANEL_CTES,
     "SELECT Ticker, Date, Year, Close, MA7 FROM (SELECT Ticker, Date, Year, Close, "
     + q_sql("MA7") + " AS MA7 FROM df_clean) t WHERE Year >= 1999"))

@@ -105,14 +105,19 @@ def export_csv(df: DataFrame, path: str, partition_by: str | None = "Ticker",
     (w.partitionBy(partition_by) if partition_by else w).csv(path)
 
 
-def write_vendor_csv(df: DataFrame, path: str) -> None:
-    """Writes bars in the vendor layout (used to land vendor files)."""
+def write_vendor_csv(df: DataFrame, path: str, by_key: bool = False) -> None:
+    """Writes bars in the vendor layout (used to land vendor files); ``by_key``: one
+    folder ``Ticker=...`` a key with one file, the key also as a column."""
     out = df.select(F.col("Ticker").alias("<TICKER>"),
                     F.date_format("Date", "yyyyMMdd").alias("<DATE>"),
                     F.col("Open").alias("<OPEN>"), F.col("High").alias("<HIGH>"),
                     F.col("Low").alias("<LOW>"), F.col("Close").alias("<CLOSE>"),
                     F.col("Volume").alias("<VOL>"))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    if by_key:
+        out = out.withColumn("Ticker", F.col("<TICKER>")).repartition("Ticker")
+        out.write.mode("overwrite").option("header", True).partitionBy("Ticker").csv(path)
+    else:
+        out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
