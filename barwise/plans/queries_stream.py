@@ -45,8 +45,7 @@ _REFRESH_SQL = with_ctes(X.REGION_BARS_SQL + ["""rb AS (
 
 
 def _refreshed_in_drops(spark, sf, run):
-    """Bars arrive in three drops, each one availableNow run of the refresh
-    stream: (1) dates before the 60 % date without every ninth day of a month
+    """Bars arrive in three drops, ``run`` is called after each: (1) dates before the 60 % date without every ninth day of a month
     and with wrong closes on the fifteenth; (2) the rest up to the 80 % date and
     the corrections; (3) the late days and everything after. Closes are missing
     on every eleventh day. The stored panel must equal the batch indicators."""
@@ -78,8 +77,19 @@ def q_incremental_refresh(spark, sf):
 
 @register("stateful_refresh", _REFRESH_SQL)
 def q_stateful_refresh(spark, sf):
-    """L2 over keyed state: a batch reads the chunks of bars that it changes."""
-    return _refreshed_in_drops(spark, sf, Sf.run_stateful_refresh)
+    """L2 over keyed state, one running stream: a batch reads the chunks of bars that
+    it changes."""
+    running = []
+
+    def run(*args):
+        if not running:
+            running.append(Sf.start_stateful_refresh(*args))
+        running[0].processAllAvailable()
+    try:
+        return _refreshed_in_drops(spark, sf, run)
+    finally:
+        for query in running:
+            query.stop()
 
 
 @register("csv_roundtrip", with_ctes(X.REGION_BARS_SQL, f"SELECT {BAR_COLS} FROM bars"))

@@ -181,21 +181,28 @@ def write_changed(panel_path: str):
     return fn
 
 
-def run_stateful_refresh(spark: SparkSession, source_path: str, schema, panel_path: str, ckpt: str):
-    """One ``availableNow`` run over the bar files at ``source_path``; returns the
-    ended query (its progress tells the state rows read). The state lives in the
-    RocksDB store under ``ckpt``, a folder that the cluster shares."""
+def start_stateful_refresh(spark: SparkSession, source_path: str, schema, panel_path: str, ckpt: str, **trigger):
+    """Starts L2 over the bar files at ``source_path`` and returns the running query;
+    ``trigger`` as for ``DataStreamWriter.trigger`` (none: a batch as soon as files
+    arrive). The state lives in the RocksDB store under ``ckpt``, a folder that the
+    cluster shares; each state partition also takes some 4 MB of an executor's disk,
+    so ``spark.sql.shuffle.partitions`` at the first start should suit the keys."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, STATE_STORE)
     try:
-        query = (changed_bars(spark.readStream.schema(schema).parquet(source_path)).writeStream
-                 .outputMode("update").foreachBatch(write_changed(panel_path))
-                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        writer = (changed_bars(spark.readStream.schema(schema).parquet(source_path)).writeStream
+                  .outputMode("update").foreachBatch(write_changed(panel_path)).option("checkpointLocation", ckpt))
+        return (writer.trigger(**trigger) if trigger else writer).start()
     finally:
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
+
+
+def run_stateful_refresh(spark: SparkSession, source_path: str, schema, panel_path: str, ckpt: str):
+    """One ``availableNow`` run of L2; returns the ended query."""
+    query = start_stateful_refresh(spark, source_path, schema, panel_path, ckpt, availableNow=True)
     query.awaitTermination()
     return query
