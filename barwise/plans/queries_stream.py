@@ -45,10 +45,11 @@ _REFRESH_SQL = with_ctes(X.REGION_BARS_SQL + ["""rb AS (
 
 
 def _refreshed_in_drops(spark, sf, run):
-    """Bars arrive in three drops, ``run`` is called after each: (1) dates before the 60 % date without every ninth day of a month
-    and with wrong closes on the fifteenth; (2) the rest up to the 80 % date and
-    the corrections; (3) the late days and everything after. Closes are missing
-    on every eleventh day. The stored panel must equal the batch indicators."""
+    """Bars arrive in three drops, ``run`` is called after each: (1) dates before
+    the 60 % date without every ninth day of a month and with wrong closes on the
+    fifteenth; (2) the rest up to the 80 % date and the corrections; (3) the late
+    days and everything after. Closes are missing on every eleventh day. The stored
+    panel must equal the batch indicators."""
     day = F.dayofmonth("Date")
     root = Fi.scratch_path(spark, "refresh")
     # the bars are read by three drops: built once
