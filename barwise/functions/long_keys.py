@@ -74,14 +74,18 @@ def long_features(df: DataFrame, chunk_rows: int = CHUNK_ROWS, key="Ticker", dat
 def long_indicators(df: DataFrame, chunk_rows: int = CHUNK_ROWS, key="Ticker", date="Date") -> DataFrame:
     """``windows.indicators`` chunk by chunk; the running product is carried."""
     k = [key, "_chunk"]
-    x = cut_keys(df, INDICATORS_HALO, 0, chunk_rows, key, date).withColumns({
-        "SMA_50": Wn.rolling_mean("Close", 50, key=k, date=date),
-        "SMA_200": Wn.rolling_mean("Close", 200, key=k, date=date),
-        "Return": ratio_minus_one(F.col("Close"), F.lag("Close", 1).over(Wn.by_key(k, date)))})
+    x = Wn.add_rolling(cut_keys(df, INDICATORS_HALO, 0, chunk_rows, key, date),
+                       {"SMA_50": ("mean", "Close", 50), "SMA_200": ("mean", "Close", 200)}, k, date)
+    x = x.withColumn("Return", ratio_minus_one(F.col("Close"), F.lag("Close", 1).over(Wn.by_key(k, date))))
     x = _own(Wn.annualized_vol(x, "Return", 30, "Volatility_30d", k, date))
     return _done(_compounded(x, "Return", "Cumulative_Return", key, date))
 
 
+def long_diff(df: DataFrame, chunk_rows: int = CHUNK_ROWS, x="Close", name=None, key="Ticker", date="Date") -> DataFrame:
+    """``windows.diff`` chunk by chunk."""
+    return _done(_own(Wn.diff(cut_keys(df, 1, 0, chunk_rows, key, date), x, name, [key, "_chunk"], date)))
+
+
 def long_cumulative_return(df: DataFrame, chunk_rows: int = CHUNK_ROWS, r="Return", name="Cumulative_Return",
                            key="Ticker", date="Date") -> DataFrame:
     """``windows.cumulative_return`` chunk by chunk."""

@@ -47,12 +47,14 @@ def innovations(df: DataFrame, value: str, long_ar: int, most: int, key="Ticker"
     columns that windows partition by, the key's means)."""
     df = materialize_small(df.select(key, date, value))
     means = df.groupBy(key).agg(F.avg(value).alias("_mean"))
-    x = df.join(means, key).select(key, date, (F.col(value) - F.col("_mean")).alias("_y"))
     part = [key]
     if chunk_rows:
-        x, part = cut_keys(x, long_ar + most, 0, chunk_rows, key, date), [key, "_chunk"]
+        # what a key has is joined to its chunks: a join by key alone is one task for a long key
+        cut = cut_keys(df.filter(F.col(key).isNotNull()), long_ar + most, 0, chunk_rows, key, date)
+        part, chunks = [key, "_chunk"], materialize_small(cut.select(key, "_chunk").distinct())
+        x = cut.join(chunks.join(means, key), part).select(key, date, (F.col(value) - F.col("_mean")).alias("_y"), "_chunk", "_own")
     else:
-        x = x.withColumn("_own", F.lit(True))
+        x = df.join(means, key).select(key, date, (F.col(value) - F.col("_mean")).alias("_y")).withColumn("_own", F.lit(True))
     lags = [f"_l{j}" for j in range(1, long_ar + 1)]
     x = x.withColumns({c: F.lag("_y", j + 1).over(by_key(part, date)) for j, c in enumerate(lags)}).withColumn("_one", F.lit(1.0))
     gram = grouped_gram(x.filter("_own"), key, ["_one", *lags], "_y")
@@ -62,7 +64,10 @@ def innovations(df: DataFrame, value: str, long_ar: int, most: int, key="Ticker"
                              for r in pdf.itertuples()], columns=["_k", "_beta"])
 
     coef = materialize_small(gram.groupBy("key").applyInPandas(fit, "_k string, _beta array<double>"))
-    x = x.join(coef, F.col(key).cast("string") == F.col("_k"))
+    if chunk_rows:
+        x = x.join(chunks.join(coef, F.col(key).cast("string") == F.col("_k")), part)
+    else:
+        x = x.join(coef, F.col(key).cast("string") == F.col("_k"))
     terms = F.zip_with(F.array("_one", *lags), "_beta", lambda a, b: a * b)
     e = F.when(F.col(lags[-1]).isNotNull(), F.col("_y") - F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
     return x.withColumn("_e", e).drop("_k", "_beta", "_one", *lags), part, means

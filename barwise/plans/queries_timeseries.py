@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.functions.exprs import quantize
+from barwise.functions.long_keys import long_diff
 from barwise.functions.windows import by_key
 from barwise.operators import arma as Ar
 from barwise.operators import timeseries as Ts
@@ -321,5 +322,7 @@ def q_arma_future(spark, sf):
 @register("arma_long_key")
 def q_arma_long_key(spark, sf):
     """Order search over one key dealt in chunks."""
-    return Ar.fit_arma(_differences(X.series_bars(spark, sf)), chunk_rows=3_000).select(
+    bars = X.series_bars(spark, sf).select("Ticker", "Date", "Close")
+    diffs = long_diff(bars, 3_000, "Close", "value").select("Ticker", "Date", "value").filter(F.col("value").isNotNull())
+    return Ar.fit_arma(diffs, chunk_rows=3_000).select(
         "Ticker", "p", "q", "sp", "sq", "n", "sigma2", "aic", "is_best")

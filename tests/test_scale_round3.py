@@ -2,12 +2,16 @@
 rolling windows without a pass over the frame at every row."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barwise.functions import windows as Wn
+from barwise.functions.long_keys import long_diff
+from barwise.operators.arma import fit_arma, innovations
 from barwise.operators.correlation import correlation_pairs, extreme_correlations
 
 
@@ -50,3 +54,64 @@ def test_pairs_of_blocks_are_not_shuffled(returns):
     """Partial sums of all pairs went through an exchange for every bucket of dates."""
     p = plan(correlation_pairs(returns, "r", block_keys=3, rows_per_task=40))
     assert "CartesianProduct" in p and "Exchange hashpartitioning" not in p
+
+
+@pytest.fixture(scope="module")
+def one_key(spark):
+    rng = np.random.default_rng(9)
+    rows = [("ALL", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(np.cumsum(rng.normal(size=700)))]
+    return spark.createDataFrame(rows, "Ticker string, Date date, Close double").persist()
+
+
+def most_rows(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_one_key_has_no_task_of_its_own(spark, one_key):
+    """The differences were a window by key, and the means and coefficients of the only
+    key were joined by key: all rows in one task."""
+    had = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(had, ("32", "false", "-1")):
+        spark.conf.set(c, v)
+    try:
+        diffs = long_diff(one_key, 20, "Close", "value")
+        assert diffs.count() == 700 and most_rows(diffs) < 350
+        x, part, _ = innovations(diffs.filter("value IS NOT NULL"), "value", 5, 3, chunk_rows=20)
+        assert part == ["Ticker", "_chunk"] and x.filter("_own").count() == 699 and most_rows(x) < 500
+    finally:
+        for c, v in had.items():
+            spark.conf.set(c, v)
+
+
+def test_chunked_orders_are_those_of_the_key(one_key):
+    rows = lambda f: {(r.p, r.q): (r.n, round(r.aic, 6), r.is_best) for r in f.collect()}
+    diffs = Wn.diff(one_key, "Close", "value").filter("value IS NOT NULL")
+    chunked = long_diff(one_key, 20, "Close", "value").filter("value IS NOT NULL")
+    want, got = (rows(fit_arma(d, (1, 1, 0, 0), long_ar=5, chunk_rows=c)) for d, c in ((diffs, None), (chunked, 20)))
+    assert got == want and len(got) == 4
+
+
+def test_rolling_from_runs(spark):
+    """Means and extremes of frames, with gaps, as the frames give them."""
+    rng = np.random.default_rng(4)
+    rows = [(k, dt.date(2000, 1, 1) + dt.timedelta(days=i), None if rng.random() < (0.02 if k == "a" else 0.3) else float(rng.normal() * 10 ** rng.integers(0, 6)))
+            for k, n in (("a", 400), ("b", 90), ("c", 1)) for i in range(n)]
+    rows += [("n", dt.date(2000, 1, 1) + dt.timedelta(days=i), float("nan") if i == 40 else 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "Ticker string, Date date, x double")
+    frames = {f"{kind}{n}": (kind, "x", n) for kind in ("mean", "min", "max") for n in (1, 2, 7, 16, 20, 64, 90, 200)}
+    aggs = {"mean": F.avg, "min": F.min, "max": F.max}
+    got = {(r.Ticker, r.Date): r for r in Wn.add_rolling(df, frames).collect()}
+    want = df.withColumns({name: Wn.rolling(aggs[kind], x, n) for name, (kind, x, n) in frames.items()}).collect()
+    assert len(got) == len(want) and set(Wn.add_rolling(df, frames).columns) == {"Ticker", "Date", "x", *frames}
+    for r in want:
+        for c in frames:
+            v = got[r.Ticker, r.Date][c]
+            assert v is None if r[c] is None else v == pytest.approx(r[c], rel=1e-9, abs=1e-6, nan_ok=True), (r.Ticker, r.Date, c)
+
+
+def test_rolling_steps_do_not_grow_with_the_frame(spark, one_key):
+    """No aggregate over a frame of 50 or 200 rows is left: it takes that many steps a row."""
+    bars = one_key.withColumns({c: F.col("Close") for c in ("Open", "High", "Low", "adj_close", "Volume")})
+    for df in (Wn.features(bars), Wn.indicators(bars)):
+        frames = {int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", plan(df))}
+        assert max(frames) == 29  # the standard deviation's
