@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from barwise.functions import windows as Wn
 from barwise.functions.exprs import ratio_minus_one
 from barwise.functions.ordering import global_index
+from barwise.operators.lsq import materialize_small
 from barwise.schema import OHLCV
 
 CHUNK_ROWS = 100_000
+#: states of chunks that are broadcast to their rows
+SMALL_STATES = 100_000
 #: rows that the longest trailing frame of ``features`` / ``indicators`` looks back
 FEATURES_HALO, INDICATORS_HALO = 89, 199
 
@@ -52,7 +55,9 @@ def carried(rows: DataFrame, states: dict[str, Column], scans: dict[str, Callabl
         Window.unboundedPreceding, Window.unboundedFollowing if whole else -1)
     state = rows.groupBy(F.col(key).alias("_k"), F.col("_chunk").alias("_c")).agg(
         *[agg.alias(name) for name, agg in states.items()])
-    state = state.select("_k", "_c", *[scan(name).over(frame).alias(name) for name, scan in scans.items()])
+    state = materialize_small(state.select("_k", "_c", *[scan(name).over(frame).alias(name) for name, scan in scans.items()]))
+    # a shuffle join would deal all rows out once more, for a state a chunk
+    state = F.broadcast(state) if state.count() <= SMALL_STATES else state
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c"))
     return rows.join(state, same, "left").drop("_k", "_c")
 

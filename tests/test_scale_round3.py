@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwise.functions import windows as Wn
-from barwise.functions.long_keys import long_diff
+from barwise.functions.long_keys import long_diff, long_indicators
 from barwise.operators.arma import fit_arma, innovations
 from barwise.operators.correlation import correlation_pairs, extreme_correlations
 
@@ -115,3 +115,10 @@ def test_rolling_steps_do_not_grow_with_the_frame(spark, one_key):
     for df in (Wn.features(bars), Wn.indicators(bars)):
         frames = {int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", plan(df))}
         assert max(frames) == 29  # the standard deviation's
+
+
+def test_small_states_are_broadcast(one_key):
+    """The states of the chunks met all rows in a shuffle join."""
+    bars = one_key.withColumns({c: F.col("Close") for c in ("Open", "High", "Low", "adj_close", "Volume")})
+    p = plan(long_indicators(bars, 57))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and not re.search(r"Exchange hashpartitioning\(coalesce", p)
