@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +19,36 @@ UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 #: rows of an Arrow batch of whole texts, at most
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's rows per Arrow batch to ``BATCH_ROWS``: batches of
-    10,000 whole texts take hundreds of MB of an executor outside its heap."""
+    10,000 whole texts take hundreds of MB of an executor outside its heap, and
+    what the largest batch took stays with the workers and Arrow's buffers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: owner -> [stage that used it last, what it keeps between batches and tasks]
+_KEPT: dict[str, list] = {}
+
+
+def kept(owner: str, make: Callable[[], Any]) -> Any:
+    """What ``owner`` keeps in this worker, made anew if it has nothing. What no
+    operator of the running stage has used goes: Spark's workers outlive their
+    stage, and each would come to hold the tables of every operator that it ran."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    mine = _KEPT.get(owner)
+    if mine is None or mine[0] != stage:
+        for k in [k for k, (last, _) in _KEPT.items() if last != stage and k != owner]:
+            del _KEPT[k]
+        mine = _KEPT[owner] = [stage, mine[1] if mine else make()]
+    return mine[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, bound_batches, crc_of_id, table
+from barwise.llm.common import as_bytes, bound_batches, crc_of_id, kept, table
 
 SLOTS = 1 << 15
 DIM = 32
@@ -35,7 +35,7 @@ SALTS = 16
 #: labelled documents that the network is fitted on, at most
 FIT_ROWS = 20_000
 HIDDEN = 32
-MEMO = 1 << 17
+MEMO = 1 << 15
 #: words whose vectors are gathered at a time
 SLICE = 1 << 15
 
@@ -57,13 +57,10 @@ class _Slots(dict):
         return slot
 
 
-_SLOTS = _Slots()
-
-
 def token_slots(text: bytes) -> np.ndarray:
     """Slots of a text's tokens; a mark follows a word in capitals or said again."""
     words = TOKEN.findall(text)
-    code = np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
+    code = np.fromiter(map(kept("quality", _Slots).__getitem__, words), np.int64, len(words))
     slot = code >> 1
     marks = np.stack([slot, np.where(code & 1, SHOUT, -1), np.where(np.append(False, slot[1:] == slot[:-1]), AGAIN, -1)],
                      axis=1).ravel() if len(slot) else slot
