@@ -110,7 +110,7 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Ids of words as the bytes of 32-bit integers, a third of what tuples take."""
+    """Ids of words as the bytes of 32-bit integers, which take less than tuples."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
