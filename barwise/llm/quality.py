@@ -15,7 +15,6 @@ two-layer numpy network with temperature-calibrated probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import as_bytes, bound_batches, crc_of_id, kept, table
+from barwise.llm.common import SPACE, as_bytes, bound_batches, crc_of_id, kept, table
 
 SLOTS = 1 << 15
 DIM = 32
@@ -35,36 +34,56 @@ SALTS = 16
 #: labelled documents that the network is fitted on, at most
 FIT_ROWS = 20_000
 HIDDEN = 32
-MEMO = 1 << 15
+#: bytes of the texts that are cut into words at a time
+SLICE_BYTES = 1 << 21
 #: words whose vectors are gathered at a time
-SLICE = 1 << 15
+SLICE = 1 << 13
 
-TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
+#: a token is a run of word bytes or a run of marks
+SPACE_BYTE, WORD_BYTE, MARK_BYTE = 0, 1, 2
+BYTE_KIND = np.array([SPACE_BYTE if b in SPACE else WORD_BYTE if b >= 128 or chr(b).isalnum() else MARK_BYTE for b in range(256)],
+                     np.uint8)
 SHOUT, AGAIN = 0, 1  # slots of the marks "in capitals" and "same word again"
 FEATURES = 3 * DIM + 2
 
 
-class _Slots(dict):
-    """Token -> 2 * slot, plus 1 for words in capitals; forgets when full."""
-
-    def __missing__(self, token: bytes) -> int:
-        low = token.lower()
-        shout = len(token) > 1 and token.isupper()
-        slot = 2 * (2 + xxhash.xxh64_intdigest(low, 7) % (SLOTS - 2)) + shout
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = slot
-        return slot
+def _codes(words: pa.Array) -> np.ndarray:
+    """2 * slot of each word, plus 1 for words in capitals."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = words.buffers()[2].to_pybytes()
+    raw = np.frombuffer(data, np.uint8)
+    low, bounds = data.lower(), ends.tolist()
+    slot = np.array([xxhash.xxh64_intdigest(low[i:j], 7) for i, j in zip(bounds, bounds[1:])], np.uint64) % np.uint64(SLOTS - 2)
+    upper, lower = (np.append(0, np.cumsum((raw >= ord(a)) & (raw <= ord(z))))[ends] for a, z in ("AZ", "az"))
+    shout = (np.diff(ends) > 1) & (np.diff(upper) > 0) & (np.diff(lower) == 0)
+    return 2 * (2 + slot.astype(np.int64)) + shout
+
+
+def slots_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of the texts' tokens, tokens of each text); a mark follows a word
+    in capitals or said again. Each distinct token is hashed once."""
+    data = b"\n".join([*texts, b""])
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    kind = BYTE_KIND[np.frombuffer(data, np.uint8)]
+    cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]])
+    real = np.flatnonzero(kind[cuts[:-1]] != SPACE_BYTE)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    code = _codes(runs.dictionary)[runs.indices.to_numpy()[real]]
+    ends = np.searchsorted(cuts[real], np.cumsum([len(t) + 1 for t in texts]))
+    slot, shout = code >> 1, code & 1
+    again = np.append(False, slot[1:] == slot[:-1])[:len(slot)]
+    again[ends[:-1][ends[:-1] < len(slot)]] = False
+    after = np.cumsum(1 + shout + again)
+    out = np.full(after[-1] if len(after) else 0, AGAIN)
+    at = after - 1 - shout - again
+    out[at], out[at[shout > 0] + 1] = slot, SHOUT
+    return out, np.diff(np.append(0, after)[ends], prepend=0)
 
 
 def token_slots(text: bytes) -> np.ndarray:
-    """Slots of a text's tokens; a mark follows a word in capitals or said again."""
-    words = TOKEN.findall(text)
-    code = np.fromiter(map(kept("quality", _Slots).__getitem__, words), np.int64, len(words))
-    slot = code >> 1
-    marks = np.stack([slot, np.where(code & 1, SHOUT, -1), np.where(np.append(False, slot[1:] == slot[:-1]), AGAIN, -1)],
-                     axis=1).ravel() if len(slot) else slot
-    return marks[marks >= 0]
+    """Slots of a text's tokens and marks."""
+    return slots_of([text])[0]
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -75,31 +94,30 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slots, tokens of each document) of whole documents, about SLICE tokens."""
-    slots, sizes, n = [], [], 0
+    """(slots, tokens of each document) of whole documents, about SLICE_BYTES."""
+    some, n = [], 0
     for t in texts:
-        slots.append(token_slots(t))
-        sizes.append(len(slots[-1]))
-        n += sizes[-1]
-        if n >= SLICE:
-            yield np.concatenate(slots), np.array(sizes)
-            slots, sizes, n = [], [], 0
-    if sizes:
-        yield np.concatenate(slots), np.array(sizes)
+        some.append(t)
+        n += len(t)
+        if n >= SLICE_BYTES:
+            yield slots_of(some)
+            some, n = [], 0
+    if some:
+        yield slots_of(some)
 
 
 def _neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, signs = index_vectors()
+    places, signs = kept("quality", index_vectors)
     total = np.zeros(SLOTS * DIM)
-    for batch in batches:
-        for slots, sizes in _slices(t.as_py() for t in batch.column(0)):
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            for o in range(1, REACH + 1):
-                near = doc[o:] == doc[:-o]
-                a, b = slots[:-o][near], slots[o:][near]
-                for k in range(NONZERO):
-                    total += np.bincount(a * DIM + places[b, k], signs[b, k], SLOTS * DIM)
-                    total += np.bincount(b * DIM + places[a, k], signs[a, k], SLOTS * DIM)
+    # a slice takes the texts of many batches: each sum is as long as the table
+    for slots, sizes in _slices(t.as_py() for batch in batches for t in batch.column(0)):
+        doc, row = np.repeat(np.arange(len(sizes)), sizes), slots * DIM
+        near = [doc[o:] == doc[:-o] for o in range(1, REACH + 1)]
+        for k in range(NONZERO):
+            place, sign = np.take(places[:, k], slots), np.take(signs[:, k], slots)
+            for o, same in enumerate(near, 1):
+                total += np.bincount(row[:-o] + place[o:], sign[o:] * same, SLOTS * DIM)
+                total += np.bincount(row[o:] + place[:-o], sign[:-o] * same, SLOTS * DIM)
     yield _blocks(dict(enumerate(total.astype(np.int64).reshape(-1, BLOCK * DIM))))
 
 
@@ -134,24 +152,43 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pooled(texts: Iterator[bytes], vectors: np.ndarray) -> np.ndarray:
     """Feature rows of the documents."""
-    places, signs = index_vectors()
-    index = np.zeros((SLOTS, DIM), np.float32)
-    for k in range(NONZERO):
-        index[np.arange(SLOTS), places[:, k]] = signs[:, k]
-    words = np.concatenate([vectors, vectors * vectors, index], axis=1)
+    places, signs = kept("quality", index_vectors)
     out = [np.zeros((0, FEATURES))]
     for slots, sizes in _slices(texts):
         rows = np.zeros((len(sizes), FEATURES))
         some = np.flatnonzero(sizes)
         if len(some):
-            begin = np.cumsum(sizes) - sizes
-            rows[some, :3 * DIM] = np.add.reduceat(words[slots], begin[some], axis=0) / sizes[some, None]
+            own = sizes[some, None]
+            rows[some, :2 * DIM] = _sums(slots, sizes[some], vectors) / own
             rows[:, DIM:2 * DIM] = np.sqrt(np.maximum(rows[:, DIM:2 * DIM] - rows[:, :DIM] ** 2, 0))
+            place = np.repeat(np.arange(len(some)) * DIM, sizes[some])
+            index = sum(np.bincount(place + places[slots, k], signs[slots, k], len(some) * DIM) for k in range(NONZERO))
+            rows[some, 2 * DIM:3 * DIM] = index.reshape(-1, DIM) / own
         rows[:, -2], rows[:, -1] = np.log1p(sizes), sizes == 0
         out.append(rows)
     return np.concatenate(out)
 
 
+def _sums(slots: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums over each document's words of their vectors and of the squares,
+    gathered for about SLICE words at a time; no document is empty."""
+    ends = np.cumsum(sizes)
+    out = np.empty((len(sizes), 2 * DIM), np.float32)
+    room = np.empty((2, SLICE + sizes.max(), DIM), np.float32)
+    lo = 0
+    while lo < len(sizes):
+        first = ends[lo] - sizes[lo]
+        hi = int(np.searchsorted(ends, first + SLICE)) + 1
+        begin, n = ends[lo:hi] - sizes[lo:hi] - first, ends[lo:hi][-1] - first
+        own, squares = room[0, :n], room[1, :n]
+        np.take(vectors, slots[first:first + n], axis=0, out=own, mode="clip")
+        np.multiply(own, own, out=squares)
+        np.add.reduceat(own, begin, axis=0, out=out[lo:hi, :DIM])
+        np.add.reduceat(squares, begin, axis=0, out=out[lo:hi, DIM:])
+        lo = hi
+    return out
+
+
 class Network:
     """Two layers (tanh, logistic) on standardised features, with temperature."""
 
