@@ -26,12 +26,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from barwise.llm import exchange as X
-from barwise.llm.common import table
+from barwise.llm.common import LOWER, SPACE, mix64, table
 
 ALPHA = 0.1
 MIN_CONTEXT = 8
@@ -42,30 +41,53 @@ GAIN_UNIT = 1 << 16
 FOLDS = 10
 #: bytes of text of a group: about 1.5 million words
 GROUP_BYTES = 10 << 20
+#: bytes of a word that is hashed by itself, more than
+LONG = 32
+#: words hashed at a time: they stay in the cache
+STRETCH = 1 << 13
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+IS_SPACE = np.isin(np.arange(256), list(SPACE))
+END = np.uint64(xxhash.xxh64_intdigest(b"", 5))
+
 
 def held_out(doc_id: int | None) -> bool:
     """Left out of the training: a tenth of the ids, and rows without one."""
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
+def _hashes(data: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the tokens of ``data`` (eight bytes of any kind follow the
+    last), eight bytes at a time over all of them; long ones by XXH64."""
+    eight = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for lo in range(0, len(size), STRETCH):
+        own = lo + np.flatnonzero(size[lo:lo + STRETCH] <= LONG)
+        for at in range(0, LONG, 8):
+            own = own[size[own] > at]
+            out[own] = mix64(out[own] ^ (eight[begin[own] + at] & LOW_BYTES[np.minimum(size[own] - at, 8)]))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[begin[k]:begin[k] + size[k]], 5)
+    return out
+
+
 def tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct token, number of each token, tokens a text): words
-    with A-Z lower-cased, then the end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False)))
-    flat = lists.flatten()
-    real = pc.greater(pc.binary_length(flat), 0)
-    of_text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
-    coded = flat.filter(real).dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary())
-    ends, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1].tolist(), words.buffers()[2]
-    data = data.to_pybytes() if data else b""
-    hashes = [xxhash.xxh64_intdigest(data[i:j], 5) for i, j in zip(ends, ends[1:])]
-    sizes = np.bincount(of_text, minlength=len(texts)) + 1
-    tokens = np.full(int(sizes.sum()), len(hashes), np.int32)
+    """(sorted hashes of the distinct tokens, place of each token in them, tokens
+    a text): words with A-Z lower-cased, then the end."""
+    data = b" ".join([b"", *texts, b" " * 8]).translate(LOWER)
+    space = IS_SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    sizes = np.diff(np.searchsorted(begin, text_ends), prepend=0) + 1
+    tokens = np.full(len(begin) + len(texts) + 1, END)
     inner = np.ones(len(tokens), bool)
-    inner[np.cumsum(sizes) - 1] = False
-    tokens[inner] = coded.indices.to_numpy()
-    return np.array([*hashes, xxhash.xxh64_intdigest(b"", 5)], np.uint64), tokens, sizes
+    inner[np.cumsum(sizes) - 1] = inner[-1] = False
+    tokens[inner] = _hashes(data, begin, size)
+    place, words = pd.factorize(tokens)
+    order = np.argsort(words)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return words[order], rank[place[:-1]], sizes
 
 
 def _distinct(high: np.ndarray, low: np.ndarray, n_high: int, n_low: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -96,10 +118,8 @@ class Book:
     def __init__(self, group: pa.Table, buckets: int):
         self.ids, texts = X.documents(group)
         self.buckets = buckets
-        hashes, tokens, self.sizes = tokenize(texts)
+        self.words, self.word, self.sizes = tokenize(texts)
         del texts
-        self.words, place = np.unique(hashes, return_inverse=True)
-        self.word = place.astype(np.int32)[tokens]
         self.held = np.array([held_out(i) for i in self.ids])
         self.train = np.repeat(~self.held, self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes

@@ -124,3 +124,36 @@ def test_counts_survive_packing():
         for n in (0, 1, 1000):
             a = (np.arange(n) ** 4).astype(kind)
             assert (X.unpack(X.pack(a), kind) == a).all()
+
+
+def test_tokens_against_a_loop(monkeypatch):
+    monkeypatch.setattr(L, "STRETCH", 7)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aB1 \t\n\x0b\x0c\r!?\x00\x1cé\x85", k=rng.randint(0, 60))) for _ in range(300)]
+    texts += ["", " ", "AA aa aA", "q" * 31, "q" * 32, "q" * 33, "Q" * 33, "q" * 100, "x" * 8, "x" * 9, "x" * 16, "x" * 8 + " x", ""]
+    words, place, sizes = L.tokenize([t.encode() for t in texts])
+    want = [tokens(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    named = dict(zip(sum(want, []), words[place].tolist()))
+    assert words[place].tolist() == [named[w] for w in sum(want, [])] and len(set(named.values())) == len(named) == len(words)
+    assert (words[1:] > words[:-1]).all()
+    # the same words in other texts: groups must agree
+    other, at, _ = L.tokenize([t.encode() for t in reversed(texts)])
+    assert (other == words).all() and other[at].tolist() == [named[w] for w in sum(reversed(want), [])]
+    for none in ([], [b""], [b" ", b""]):
+        words, place, sizes = L.tokenize(none)
+        assert len(words) == 1 and sizes.tolist() == [1] * len(none) == (place + 1).tolist()
+
+
+def test_hashes_fill_the_range_evenly():
+    words, place, _ = L.tokenize([" ".join(f"{i:x} word{i} number{i}ofmany" for i in range(40_000)).encode()])
+    assert len(words) == 120_001
+    share = np.bincount(X.bucket_of(words, 64), minlength=64) / len(words) * 64
+    assert 0.85 < share.min() and share.max() < 1.15
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    calls, one = [], L.xxhash.xxh64_intdigest
+    monkeypatch.setattr(L.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or one(*a))
+    words, _, _ = L.tokenize([" ".join(f"w{i}" for i in range(1000)).encode(), b"z" * 40])
+    assert len(words) == 1002 and len(calls) <= 1
