@@ -35,7 +35,7 @@ SALTS = 16
 FIT_ROWS = 20_000
 HIDDEN = 32
 #: bytes of the texts that are cut into words at a time
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: words whose vectors are gathered at a time
 SLICE = 1 << 13
 
